@@ -103,3 +103,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         raise RuntimeError("components did not converge")
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def bounds(df: DataFrame, key: str, parts: int) -> list[int]:
+    """Values of an integer column that cut its rows into `parts` ranges of about equal size (fewer where values tie)."""
+    got = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
+    return sorted(set(got or []))

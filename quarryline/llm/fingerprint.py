@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let
+from .common import SPACE, bounds, let
 
 SHINGLE, SCALE = 5, 4
 #: Most buckets of neighbouring ids; their bounds are what the driver sees.
@@ -71,8 +71,8 @@ def with_next(docs: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = max(8, min(MAX_BUCKETS, 4 * parts))
-    bounds = sorted(set(docs.select(key).approxQuantile(key, [k / wanted for k in range(1, wanted)], 0.25 / wanted))) if docs.limit(1).count() else []
-    bucket = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<long>"), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    cuts = bounds(docs, key, wanted)
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda b: b < F.col(key))) if cuts else F.lit(0)
     bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(bucket).cast("int")
     firsts = {r["_b"]: r["_f"] for r in docs.select(bucket.alias("_b"), key).groupBy("_b").agg(F.min(key).alias("_f")).collect()}  # a row a bucket
     order = sorted(firsts)

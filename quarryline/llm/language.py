@@ -1,7 +1,7 @@
 """Word-level language identification by a linear-chain conditional random field.
 
-A word's features are its affixes (1 to 4 letters at either end), its inner n-grams (2 and 3 letters) and, if the
-lexicon has it, the word itself. Emission weights and transitions are learned together by gradient steps on the
+A word's features are its affixes (1 to 3 letters at either end), its letter trigrams and, if the lexicon has it, the
+word itself. Emission weights and transitions are learned together by gradient steps on the
 conditional likelihood of sequences spliced from spans of differently labelled documents, so that the model has seen
 switches. Words are labelled by forward-backward over the whole text; a document takes the label with most expected
 words, its score being that share.
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, SPAN, SEQUENCE, ROUNDS = 150, (8, 60), 400, 30
-WORDS_A_LANGUAGE = 60_000
-CACHE_WORDS, CELLS = 250_000, 300_000
+SAMPLE_DOCS, SPAN, SEQUENCE, ROUNDS = 120, (8, 60), 400, 20
+WORDS_A_LANGUAGE = 30_000
+CACHE_WORDS, CELLS, PIECE = 500_000, 300_000, 512
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -33,26 +33,29 @@ def words_of(text: str | None) -> list[str]:
 
 
 def word_features(w: str) -> list[str]:
-    n = len(w)
-    out = [f"={w}"]
-    out += [f"^{w[:k]}" for k in range(1, min(4, n) + 1)]
-    out += [f"{w[-k:]}$" for k in range(1, min(4, n) + 1)]
-    out += [w[i : i + 2] for i in range(n - 1)]
-    out += [w[i : i + 3] for i in range(n - 2)]
-    return out
+    """The word itself, its affixes of up to three letters, and its letter trigrams; ^ and $ mark the ends."""
+    s = f"^{w}$"
+    return [w, s[:2], s[-2:], s[:4], s[-4:], *[s[i : i + 3] for i in range(len(s) - 2)]]
 
 
-def forward_backward(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
-    """Posterior marginals (B, T, L) of sequences sorted by falling size, with emissions exp(score); and expected transitions."""
+def forward_backward(emit, sizes, trans, start, pairs=False, entry=None, leave=None):
+    """Posterior marginals (B, T, L) of sequences sorted by falling size, with emissions exp(score); and expected
+    transitions if asked. entry, leave: the forward vector before and the backward vector after a sequence that is a
+    piece of a longer one (nan in entry: a sequence that starts there)."""
     b, t, labels = emit.shape
     alpha, beta = np.ones_like(emit), np.ones_like(emit)
     live = np.searchsorted(-sizes, -np.arange(t), "left")  # sequences longer than step
-    alpha[:, 0] = start * emit[:, 0]
+    first = np.broadcast_to(start, (b, labels))
+    if entry is not None:
+        first = np.where(np.isnan(entry), first, entry @ trans)
+    alpha[:, 0] = first * emit[:, 0]
     alpha[:, 0] /= alpha[:, 0].sum(1, keepdims=True)
     for i in range(1, t):
         k = live[i]
         a = (alpha[:k, i - 1] @ trans) * emit[:k, i]
         alpha[:k, i] = a / a.sum(1, keepdims=True)
+    if leave is not None:
+        beta[np.arange(b), sizes - 1] = leave
     for i in range(t - 2, -1, -1):
         k = live[i + 1]
         a = (beta[:k, i + 1] * emit[:k, i + 1]) @ trans.T
@@ -62,12 +65,39 @@ def forward_backward(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, sta
     post[np.arange(t)[None, :] >= sizes[:, None]] = 0
     if not pairs:
         return post, None
-    two = np.zeros((labels, labels))
+    joint = alpha[:, :-1, :, None] * trans * (beta[:, 1:] * emit[:, 1:])[:, :, None, :]
+    joint /= joint.sum((2, 3), keepdims=True)
+    return post, np.einsum("btij,bt->ij", joint, (np.arange(1, t)[None, :] < sizes[:, None]).astype(emit.dtype))
+
+
+def borders(emit, sizes, of, trans, start):
+    """Forward vectors before and backward vectors after each piece of long sequences, for forward_backward.
+
+    emit: (pieces, PIECE, L), pieces in order, all but a sequence's last of full size; of: the sequence of each piece.
+    A piece's product of transfer matrices, taken for all pieces together, carries a vector over it either way.
+    """
+    n, t, labels = emit.shape
+    product = np.repeat(np.eye(labels, dtype=emit.dtype)[None], n, 0)
+    for i in range(t):
+        m = np.flatnonzero(sizes > i)
+        p = (product[m].reshape(-1, labels) @ trans).reshape(-1, labels, labels) * emit[m, i, None, :]
+        product[m] = p / p.sum((1, 2), keepdims=True)
+    head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    v = start * emit[head, 0]
     for i in range(1, t):
-        k = live[i]
-        joint = alpha[:k, i - 1, :, None] * trans[None] * (beta[:k, i] * emit[:k, i])[:, None, :]
-        two += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-    return post, two
+        v = (v @ trans) * emit[head, i]
+        v /= v.sum(1, keepdims=True)
+    entry, leave = np.full((n, labels), np.nan, emit.dtype), np.ones((n, labels), emit.dtype)
+    done = dict(zip(head.tolist(), v, strict=True))
+    for k in range(1, n):
+        if k not in done:
+            entry[k] = done[k - 1] / done[k - 1].sum()
+            done[k] = entry[k] @ product[k]
+    for k in range(n - 2, -1, -1):
+        if of[k] == of[k + 1]:
+            x = product[k + 1] @ leave[k + 1]
+            leave[k] = x / x.sum()
+    return entry, leave
 
 
 class Model:
@@ -108,25 +138,51 @@ class Model:
         return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def label(self, texts: list[str | None]):
-        """For each text its words' posteriors (words, labels); texts are run together in blocks of bounded size."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        emits = {}
+        """For each text its words' posteriors (words, labels); pieces are run together in blocks of bounded size."""
+        count = len(self.labels)
+        pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # (text, emissions, entry, leave)
+        fresh, over = np.full(count, np.nan, np.float32), np.ones(count, np.float32)
+        long_: list[tuple[int, np.ndarray]] = []
+
+        def carry():
+            if not long_:
+                return
+            sizes = np.array([len(e) for _, e in long_])
+            block = np.ones((len(long_), PIECE, count), np.float32)
+            for k, (_, e) in enumerate(long_):
+                block[k, : len(e)] = e
+            entry, leave = borders(block, sizes, np.array([i for i, _ in long_]), self.trans, self.start)
+            pieces.extend((i, e, entry[k], leave[k]) for k, (i, e) in enumerate(long_))
+            long_.clear()
+
         for i, text in enumerate(texts):
-            if (words := words_of(text)) and self.labels:
-                emits[i] = self.emissions(words)
-        order = sorted(emits, key=lambda i: -len(emits[i]))
+            if not self.labels or not (words := words_of(text)):
+                continue
+            emit = self.emissions(words)
+            if len(emit) <= PIECE:
+                pieces.append((i, emit, fresh, over))
+            else:
+                long_ += [(i, emit[a : a + PIECE]) for a in range(0, len(emit), PIECE)]
+                if len(long_) * PIECE > CELLS:
+                    carry()
+        carry()
+        found: list[np.ndarray | None] = [None] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k][1]))
         at = 0
         while at < len(order):
-            longest = len(emits[order[at]])
+            longest = len(pieces[order[at]][1])
             some = order[at : at + max(1, CELLS // longest)]
-            block = np.ones((len(some), longest, len(self.labels)), np.float32)
-            sizes = np.array([len(emits[i]) for i in some])
-            for k, i in enumerate(some):
-                block[k, : sizes[k]] = emits[i]
-            post, _ = forward_backward(block, sizes, self.trans, self.start)
-            for k, i in enumerate(some):
-                out[i] = post[k, : sizes[k]]
+            block = np.ones((len(some), longest, count), np.float32)
+            sizes = np.array([len(pieces[k][1]) for k in some])
+            for row, k in enumerate(some):
+                block[row, : sizes[row]] = pieces[k][1]
+            post, _ = forward_backward(block, sizes, self.trans, self.start, entry=np.stack([pieces[k][2] for k in some]), leave=np.stack([pieces[k][3] for k in some]))
+            for row, k in enumerate(some):
+                found[k] = post[row, : sizes[row]]
             at += len(some)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for (i, *_), post in zip(pieces, found, strict=True):
+            out[i] = post if out[i] is None else np.concatenate([out[i], post])
         return out
 
 
@@ -177,7 +233,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) ->
     index: dict[str, int] = {}
     for i, (w, fs) in enumerate(zip(vocab, lists, strict=True)):
         for f in fs:
-            if f not in index and (used[i] >= 3 if f == f"={w}" else seen[f] >= 3):
+            if f not in index and (used[i] >= 3 if f == w else seen[f] >= 3):
                 index[f] = len(index)
     rows = np.repeat(np.arange(len(lists)), [sum(f in index for f in fs) for fs in lists])
     cols = np.array([index[f] for fs in lists for f in fs if f in index], np.int64)

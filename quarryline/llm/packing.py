@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 LIMIT, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-#: Words whose ids one Python worker remembers; beyond it the memory starts afresh.
-CACHE_WORDS = 400_000
+#: Parts whose ids one Python worker remembers; beyond it the memory starts afresh.
+CACHE_PARTS = 600_000
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_CONTROL = re.compile("[\x1c-\x1f]")
 
 
-#: Words of these code points (up to U+024F, no control characters) need no normalisation but lower case.
-_PLAIN = re.compile("[!-~\xa1-ɏ]*")
+#: Text of these code points (white space, and printable ones up to U+024F) needs no normalisation but lower case.
+_PLAIN = re.compile("[\t-\r -~\xa1-ɏ]*")
 _NUMBER = "\xb2\xb3\xb9\xbc-\xbe"
 _TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_{_NUMBER}]+|[\d{_NUMBER}]|(?:[^\s\w]|_)+")
 
@@ -41,11 +41,11 @@ def _byte_symbols() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """Ids of texts, word by word: this vocabulary drops white space and never joins across it.
+    """Ids of texts, part by part: this vocabulary drops white space and never joins across the parts of its split.
 
-    A word's ids are found once and kept. Plain words are lower-cased and split here and only their parts go to the
-    model; any other word, and one that might hold a special token, is encoded by the tokenizer as it stands. The
-    result equals encoding the whole text.
+    The ids of a part are found once and kept. A plain text is lower-cased and split here and only its parts go to the
+    model; words with other characters, and those that might hold a special token, are encoded by the tokenizer as they
+    stand. The result equals encoding the whole text.
     """
 
     def __init__(self, path: str):
@@ -54,7 +54,6 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.symbols = _byte_symbols()
-        self.parts: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -64,27 +63,15 @@ class WordTokenizer:
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _encode(self, word: str) -> list[int]:
-        if "<|" in word or not _PLAIN.fullmatch(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in _TOKENS.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                mapped = part if part.isascii() else "".join(map(self.symbols.__getitem__, part.encode()))
-                if len(self.parts) >= CACHE_WORDS:
-                    self.parts.clear()
-                ids = self.parts[part] = [t.id for t in self.model.tokenize(mapped)]
-            out += ids
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
+    def _learn(self, parts: list[str]) -> None:
+        if self.known and len(self.known) + len(parts) > CACHE_PARTS:
             self._clear()
-        lists = list(map(self._encode, words))
+        tokenize, symbols, lists = self.model.tokenize, self.symbols, []
+        for part in parts:
+            lists.append([t.id for t in tokenize(part if part.isascii() else "".join(map(symbols.__getitem__, part.encode())))])
         size = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-        n, new = len(self.known), len(words)
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+        n, new = len(self.known), len(parts)
         while n + new > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         while self.used + len(ids) > len(self.flat):
@@ -93,22 +80,32 @@ class WordTokenizer:
         self.size[n : n + new] = size
         self.start[n : n + new] = self.used + np.cumsum(size) - size
         self.used += len(ids)
-        self.known.update(zip(words, range(n, n + new), strict=True))
+        self.known.update(zip(parts, range(n, n + new), strict=True))
 
     def ids(self, text: str) -> np.ndarray:
-        words = [w for w in _SPACES.split(text) if w] if _CONTROL.search(text) else text.split()
-        if not words:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self._plain(text)
+        out, run = [], []
+        for word in _SPACES.split(text):
+            if _PLAIN.fullmatch(word) and "<|" not in word:
+                run.append(word)
+                continue
+            out += [self._plain(" ".join(run)), np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)]
+            run = []
+        return np.concatenate([*out, self._plain(" ".join(run))])
+
+    def _plain(self, text: str) -> np.ndarray:
+        parts = _TOKENS.findall(text.lower())
+        if not parts:
             return np.zeros(0, np.uint32)
-        missing = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(missing) > CACHE_WORDS // 2:
-            half = len(words) // 2
-            return np.concatenate([self.ids(" ".join(words[:half])), self.ids(" ".join(words[half:]))])
+        known = self.known
+        missing = [w for w in set(parts) if w not in known]
         if missing:
-            before = len(self.known)
+            before = len(known)
             self._learn(missing)
             if len(self.known) < before + len(missing):
-                self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                self._learn([w for w in set(parts) if w not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         size = self.size[at]
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]

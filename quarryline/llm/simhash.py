@@ -121,7 +121,7 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps[row])], names=["key", "fp"])
 
 
-def _within(batches, max_bits: int):
+def _within(batches, max_bits: int, small: int = SMALL):
     """Rows sorted by key: verified pairs of small groups, (fp, fp) for each member of a large one."""
     key = np.zeros(0, np.int64)
     fp = np.zeros(0, np.int64)
@@ -129,7 +129,7 @@ def _within(batches, max_bits: int):
 
     def pairs(key, fp):
         out = []
-        for d in range(1, SMALL):
+        for d in range(1, small):
             same = np.flatnonzero(key[d:] == key[:-d]) if d < len(key) else []
             if not len(same):
                 break
@@ -156,11 +156,11 @@ def _within(batches, max_bits: int):
                 continue
             large = None
         last = int(np.searchsorted(key, key[-1], "left"))
-        if len(key) - last > SMALL:
+        if len(key) - last > small:
             large, last = int(key[-1]), len(key)
         done, of = key[:last], fp[:last]
         _, where, size = np.unique(done, return_inverse=True, return_counts=True)
-        big = size[where] > SMALL if len(done) else np.zeros(0, bool)
+        big = size[where] > small if len(done) else np.zeros(0, bool)
         out.append((of[big], of[big]))
         out += pairs(done[~big], of[~big])
         key, fp = key[last:], fp[last:]
@@ -168,12 +168,12 @@ def _within(batches, max_bits: int):
     yield rows(pairs(key, fp))
 
 
-def link_fingerprints(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+def link_fingerprints(fps: DataFrame, max_bits: int = 2, small: int = SMALL) -> DataFrame:
     """(a, b) edges over the distinct values of fps.fp whose components are those of 'at most max_bits (2 or fewer) bits apart'."""
     if max_bits > 2:
         raise ValueError("the keys are complete up to two differing bits")
     keyed = fps.select("fp").distinct().mapInArrow(_keyed, "key long, fp long")
-    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _within(b, max_bits), "a long, b long"))
+    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _within(b, max_bits, small), "a long, b long"))
     edges = found.where("a <> b").distinct()
     large = found.where("a = b").select(F.col("a").alias("fp")).distinct()
     flips = [F.lit(0), *[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)]]
@@ -184,11 +184,11 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return edges.unionAll(star)
 
 
-def classes(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+def classes(fps: DataFrame, max_bits: int = 2, small: int = SMALL) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most max_bits differing bits."""
     fps = written(fps)
     first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = link_fingerprints(first, max_bits)
+    edges = link_fingerprints(first, max_bits, small)
     named = edges.join(first.select(F.col("fp").alias("a"), F.col("first").alias("_a")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("_b")), "b")
     roots = components(named.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     by_fp = first.join(roots, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("root", "first").alias("component_id"))

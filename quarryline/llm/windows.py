@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import _Q, Sums, buffers, contexts, cut, mix, words
-from .common import drop, release, written
+from .common import bounds, drop, release, written
 
 WINDOW, GRAM, BATCHES, FANOUT = 13, 4, 3, 2
 
@@ -185,7 +185,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = sorted(set(docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if docs.limit(1).count() else []
+    cuts = bounds(docs, "doc_id", batches)
     index, shared = FingerprintIndex(spark), []
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         part = docs
