@@ -24,7 +24,7 @@ from .anchors import _Q, _R, Sums, buffers, contexts, cut
 from .common import release, written
 from .suffixes import repeated
 
-LENGTH, GRAM, SHARD = 400, 64, 4 << 20
+LENGTH, GRAM, SHARD = 400, 64, 1 << 20
 
 
 def occurrences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -78,15 +78,21 @@ def _sorted_shards(length: int, most: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), many, many), strict=True)], names=["anchor", "c1", "c2", "lo", "hi"])
 
     def run(batches):
-        rows, size, last = [], 0, None
+        rows, size, last, seen = [], 0, None, set()
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("anchor", "c1", "c2", "body")), strict=True):
-                if row[0] != last and size >= most:
-                    yield work(rows)
-                    rows, size = [], 0
+            for cells in zip(*(batch[c] for c in ("anchor", "c1", "c2", "body")), strict=True):
+                row = tuple(x.as_py() for x in cells)
+                if row[0] != last:
+                    seen.clear()
+                    if size >= most:
+                        yield work(rows)
+                        rows, size = [], 0
+                last = row[0]
+                if row[1:3] in seen:  # rows equal in doc_id and text bring the same context again
+                    continue
+                seen.add(row[1:3])
                 rows.append(row)
                 size += len(row[3])
-                last = row[0]
         if rows:
             yield work(rows)
 
@@ -125,7 +131,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, shard: int =
     several = ctx.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     wanted = ctx.join(several, "anchor").groupBy("at.uid").agg(F.collect_list(F.struct(*keys, F.col("at.first").alias("first"), F.col("at.count").alias("count"))).alias("wanted"))
     one = docs.select("uid", "text").join(wanted, "uid")
-    bodies = one.select("text", "wanted").mapInArrow(_slices(length), "anchor long, c1 long, c2 long, body binary").dropDuplicates(keys)
+    bodies = one.select("text", "wanted").mapInArrow(_slices(length), "anchor long, c1 long, c2 long, body binary")
     sorted_ = bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length, shard), "anchor long, c1 long, c2 long, lo array<long>, hi array<long>")
     partly = written(sorted_.select(*keys, F.arrays_zip("lo", "hi").alias("spans")))
     release(spark)
