@@ -197,7 +197,7 @@ def classes(fps: DataFrame, max_bits: int = 2, small: int = SMALL) -> DataFrame:
 
 # --- Near-duplicate removal at a shingle similarity ------------------------------------------------------------------
 
-SLICES, SKETCH = 16, 256
+SLICES, SKETCH, TURNS = 16, 256, 3
 
 
 def slice_fingerprints(h: np.ndarray, slices: int = SLICES) -> list[int]:
@@ -214,10 +214,15 @@ def slice_fingerprints(h: np.ndarray, slices: int = SLICES) -> list[int]:
     out = []
     for k in {max(0, int(np.floor(size))), max(0, int(np.floor(size + 0.33)))}:
         which = mixed >> np.uint64(64 - k) if k else np.zeros(len(h), np.uint64)
-        for s in range(min(slices, 1 << k)):
-            mine = h[which == s]
-            if len(mine):
-                out.append(hash((k, s, majority(mine))) & 0x7FFFFFFFFFFFFFFF)
+        order = np.argsort(which, kind="stable")
+        order = order[: int(np.searchsorted(which[order], np.uint64(slices), "left"))]
+        if not len(order):
+            continue
+        first = np.flatnonzero(np.r_[True, which[order][1:] != which[order][:-1]])
+        bits = np.unpackbits(h[order].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        most = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int64) > np.diff(np.r_[first, len(order)])[:, None]
+        prints = np.packbits(most, axis=1).view(">u8").ravel()
+        out += [hash((k, int(w), int(x))) & 0x7FFFFFFFFFFFFFFF for w, x in zip(which[order][first], prints, strict=True)]
     return out
 
 
@@ -248,8 +253,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """(doc_id, component_id) of every document that is not alone in its group.
 
     Equal texts are one representative. Candidates are representatives whose whole SimHash lies within two bits (by the
-    Golay keys) or that share a slice's SimHash; a group of candidates is checked against its first member, what fails
-    against the first of the rest, and so on, so no group is paired up. Every link is verified by shingle likeness.
+    Golay keys) or that share a slice's SimHash; a group of candidates is checked against its first member and what
+    fails against the first of the rest, TURNS times, so no group is paired up. What is still left, groups whose slice
+    is a passage that unlike documents share, is checked between neighbours in the order of the whole SimHash; like
+    documents share many slices, but a link that no slice puts together that way is lost. Every link is verified by
+    shingle likeness.
     """
     info = written(sketches(docs, shingle))
     reps = info.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -263,9 +271,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     sketch = info.select("doc_id", "sketch").dropDuplicates(["doc_id"])
     checked = None
     todo, extra = members, whole
-    while True:
+    for turn in range(TURNS + 1):
         first = todo.groupBy("key").agg(F.min("doc_id").alias("a"))
         tries = todo.join(first, "key").where("doc_id <> a").select("key", "a", F.col("doc_id").alias("b"))
+        if turn == TURNS:
+            rest = todo.join(distinct.select("doc_id", "fp"), "doc_id")
+            tries = rest.select("key", F.expr("lag(doc_id) over (partition by key order by fp, doc_id)").alias("a"), F.col("doc_id").alias("b")).where("a is not null")
         pairs = tries.select("a", "b")
         if extra is not None:
             pairs = pairs.unionAll(extra.select("a", "b"))
@@ -280,6 +291,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         joined = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
         result = written(joined.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, good boolean"))
         checked = result if checked is None else checked.unionAll(result)
+        if turn == TURNS:
+            break
         left = written(tries.join(result.where("not good"), ["a", "b"]).select("key", F.col("b").alias("doc_id")).distinct())
         if left.join(left.groupBy("key").count().where("count > 1"), "key").limit(1).count() == 0:
             break
