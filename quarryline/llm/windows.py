@@ -206,10 +206,18 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int
     open_ = looked.where("text is not null")
     occ = open_.select("doc_id", "rid", "text", "shared").mapInArrow(_occurrences(window), "anchor long, ctx long, doc_id long, rid long, first int, wins array<long>")
     ctx = written(occ.groupBy("anchor", "ctx").agg(F.min("doc_id").alias("lo"), F.first("wins").alias("wins")))
-    each = ctx.select("anchor", "ctx", "lo", F.posexplode("wins").alias("off", "h"))
+    release(spark)
+    several = ctx.groupBy("anchor").agg(F.count("*").alias("k"))
+    counted = written(ctx.join(several, "anchor"))
+    drop(ctx)
+    release(spark)
+    ctx = counted
+    each = ctx.where("k > 1").select("anchor", "ctx", "lo", F.posexplode("wins").alias("off", "h"))
     low = each.groupBy("anchor", "h").agg(F.min("lo").alias("wlo"))
     lows = each.join(low, ["anchor", "h"]).groupBy("anchor", "ctx").agg(F.collect_list(F.struct("off", "wlo")).alias("lows"))
-    lows = written(lows)
+    alone = ctx.where("k = 1").select("anchor", "ctx", F.transform("wins", lambda _, i: F.struct(i.alias("off"), F.col("lo").alias("wlo"))).alias("lows"))
+    lows = written(lows.unionAll(alone))
+    release(spark)
     hit = occ.select("anchor", "ctx", "doc_id", "rid", "first").join(lows, ["anchor", "ctx"])
     starts = F.transform(F.filter("lows", lambda x: x["wlo"] < F.col("doc_id")), lambda x: x["off"] + F.col("first"))
     spans = hit.select("doc_id", "rid", starts.alias("s")).where(F.size("s") > 0).groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("s")).alias("starts"))
