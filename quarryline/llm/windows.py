@@ -172,9 +172,9 @@ def _removed(window: int):
                 start, end, _ = words(data, offsets)
                 gone = np.zeros(len(start) + 1, np.int64)
                 if batch["starts"][k].is_valid:
-                    s = np.unique(batch["starts"][k].values.to_numpy())
+                    s, n = (batch[c][k].values.to_numpy() for c in ("starts", "counts"))
                     np.add.at(gone, s, 1)
-                    np.add.at(gone, np.minimum(s + window, len(start)), -1)
+                    np.add.at(gone, np.minimum(s + n + window - 1, len(start)), -1)
                 keep = np.cumsum(gone)[:-1] == 0
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(k, 1), pa.array([len(start)]), pa.array([int((~keep).sum())]), pa.array([_digest(data, start, end, keep)])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -208,18 +208,24 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int
     ctx = written(occ.groupBy("anchor", "ctx").agg(F.min("doc_id").alias("lo"), F.first("wins").alias("wins")))
     release(spark)
     several = ctx.groupBy("anchor").agg(F.count("*").alias("k"))
-    counted = written(ctx.join(several, "anchor"))
+    counted = written(ctx.join(several, "anchor").select("anchor", "ctx", "lo", F.when(F.col("k") > 1, F.col("wins")).alias("wins")))
     drop(ctx)
     release(spark)
-    ctx = counted
-    each = ctx.where("k > 1").select("anchor", "ctx", "lo", F.posexplode("wins").alias("off", "h"))
-    low = each.groupBy("anchor", "h").agg(F.min("lo").alias("wlo"))
-    lows = each.join(low, ["anchor", "h"]).groupBy("anchor", "ctx").agg(F.collect_list(F.struct("off", "wlo")).alias("lows"))
-    alone = ctx.where("k = 1").select("anchor", "ctx", F.transform("wins", lambda _, i: F.struct(i.alias("off"), F.col("lo").alias("wlo"))).alias("lows"))
-    lows = written(lows.unionAll(alone))
+    # A context's windows are as old as its first document, unless another context of the anchor had one of them earlier.
+    each = counted.where("wins is not null").select("anchor", "ctx", "lo", F.posexplode("wins").alias("off", "h"))
+    low = written(each.groupBy("anchor", "h").agg(F.min("lo").alias("wlo"), F.max("lo").alias("whi")).where("wlo < whi").select("anchor", "h", "wlo"))
     release(spark)
-    hit = occ.select("anchor", "ctx", "doc_id", "rid", "first").join(lows, ["anchor", "ctx"])
-    starts = F.transform(F.filter("lows", lambda x: x["wlo"] < F.col("doc_id")), lambda x: x["off"] + F.col("first"))
-    spans = hit.select("doc_id", "rid", starts.alias("s")).where(F.size("s") > 0).groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("s")).alias("starts"))
-    cut_ = open_.select("doc_id", "rid", "text").join(spans, ["doc_id", "rid"], "left").select("doc_id", "text", "starts").mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    older = each.join(low, ["anchor", "h"]).where("wlo < lo").groupBy("anchor", "ctx").agg(F.collect_list("off").alias("offs"))
+    lows = written(counted.select("anchor", "ctx", "lo").join(older, ["anchor", "ctx"], "left"))
+    drop(counted)
+    drop(low)
+    release(spark)
+    place = occ.select("anchor", "ctx", "doc_id", "rid", "first", F.size("wins").alias("n"))
+    hit = place.join(lows, ["anchor", "ctx"]).where("lo < doc_id or offs is not null")
+    span = lambda start, n: F.struct(start.cast("int").alias("at"), n.cast("int").alias("n"))
+    found = F.when(F.col("lo") < F.col("doc_id"), F.array(span(F.col("first"), F.col("n")))).otherwise(F.transform("offs", lambda x: span(x + F.col("first"), F.lit(1))))
+    spans = written(hit.select("doc_id", "rid", F.explode(found).alias("s")).groupBy("doc_id", "rid").agg(F.collect_list("s").alias("spans")).select("doc_id", "rid", F.col("spans.at").alias("starts"), F.col("spans.n").alias("counts")))
+    drop(lows)
+    release(spark)
+    cut_ = open_.select("doc_id", "rid", "text").join(spans, ["doc_id", "rid"], "left").select("doc_id", "text", "starts", "counts").mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return looked.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").unionAll(cut_)
