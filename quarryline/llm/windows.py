@@ -18,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 from functools import reduce
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,42 +109,27 @@ def anchor_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
 
 
-def _digest(data: np.ndarray, start: np.ndarray, end: np.ndarray, keep: np.ndarray) -> str:
-    raw = data.tobytes()
-    return hashlib.sha256(b" ".join(raw[a:b] for a, b in zip(start[keep].tolist(), end[keep].tolist(), strict=True))).hexdigest()
+def _digest(kept) -> str:
+    return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
 def _touched(batches):
     """Rows with their shared anchors: those without any are final, the others keep their text."""
     for batch in batches:
-        ids, texts, shared = batch["doc_id"], batch["text"], batch["shared"]
-        for k in range(batch.num_rows):
-            text, row = texts[k].as_py() or "", [ids[k].as_py(), batch["rid"][k].as_py()]
-            if shared[k].is_valid:
-                out = [*row, None, None, text, shared[k].as_py()]
-            else:
-                raw = text.encode("utf-8", "surrogatepass").split()
-                out = [*row, len(raw), hashlib.sha256(b" ".join(raw)).hexdigest(), None, None]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "rid", "n_words", "kept_sha256", "text", "shared"])
+        for part in cut(batch, "text"):
+            text, shared = part["text"], part["shared"]
+            more, counts, digests = shared.is_valid(), [], []
+            for raw, open_ in zip(text.cast(pa.binary()), more.to_pylist(), strict=True):
+                split = None if open_ else (raw.as_py() or b"").split()
+                counts.append(None if open_ else len(split))
+                digests.append(None if open_ else _digest(split))
+            text = text.fill_null("").take(pc.if_else(more, pa.array(np.arange(len(text))), None))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["rid"], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), text, shared], names=["doc_id", "rid", "n_words", "kept_sha256", "text", "shared"])
 
 
-def _bulk(make, size: int = 2000):
-    """Join single-row batches into larger ones."""
+def _occurrences(window: int, hashed: bool):
+    """Contexts of the shared anchors, with the hashes of their windows or only with their number."""
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for one in make(batches):
-            held.append(one)
-            if len(held) >= size:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return run
-
-
-def _occurrences(window: int):
     def run(batches):
         for batch in batches:
             for part in cut(batch, "text"):
@@ -154,31 +141,37 @@ def _occurrences(window: int):
                 keep = np.isin(mix(anchor) ^ mine.astype(np.uint64), mix(flat) ^ owner.astype(np.uint64))
                 anchor, first, count, mine = anchor[keep], first[keep], count[keep], mine[keep]
                 ctx = sums.of(first, first + count + window - 1)
-                ends = np.cumsum(count)
-                start = np.repeat(first, count) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
-                wins = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(sums.of(start, start + window).view(np.int64)))
+                wins = pa.array(count.astype(np.int32))
+                if hashed:
+                    ends = np.cumsum(count)
+                    start = np.repeat(first, count) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
+                    wins = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(sums.of(start, start + window).view(np.int64)))
                 base = np.searchsorted(block, np.arange(part.num_rows), "left")
                 take = pa.array(mine)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(ctx.view(np.int64)), part["doc_id"].take(take), part["rid"].take(take), pa.array((first - base[mine]).astype(np.int32)), wins], names=["anchor", "ctx", "doc_id", "rid", "first", "wins"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(ctx.view(np.int64)), part["doc_id"].take(take), part["rid"].take(take), pa.array((first - base[mine]).astype(np.int32)), wins], names=["anchor", "ctx", "doc_id", "rid", "first", "wins" if hashed else "n"])
 
     return run
 
 
 def _removed(window: int):
-    def make(batches):
+    def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                data, offsets = buffers(batch["text"].slice(k, 1))
-                start, end, _ = words(data, offsets)
-                gone = np.zeros(len(start) + 1, np.int64)
-                if batch["starts"][k].is_valid:
-                    s, n = (batch[c][k].values.to_numpy() for c in ("starts", "counts"))
-                    np.add.at(gone, s, 1)
-                    np.add.at(gone, np.minimum(s + n + window - 1, len(start)), -1)
-                keep = np.cumsum(gone)[:-1] == 0
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(k, 1), pa.array([len(start)]), pa.array([int((~keep).sum())]), pa.array([_digest(data, start, end, keep)])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            for part in cut(batch, "text"):
+                at, starts, counts = (x.to_numpy() for x in (part["starts"].offsets, part["starts"].values, part["counts"].values))
+                n_words, n_removed, digests = [], [], []
+                for k, raw in enumerate(part["text"].cast(pa.binary())):
+                    split = raw.as_py().split()
+                    n, s, c = len(split), starts[at[k] : at[k + 1]], counts[at[k] : at[k + 1]]
+                    kept = split
+                    if len(s):
+                        open_ = np.bincount(s, minlength=n + 1) - np.bincount(np.minimum(s + c + window - 1, n), minlength=n + 1)
+                        kept = list(compress(split, (np.cumsum(open_)[:n] == 0).tolist()))
+                    n_words.append(n)
+                    n_removed.append(n - len(kept))
+                    digests.append(_digest(kept))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _bulk(make)
+    return run
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
@@ -201,10 +194,12 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int
     by_doc = anchor_rows(docs, window).join(shared_anchors, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
     rid = F.xxhash64(F.coalesce("text", F.lit("")))
     looked = docs.withColumn("rid", rid).join(by_doc, "doc_id", "left").select("doc_id", "rid", "text", "shared")
-    looked = written(looked.mapInArrow(_bulk(_touched), "doc_id long, rid long, n_words long, kept_sha256 string, text string, shared array<long>"))
+    looked = written(looked.mapInArrow(_touched, "doc_id long, rid long, n_words long, kept_sha256 string, text string, shared array<long>"))
     release(spark)
     open_ = looked.where("text is not null")
-    occ = open_.select("doc_id", "rid", "text", "shared").mapInArrow(_occurrences(window), "anchor long, ctx long, doc_id long, rid long, first int, wins array<long>")
+    shape = "anchor long, ctx long, doc_id long, rid long, first int, "
+    chosen = open_.select("doc_id", "rid", "text", "shared")
+    occ = chosen.mapInArrow(_occurrences(window, True), shape + "wins array<long>")
     ctx = written(occ.groupBy("anchor", "ctx").agg(F.min("doc_id").alias("lo"), F.first("wins").alias("wins")))
     release(spark)
     several = ctx.groupBy("anchor").agg(F.count("*").alias("k"))
@@ -220,7 +215,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int
     drop(counted)
     drop(low)
     release(spark)
-    place = occ.select("anchor", "ctx", "doc_id", "rid", "first", F.size("wins").alias("n"))
+    place = chosen.mapInArrow(_occurrences(window, False), shape + "n int")
     hit = place.join(lows, ["anchor", "ctx"]).where("lo < doc_id or offs is not null")
     span = lambda start, n: F.struct(start.cast("int").alias("at"), n.cast("int").alias("n"))
     found = F.when(F.col("lo") < F.col("doc_id"), F.array(span(F.col("first"), F.col("n")))).otherwise(F.transform("offs", lambda x: span(x + F.col("first"), F.lit(1))))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarryline.llm import decontaminate, fingerprint, language, lines, packing, quality, queries, simhash, substrings, suffixes, urls, windows
@@ -150,6 +151,24 @@ def test_windows(docs, n, batches):
     assert got == window_brute(texts, n)
 
 
+def test_windows_of_batches_cut_by_size():
+    texts = ["a b " * 900_000, None, "one two three", "", "c d\t" * 1_500_000, "four", "e f\n" * 700_000]
+    ids, shared = list(range(len(texts))), [[1, 2], None, None, None, [3], [4, 5], None]
+    batch = pa.record_batch([pa.array([None, *ids]), pa.array([0, *ids]), pa.array(["", *texts]), pa.array([None, *shared], pa.list_(pa.int64()))], names=["doc_id", "rid", "text", "shared"]).slice(1)
+    got = [r for out in windows._touched([batch]) for r in out.to_pylist()]
+    assert [(r["doc_id"], r["rid"], r["text"], r["shared"]) for r in got] == [(i, i, t if s else None, s) for i, t, s in zip(ids, texts, shared, strict=True)]
+    assert [(r["n_words"], r["kept_sha256"]) for r in got] == [(None, None) if s else (len(words_of(t)), sha(" ".join(words_of(t)))) for t, s in zip(texts, shared, strict=True)]
+    texts = [t or "" for t in texts]
+    starts = [[0, 5], None, None, None, [2_999_990], None, [10]]
+    lists = lambda x: pa.array([[9], *x], pa.list_(pa.int32()))
+    batch = pa.record_batch([pa.array([0, *ids]), pa.array(["", *texts]), lists(starts), lists([s and [1] * len(s) for s in starts])], names=["doc_id", "text", "starts", "counts"]).slice(1)
+    got = [r for out in windows._removed(13)([batch]) for r in out.to_pylist()]
+    for r, t, s in zip(got, texts, starts, strict=True):
+        w = words_of(t)
+        gone = {j for k in s or [] for j in range(k, min(k + 13, len(w)))}
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
+
+
 def test_tokenizer_and_packing(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
