@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 SHRINKAGE = 0.1
 _N = 256
@@ -141,8 +141,14 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those the classifier scores under the threshold; scored where the text is, no text is shuffled."""
-    model = train(features(docs), training_labels(labels))
+    """docs without those the classifier scores under the threshold; scored where the text is, no text is shuffled.
+
+    The statistics are a table before they are summed, so that a task never runs two Python workers one after another.
+    """
+    learned_from = training_labels(labels)
+    feats = written(features(training_labels(docs)))
+    model = train(feats, learned_from)
+    drop(feats)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
