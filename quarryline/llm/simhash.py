@@ -249,15 +249,41 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, "doc_id long, h1 long, h2 long, fp long, keys array<long>, sketch binary")
 
 
+def _verified(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, good) of distinct candidate pairs."""
+
+    def verify(batches):
+        for batch in batches:
+            good = [likeness(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(batch["sa"], batch["sb"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(good, pa.bool_())], names=["a", "b", "good"])
+
+    joined = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+    return written(joined.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, good boolean"))
+
+
+def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct (a, b) that share a key and are not yet in one component: every such pair.
+
+    In each key the largest component is set against the others, and these against each other, so a group that hangs
+    together but for a few members costs those few times its size.
+    """
+    placed = written(members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    most = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    open_ = written(placed.join(most, "key"))
+    few, other = open_.where("root <> main").alias("x"), open_.alias("y")
+    joined = few.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))))
+    return joined.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every document that is not alone in its group.
 
     Equal texts are one representative. Candidates are representatives whose whole SimHash lies within two bits (by the
     Golay keys) or that share a slice's SimHash; a group of candidates is checked against its first member and what
-    fails against the first of the rest, TURNS times, so no group is paired up. What is still left, groups whose slice
-    is a passage that unlike documents share, is checked between neighbours in the order of the whole SimHash; like
-    documents share many slices, but a link that no slice puts together that way is lost. Every link is verified by
-    shingle likeness.
+    fails against the first of the rest, TURNS times, which puts most like documents into one component without pairing
+    the group up. Then every pair of candidates that is not in one component yet is checked, members that passed
+    included, so no link between candidates is lost. Every link is verified by shingle likeness.
     """
     info = written(sketches(docs, shingle))
     reps = info.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -271,33 +297,21 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     sketch = info.select("doc_id", "sketch").dropDuplicates(["doc_id"])
     checked = None
     todo, extra = members, whole
-    for turn in range(TURNS + 1):
+    for turn in range(TURNS):
         first = todo.groupBy("key").agg(F.min("doc_id").alias("a"))
         tries = todo.join(first, "key").where("doc_id <> a").select("key", "a", F.col("doc_id").alias("b"))
-        if turn == TURNS:
-            rest = todo.join(distinct.select("doc_id", "fp"), "doc_id")
-            tries = rest.select("key", F.expr("lag(doc_id) over (partition by key order by fp, doc_id)").alias("a"), F.col("doc_id").alias("b")).where("a is not null")
         pairs = tries.select("a", "b")
         if extra is not None:
             pairs = pairs.unionAll(extra.select("a", "b"))
             extra = None
-        pairs = pairs.distinct()
-
-        def verify(batches):
-            for batch in batches:
-                good = [likeness(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(batch["sa"], batch["sb"], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(good, pa.bool_())], names=["a", "b", "good"])
-
-        joined = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-        result = written(joined.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, good boolean"))
+        result = _verified(pairs.distinct(), sketch, similarity)
         checked = result if checked is None else checked.unionAll(result)
-        if turn == TURNS:
-            break
-        left = written(tries.join(result.where("not good"), ["a", "b"]).select("key", F.col("b").alias("doc_id")).distinct())
-        if left.join(left.groupBy("key").count().where("count > 1"), "key").limit(1).count() == 0:
+        if turn == TURNS - 1:
             break
-        todo = left
-    edges = checked.where("good").select("a", "b").unionAll(copies)
+        todo = written(tries.join(result.where("not good"), ["a", "b"]).select("key", F.col("b").alias("doc_id")).distinct())
+    roots = components(checked.where("good").select("a", "b"))
+    rest = _verified(_across(members, roots), sketch, similarity)
+    edges = checked.unionAll(rest).where("good").select("a", "b").unionAll(copies)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 

@@ -351,6 +351,25 @@ def test_near_dedup(spark):
             assert any((len(s & sets[j]) / len(s | sets[j]) if s | sets[j] else 1.0) >= 0.75 for j in range(len(sets)) if j != i), i
 
 
+def test_near_groups_around_a_hub(spark):
+    """Variants of one text, each like it and unlike each other, one of them before it: all are one group."""
+    base = [f"h{i}" for i in range(200)]
+    variants = []
+    for k in range(10):
+        v = list(base)
+        for j in range(4):
+            v[5 + 19 * k // 2 + 24 * j] = f"v{k}x{j}"
+        variants.append(" ".join(v))
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_groups(frame(spark, [variants[0], *variants[1:5], " ".join(base), *variants[5:]])))}
+    assert got == dict.fromkeys(range(11), 0)
+
+
+def test_every_pair_of_a_key_that_is_not_in_one_component(spark):
+    members = spark.createDataFrame([(7, i) for i in range(24)], "key long, doc_id long")
+    pairs = simhash._across(members, spark.createDataFrame([(1, 0), (0, 0)], "node long, root long"))
+    assert {(r["a"], r["b"]) for r in rows(pairs)} == {(a, b) for a in range(24) for b in range(a + 1, 24)} - {(0, 1)}
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(1)
     for _ in range(150):
