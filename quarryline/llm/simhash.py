@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, two_hashes, written
@@ -197,33 +197,42 @@ def classes(fps: DataFrame, max_bits: int = 2, small: int = SMALL) -> DataFrame:
 
 # --- Near-duplicate removal at a shingle similarity ------------------------------------------------------------------
 
-SLICES, SKETCH, TURNS = 16, 256, 3
+SKETCH, TURNS = 256, 3
+_BUCKET_BITS = 20
 
 
-def slice_fingerprints(h: np.ndarray, slices: int = SLICES) -> list[int]:
-    """Keys of a set of shingle hashes: SimHashes of slices of the hash space that hold 4 to 8 shingles on average.
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
 
-    The number of slices is the power of two that fits the set's size, and the next one too near the upper end, so that
-    two sets of similar size have slices in common; at most `slices` of them are used.
+
+def bucket_counts(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Documents by bucket of their shingle hashes, from buckets that a task meets twice: what is common, for the order of keys."""
+
+    def run(batches):
+        n = np.zeros(1 << _BUCKET_BITS, np.int32)
+        for batch in batches:
+            for t in batch["text"]:
+                np.add.at(n, _bucket(np.unique(shingle_hashes(t.as_py(), shingle))), 1)
+        at = np.flatnonzero(n > 1)
+        for k in range(0, len(at), 100_000):
+            part = at[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part].astype(np.int64))], names=["bucket", "n"])
+
+    got = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << _BUCKET_BITS, np.int64)
+    counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return counts
+
+
+def prefix_keys(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in one order of all shingles, rare ones first: sets of this similarity share one.
+
+    Of n shingles that is all but those that an overlap needs and one more: two sets that share none of them have fewer
+    than ceil(similarity * n) shingles in common. That holds in any order; `counts` only makes the keys selective.
     """
     h = np.unique(h)
-    if not len(h):
-        return [0]
-    size = np.log2(len(h) / 4)
-    mixed = h * np.uint64(0x9E3779B97F4A7C15)
-    out = []
-    for k in {max(0, int(np.floor(size))), max(0, int(np.floor(size + 0.33)))}:
-        which = mixed >> np.uint64(64 - k) if k else np.zeros(len(h), np.uint64)
-        order = np.argsort(which, kind="stable")
-        order = order[: int(np.searchsorted(which[order], np.uint64(slices), "left"))]
-        if not len(order):
-            continue
-        first = np.flatnonzero(np.r_[True, which[order][1:] != which[order][:-1]])
-        bits = np.unpackbits(h[order].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        most = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int64) > np.diff(np.r_[first, len(order)])[:, None]
-        prints = np.packbits(most, axis=1).view(">u8").ravel()
-        out += [hash((k, int(w), int(x))) & 0x7FFFFFFFFFFFFFFF for w, x in zip(which[order][first], prints, strict=True)]
-    return out
+    need = int(np.ceil(similarity * len(h) - 1e-9))
+    return h[np.lexsort((h, counts[_bucket(h)]))][: len(h) - need + 1] if len(h) else h
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
@@ -232,21 +241,25 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.isin(union, a, assume_unique=True)[np.isin(union, b, assume_unique=True)].sum() / max(1, len(union)))
 
 
-def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, h1, h2, fp, keys, sketch): text hash, SimHash, slice keys, the SKETCH smallest 32-bit shingle hashes."""
+def sketches(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, h1, h2, n, keys, sketch): text hash, number of shingles, prefix keys in order, the SKETCH smallest 32-bit shingle hashes."""
+    shared = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle))
 
     def run(batches):
+        counts = shared.value
         for batch in batches:
-            fps, keys, mins = [], [], []
-            for t in batch["text"]:
-                h = shingle_hashes(t.as_py(), shingle)
-                fps.append(majority(h))
-                keys.append(slice_fingerprints(h))
-                mins.append(np.unique(h >> np.uint64(32))[:SKETCH].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["h1"], batch["h2"], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())], names=["doc_id", "h1", "h2", "fp", "keys", "sketch"])
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                sizes, keys, mins = [], [], []
+                for t in part["text"]:
+                    h = np.unique(shingle_hashes(t.as_py(), shingle))
+                    sizes.append(len(h))
+                    keys.append(prefix_keys(h, counts, similarity).view(np.int64))
+                    mins.append(np.unique(h >> np.uint64(32))[:SKETCH].astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["h1"], part["h2"], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())], names=["doc_id", "h1", "h2", "n", "keys", "sketch"])
 
     h1, h2 = two_hashes(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, "doc_id long, h1 long, h2 long, fp long, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, "doc_id long, h1 long, h2 long, n long, keys array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
@@ -261,8 +274,18 @@ def _verified(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFra
     return written(joined.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, good boolean"))
 
 
-def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct (a, b) that share a key and are not yet in one component: every such pair.
+def _can_be_like(x: str, y: str, similarity: float) -> Column:
+    """False only if rows (pos, n) of a shared key cannot be the first key that two like documents share.
+
+    The overlap is then at most what is left of either from that key on; it has to be similarity / (1 + similarity) of
+    both sizes.
+    """
+    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
+    return left + 1e-6 >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (similarity / (1 + similarity))
+
+
+def _across(members: DataFrame, roots: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Distinct (a, b) that share a key, can be like and are not yet in one component: every such pair.
 
     In each key the largest component is set against the others, and these against each other, so a group that hangs
     together but for a few members costs those few times its size.
@@ -272,45 +295,41 @@ def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
     most = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     open_ = written(placed.join(most, "key"))
     few, other = open_.where("root <> main").alias("x"), open_.alias("y")
-    joined = few.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))))
+    joined = few.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _can_be_like("x", "y", similarity))
     return joined.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every document that is not alone in its group.
 
-    Equal texts are one representative. Candidates are representatives whose whole SimHash lies within two bits (by the
-    Golay keys) or that share a slice's SimHash; a group of candidates is checked against its first member and what
-    fails against the first of the rest, TURNS times, which puts most like documents into one component without pairing
-    the group up. Then every pair of candidates that is not in one component yet is checked, members that passed
-    included, so no link between candidates is lost. Every link is verified by shingle likeness.
+    Equal texts are one representative. Candidates are representatives that share a prefix key, which any two of the
+    similarity do; a group of candidates is checked against its first member and what fails against the first of the
+    rest, TURNS times, which puts most like documents into one component without pairing the group up. Then every pair
+    of candidates that is not in one component yet is checked, members that passed included, so no link between
+    candidates is lost. Every link is verified by shingle likeness. Documents without words are like equal texts only.
     """
-    info = written(sketches(docs, shingle))
+    info = written(sketches(docs, shingle, similarity))
     reps = info.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     copies = info.join(reps.where("n > 1"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     copies = written(copies.distinct())
     distinct = info.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    whole = classes(distinct.select("doc_id", "fp")).where("doc_id <> component_id").select(F.col("doc_id").alias("b"), F.col("component_id").alias("a"))
-    members = written(distinct.select(F.explode("keys").alias("key"), "doc_id"))
-    shared = members.groupBy("key").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").select("key")
+    members = written(distinct.select("doc_id", "n", F.posexplode("keys").alias("pos", "key")))
+    shared = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
     members = written(members.join(shared, "key").distinct())
     sketch = info.select("doc_id", "sketch").dropDuplicates(["doc_id"])
     checked = None
-    todo, extra = members, whole
+    todo = members
     for turn in range(TURNS):
-        first = todo.groupBy("key").agg(F.min("doc_id").alias("a"))
-        tries = todo.join(first, "key").where("doc_id <> a").select("key", "a", F.col("doc_id").alias("b"))
-        pairs = tries.select("a", "b")
-        if extra is not None:
-            pairs = pairs.unionAll(extra.select("a", "b"))
-            extra = None
+        first = todo.groupBy("key").agg(F.min_by(F.struct("doc_id", "pos", "n"), "doc_id").alias("f")).select("key", F.col("f.*"))
+        tries = todo.alias("y").join(first.alias("x"), "key").where("y.doc_id <> x.doc_id").select("key", F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), "y.pos", "y.n", _can_be_like("x", "y", similarity).alias("may"))
+        pairs = tries.where("may").select("a", "b")
         result = _verified(pairs.distinct(), sketch, similarity)
         checked = result if checked is None else checked.unionAll(result)
         if turn == TURNS - 1:
             break
-        todo = written(tries.join(result.where("not good"), ["a", "b"]).select("key", F.col("b").alias("doc_id")).distinct())
+        todo = written(tries.join(result.where("good"), ["a", "b"], "left_anti").select("key", F.col("b").alias("doc_id"), "pos", "n"))
     roots = components(checked.where("good").select("a", "b"))
-    rest = _verified(_across(members, roots), sketch, similarity)
+    rest = _verified(_across(members, roots, similarity), sketch, similarity)
     edges = checked.unionAll(rest).where("good").select("a", "b").unionAll(copies)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 

@@ -365,11 +365,38 @@ def test_near_groups_around_a_hub(spark):
 
 
 def test_every_pair_of_a_key_that_is_not_in_one_component(spark):
-    members = spark.createDataFrame([(7, i) for i in range(24)], "key long, doc_id long")
+    members = spark.createDataFrame([(7, i, 0, 50) for i in range(24)], "key long, doc_id long, pos int, n long")
     pairs = simhash._across(members, spark.createDataFrame([(1, 0), (0, 0)], "node long, root long"))
     assert {(r["a"], r["b"]) for r in rows(pairs)} == {(a, b) for a in range(24) for b in range(a + 1, 24)} - {(0, 1)}
 
 
+def test_prefix_keys_are_shared_by_all_like_sets():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 4, 1 << 20)
+    for n in [*range(1, 40), *rng.integers(40, 900, 60).tolist()]:
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for _ in range(4):
+            gone = rng.integers(0, n // 5 + 1)
+            b = np.r_[rng.permutation(a)[gone:], rng.integers(0, 1 << 63, rng.integers(0, n // 5 + 1)).astype(np.uint64)]
+            both = len(np.intersect1d(a, b))
+            if 5 * both >= 4 * len(np.union1d(a, b)):
+                assert len(np.intersect1d(simhash.prefix_keys(a, counts, 0.8), simhash.prefix_keys(b, counts, 0.8)))
+
+
+def test_near_groups_of_short_and_long_texts(spark):
+    """Nothing of likeness 0.8 is lost: a word appended to ten words, five words changed of 430."""
+    rng = random.Random(12)
+    texts, want = [], {}
+    for k in range(60):
+        w = [f"s{k}n{i}" for i in range(10 if k % 2 else 430)]
+        v = [*w, "tail"] if k % 2 else list(w)
+        for at in [] if k % 2 else rng.sample(range(5, 425, 10), 5):
+            v[at] = "new"
+        want |= {len(texts): len(texts), len(texts) + 1: len(texts)}
+        texts += [" ".join(w), " ".join(v)]
+    assert {r["doc_id"]: r["component_id"] for r in rows(simhash.near_groups(frame(spark, texts)))} == want
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(1)
     for _ in range(150):
