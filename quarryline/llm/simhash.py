@@ -197,7 +197,8 @@ def classes(fps: DataFrame, max_bits: int = 2, small: int = SMALL) -> DataFrame:
 
 # --- Near-duplicate removal at a shingle similarity ------------------------------------------------------------------
 
-SKETCH, TURNS = 256, 3
+#: SURE: pairs whose sketches are less alike are dropped unseen; at a likeness of 0.8 that is six standard errors.
+SKETCH, TURNS, SURE = 256, 2, 0.65
 _BUCKET_BITS = 20
 
 
@@ -236,7 +237,7 @@ def prefix_keys(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndar
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Jaccard similarity from two bottom-`size` sketches (exact while both sets are smaller)."""
+    """Jaccard similarity from two bottom-`size` sketches (exact while the union is smaller)."""
     union = np.union1d(a, b)[:size]
     return float(np.isin(union, a, assume_unique=True)[np.isin(union, b, assume_unique=True)].sum() / max(1, len(union)))
 
@@ -262,16 +263,38 @@ def sketches(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, "doc_id long, h1 long, h2 long, n long, keys array<long>, sketch binary")
 
 
-def _verified(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, good) of distinct candidate pairs."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of the distinct candidate pairs that are alike: what sketches do not rule out, by all shingles of the texts."""
+    least = similarity - (0.8 - SURE)
+
+    def rule_out(batches):
+        for batch in batches:
+            keep = [likeness(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= least for x, y in zip(batch["sa"], batch["sb"], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(batches):
+        last, of_last = None, None
         for batch in batches:
-            good = [likeness(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(batch["sa"], batch["sb"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(good, pa.bool_())], names=["a", "b", "good"])
+            good = []
+            for a, x, y in zip(batch["a"].to_pylist(), batch["ta"], batch["tb"], strict=True):
+                if a != last:
+                    last, of_last = a, np.unique(shingle_hashes(x.as_py(), shingle))
+                good.append(jaccard(of_last, np.unique(shingle_hashes(y.as_py(), shingle))) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def both(df, table, column, short):
+        return df.join(table.select(F.col("doc_id").alias("a"), F.col(column).alias(f"{short}a")), "a").join(table.select(F.col("doc_id").alias("b"), F.col(column).alias(f"{short}b")), "b")
 
-    joined = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    return written(joined.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, good boolean"))
+    maybe = written(both(pairs, sketch, "sketch", "s").select("a", "b", "sa", "sb").mapInArrow(rule_out, "a long, b long"))
+    named = maybe.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = written(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return written(both(maybe, texts, "text", "t").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
 
 
 def _can_be_like(x: str, y: str, similarity: float) -> Column:
@@ -306,7 +329,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     similarity do; a group of candidates is checked against its first member and what fails against the first of the
     rest, TURNS times, which puts most like documents into one component without pairing the group up. Then every pair
     of candidates that is not in one component yet is checked, members that passed included, so no link between
-    candidates is lost. Every link is verified by shingle likeness. Documents without words are like equal texts only.
+    candidates is lost. Every link is verified on all shingles of both
+    texts, once sketches have ruled out the clearly unlike. Documents without words are like equal texts only.
     """
     info = written(sketches(docs, shingle, similarity))
     reps = info.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -323,14 +347,14 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         first = todo.groupBy("key").agg(F.min_by(F.struct("doc_id", "pos", "n"), "doc_id").alias("f")).select("key", F.col("f.*"))
         tries = todo.alias("y").join(first.alias("x"), "key").where("y.doc_id <> x.doc_id").select("key", F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), "y.pos", "y.n", _can_be_like("x", "y", similarity).alias("may"))
         pairs = tries.where("may").select("a", "b")
-        result = _verified(pairs.distinct(), sketch, similarity)
+        result = _verified(pairs.distinct(), sketch, docs, shingle, similarity)
         checked = result if checked is None else checked.unionAll(result)
         if turn == TURNS - 1:
             break
-        todo = written(tries.join(result.where("good"), ["a", "b"], "left_anti").select("key", F.col("b").alias("doc_id"), "pos", "n"))
-    roots = components(checked.where("good").select("a", "b"))
-    rest = _verified(_across(members, roots, similarity), sketch, similarity)
-    edges = checked.unionAll(rest).where("good").select("a", "b").unionAll(copies)
+        todo = written(tries.join(result, ["a", "b"], "left_anti").select("key", F.col("b").alias("doc_id"), "pos", "n"))
+    roots = components(checked)
+    rest = _verified(_across(members, roots, similarity), sketch, docs, shingle, similarity)
+    edges = checked.unionAll(rest).unionAll(copies)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 

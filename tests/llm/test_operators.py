@@ -397,6 +397,21 @@ def test_near_groups_of_short_and_long_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows(simhash.near_groups(frame(spark, texts)))} == want
 
 
+def test_near_groups_decide_by_whole_sets(spark):
+    """Likeness just above and just below 0.8 in texts of many more shingles than a sketch holds."""
+    rng = random.Random(14)
+    texts, want = [], {}
+    for k in range(60):
+        w = [f"e{k}n{i}" for i in range(430)]
+        v = list(w)
+        for at in rng.sample(range(5, 425, 10), 9 + k % 2):
+            v[at] = "new"
+        if k % 2 == 0:
+            want |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
+        texts += [" ".join(w), " ".join(v)]
+    assert {r["doc_id"]: r["component_id"] for r in rows(simhash.near_groups(frame(spark, texts)))} == want
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(1)
     for _ in range(150):
