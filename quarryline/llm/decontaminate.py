@@ -2,11 +2,13 @@
 
 Words are runs of word characters, lower-cased. A seed is a fixed mask over consecutive words; its hash takes only the
 words at the mask's ones, so a changed word elsewhere does not matter. Hashes of benchmark items and of documents are
-joined; around each hit the document is laid over the item on that diagonal, and the run of words that scores best (a
-match +1, a substitution -2) is an overlap if it has at least `min_words` words (or all of a shorter item) of which at
-least `identity` match. A document with an overlap is contaminated.
+joined; around each hit the document is laid over the item on that diagonal. A run of at least `min_words` words (or all
+of a shorter item) of which at least `identity` match is an overlap; that is the run that scores best (a match +1, a
+substitution -2) where it is one, or else the one with most matches. A document with an overlap is contaminated.
 
-Items shorter than the longest mask have a dense mask of their own length besides. Items without words match nothing.
+At the default settings every overlap holds a seed: MASKS hit any 13 words with two substitutions, 15 with three, 20 with
+four and 25 with five, and every longer overlap has such a part. Items of 5 to 12 words have the masks in SHORT, which hit
+the item with the one or two substitutions that it may have; shorter items have a dense mask of their own length.
 The benchmark's hashes are broadcast up to BROADCAST_WORDS benchmark words; beyond that both sides' hashes are joined by
 shuffle. Null texts have no words; repeated rows are judged each; extra columns are ignored; empty tables are fine.
 """
@@ -22,7 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-MASKS = ("11101101011", "110110010111", "1101010001110011")
+MASKS = ("1111011", "1011111", "1110100011", "11000011011")
+SHORT = {
+    5: ("1111", "10111", "11011", "11101"),
+    6: ("1111", "11011"),
+    7: ("11111", "110111", "111011"),
+    8: ("111111", "1101111", "1111011"),
+    9: ("1111111", "11011111", "11110111", "11111011"),
+    10: ("110111", "11001011", "11111"),
+    11: ("1110111", "110100111", "1111101", "111111"),
+    12: ("11010111", "111001101", "111111"),
+}
 MIN_WORDS, IDENTITY, MISMATCH = 13, 0.8, -2
 BROADCAST_WORDS = 2_000_000
 _WORD = re.compile(r"\w+")
@@ -56,15 +68,32 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array([xxh64_intdigest(w) for w in words], np.uint64)
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(matched, start in the document, words) of the best-scoring run with doc[shift + i] laid over item[i]."""
+def overlap(doc: np.ndarray, item: np.ndarray, shift: int, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> tuple[int, int, int]:
+    """(matched, start in the document, words) of an overlap with doc[shift + i] laid over item[i]; (0, 0, 0) if there is none."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    least = min(min_words, len(item))
+    if hi - lo < least:
+        return 0, 0, 0
     hit = doc[lo + shift : hi + shift] == item[lo:hi]
     total = np.r_[0, np.cumsum(np.where(hit, 1, MISMATCH))]
     low = np.minimum.accumulate(total)
     end = int((total - low).argmax())
     start = int(total[: end + 1].argmin()) if end else 0
-    return int(hit[start:end].sum()), lo + shift + start, end - start
+    matched = int(hit[start:end].sum())
+    if end - start >= least and matched >= identity * (end - start):
+        return matched, lo + shift + start, end - start
+    count = np.r_[0, np.cumsum(hit)]
+    over = count - identity * np.arange(len(count))  # a run reaches the identity if this does not fall over it
+    starts = np.searchsorted(-np.minimum.accumulate(over), -over - 1e-9)  # for each end the first start of such a run
+    gain = np.where(np.arange(len(count)) - starts >= least, count - count[starts], 0)
+    end = int(gain.argmax())
+    start = int(starts[end])
+    return (int(gain[end]), lo + shift + start, end - start) if gain[end] else (0, 0, 0)
+
+
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks of an item of n words, fewer than `min_words`."""
+    return SHORT.get(n, ("1" * n,))
 
 
 class Seeds:
@@ -77,11 +106,15 @@ class Seeds:
         for item, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
             if words := words_of(text):
                 self.items.append((item, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.uint64)))
-        longest = max(map(len, masks))
-        self.masks = [*masks, *("1" * n for n in sorted({len(w) for _, w in self.items if len(w) < longest}))]
+        sizes = {len(w) for _, w in self.items}
+        of = {mask: {n for n in sizes if n >= min_words} for mask in masks}
+        for n in sorted(n for n in sizes if n < min_words):
+            for mask in short_masks(n):
+                of.setdefault(mask, set()).add(n)
+        self.masks = list(of)
         self.index = []
         for mask in self.masks:
-            rows = [(seed_hashes(w, mask), k) for k, (_, w) in enumerate(self.items)]
+            rows = [(seed_hashes(w, mask), k) for k, (_, w) in enumerate(self.items) if len(w) in of[mask]]
             h = np.concatenate([r for r, _ in rows]) if rows else np.zeros(0, np.uint64)
             owner = np.concatenate([np.full(len(r), k, np.int64) for r, k in rows]) if rows else np.zeros(0, np.int64)
             at = np.concatenate([np.arange(len(r)) for r, _ in rows]) if rows else np.zeros(0, np.int64)
@@ -108,8 +141,8 @@ def best_of(found, ids, items, min_words, identity):
     best = None
     for k, shift in found:
         item, words = items[k]
-        matched, start, n = overlap(ids, words, shift)
-        if n >= min(min_words, len(words)) and matched >= identity * n:
+        matched, start, n = overlap(ids, words, shift, min_words, identity)
+        if n:
             key = (-matched, item, start, n)
             best = key if best is None else min(best, key)
     return best and (best[1], -best[0], best[2], best[3])
@@ -152,16 +185,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, masks, min_words, identity) -> DataFrame:
-    """The same for a benchmark of any size: hashes are joined by shuffle; short items by their dense masks too."""
-    longest = max(map(len, masks))
+    """The same for a benchmark of any size: hashes are joined by shuffle; short items by their own masks."""
 
-    def emit(dense):
+    def emit(own):
         def run(batches):
             for batch in batches:
                 out = []
                 for k, t in zip(batch["id"], batch["text"], strict=True):
                     ids = word_hashes(words_of(t.as_py()))
-                    for mask in [*masks, *("1" * n for n in dense(len(ids)))]:
+                    for mask in own(len(ids)):
                         h = seed_hashes(ids, mask)
                         out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k.as_py(), np.int64)), pa.array(h.view(np.int64)), pa.array(np.arange(len(h)))], names=["id", "h", "at"]))
                 yield from out
@@ -171,9 +203,10 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, masks, min_words, identity) -
     rid = F.monotonically_increasing_id()
     docs = written(docs.select(rid.alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
     items = written(items.select(rid.alias("id"), "item_id", "text"))
-    short = [r[0] for r in items.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit("(?U)\\w+"), 0)).alias("n")).where(f"n between 1 and {longest - 1}").distinct().collect()]  # under `longest` values
-    left = docs.select("id", "text").mapInArrow(emit(lambda n: [k for k in short if k <= n]), "id long, h long, at long")
-    right = items.select("id", "text").mapInArrow(emit(lambda n: [n] if n in short else []), "id long, h long, at long")
+    short = [r[0] for r in items.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit("(?U)\\w+"), 0)).alias("n")).where(f"n between 1 and {min_words - 1}").distinct().collect()]  # under `min_words` values
+    every = list(dict.fromkeys([*masks, *(m for n in sorted(short) for m in short_masks(n))]))
+    left = docs.select("id", "text").mapInArrow(emit(lambda n: every), "id long, h long, at long")
+    right = items.select("id", "text").mapInArrow(emit(lambda n: short_masks(n) if n < min_words else masks), "id long, h long, at long")
     hits = left.select(F.col("id").alias("d"), "h", F.col("at").alias("p")).join(right.select(F.col("id").alias("k"), "h", "at"), "h").select("d", "k", (F.col("p") - F.col("at")).alias("shift")).distinct()
 
     def check(batches):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -475,6 +476,39 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in rows(decontaminate.clean(df, bench))} == {2, 3, 4, 5, 8}
 
 
+def test_masks_hit_every_overlap():
+    for n, bits, masks in [*((n, bits, decontaminate.MASKS) for n, bits in ((13, 2), (15, 3), (20, 4), (25, 5))), *((n, n // 5, decontaminate.short_masks(n)) for n in range(1, 13))]:
+        at = [int(m, 2) << k for m in masks for k in range(n - len(m) + 1)]
+        changed = np.array([sum(1 << b for b in c) for c in combinations(range(n), bits)], np.int64)
+        assert np.all((changed[:, None] & np.array(at)).min(axis=1) == 0), (n, bits)
+
+
+def test_overlap_is_any_run_that_qualifies():
+    rng = random.Random(21)
+    for _ in range(3000):
+        n = rng.randint(1, 40)
+        rate = rng.choice([0.6, 0.75, 0.85])
+        item, doc = np.arange(1, n + 1), np.array([i if rng.random() < rate else 0 for i in range(1, n + 1)])
+        least = min(13, n)
+        want = any(5 * int((doc[a:b] > 0).sum()) >= 4 * (b - a) for a in range(n) for b in range(a + least, n + 1))
+        matched, start, words = decontaminate.overlap(doc, item, 0)
+        assert bool(words) == want
+        assert not words or (words >= least and matched == (doc[start : start + words] > 0).sum() and 5 * matched >= 4 * words)
+
+
+def test_decontamination_of_partly_rewritten_items(spark):
+    item, short = [f"p{i}" for i in range(51)], [f"k{i}" for i in range(10)]
+    copied = [w if i % 19 < 13 else f"new{i}" for i, w in enumerate(item)]
+    two = [f"z{i}" for i in range(9)] + [w if i not in (2, 7) else "new" for i, w in enumerate(item[:13])]
+    third = ["new" if i in (2, 6) else w for i, w in enumerate(short)]
+    far = ["new" if i % 3 == 2 else w for i, w in enumerate(item)]
+    df = frame(spark, [" ".join(x) for x in (copied, two, third, far, third[:9])])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    for limit in (10**6, 0):
+        got = {r["doc_id"]: r["contaminated"] for r in rows(decontaminate.decontaminate(df, bench, broadcast_words=limit))}
+        assert got == {0: True, 1: True, 2: True, 3: False, 4: False}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_on_empty_and_odd_tables(spark, tmp_path, name):
     for kind, texts in (("empty", []), ("odd", [*ODD, *ODD])):
