@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.exprs import chunk_estimate, verbatim_id
 
@@ -32,13 +34,26 @@ def idempotent_sink(path: str) -> Callable[[DataFrame, int], None]:
 def flush_batches(queue: DataFrame, most: int = 5, chunks: int = 32) -> DataFrame:
     """queue(workspace, at, id, text) to (workspace, id, batch): at most `most` entries and `chunks` estimated chunks a batch.
 
-    The batch is the larger of the two counts so far, each taken in the order of arrival.
+    Each workspace's entries fill a batch in the order of arrival until the next one would pass either limit; an entry of
+    more than `chunks` is a batch of its own.
     """
-    spec = "over (partition by workspace order by at, id rows unbounded preceding)"
-    q = queue.withColumn("c", chunk_estimate(F.col("text")))
-    by_count = F.expr(f"floor((count(*) {spec} - 1) / {most})")
-    by_size = F.expr(f"floor((sum(c) {spec} - c) / {chunks})")
-    return q.select("workspace", "id", F.greatest(by_count, by_size).cast("long").alias("batch"))
+
+    def fill(batches):
+        of, batch, held, size = object(), 0, 0, 0
+        for rows in batches:
+            out = []
+            for workspace, c in zip(rows["workspace"].to_pylist(), rows["c"].to_pylist(), strict=True):
+                if workspace != of:
+                    of, batch, held, size = workspace, 0, 0, 0
+                elif held == most or size + c > chunks:
+                    batch, held, size = batch + 1, 0, 0
+                held, size = held + 1, size + c
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([rows["workspace"], rows["id"], pa.array(out, pa.int64())], names=["workspace", "id", "batch"])
+
+    q = queue.select("workspace", "at", "id", chunk_estimate(F.col("text")).alias("c"))
+    schema = StructType([q.schema["workspace"], q.schema["id"], StructField("batch", LongType())])
+    return q.repartition("workspace").sortWithinPartitions("workspace", "at", "id").select("workspace", "id", "c").mapInArrow(fill, schema)
 
 
 def health(queue: DataFrame) -> DataFrame:

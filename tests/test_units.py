@@ -103,3 +103,19 @@ def test_streams(spark, tmp_path):
     out = str(tmp_path / "out")
     verbatim.dedup(stream).writeStream.foreachBatch(verbatim.idempotent_sink(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.text for r in spark.read.parquet(out).collect()) == ["other", "same"]
+
+
+def test_flush_batches_fill_in_order(spark):
+    rng = random.Random(2)
+    queues = {"a": [31, 31], "b": [32] + [1] * 9, "c": [40, 1, 50, 50, 1], "d": [rng.choice([1, 1, 2, 9, 20, 33]) for _ in range(60)], None: [1] * 6}
+    data = [(w, at, f"{at:03}", "x" * (1200 + 1050 * (c - 1))) for w, q in queues.items() for at, c in enumerate(q)]
+    want = {}
+    for w, q in queues.items():
+        batches = [[]]
+        for at, c in enumerate(q):
+            if batches[-1] and (len(batches[-1]) == 5 or sum(q[k] for k in batches[-1]) + c > 32):
+                batches.append([])
+            batches[-1].append(at)
+            want[w, f"{at:03}"] = len(batches) - 1
+    got = verbatim.flush_batches(spark.createDataFrame(data, "workspace string, at int, id string, text string")).collect()
+    assert {(r["workspace"], r["id"]): r["batch"] for r in got} == want
