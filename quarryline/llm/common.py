@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in local tests."""
+    """The cluster's shared folder; a temporary one only where none is set and all runs in this process, as in tests."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = f"file://{tempfile.mkdtemp(prefix='quarryline-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known
@@ -74,9 +77,13 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: What the second of two hashes starts with.
+SECOND = 0x5DEECE66D
+
+
 def two_hashes(*cols: Column) -> tuple[Column, Column]:
     """128 bits as two independent 64-bit hashes."""
-    return F.xxhash64(*cols), F.xxhash64(F.lit(0x5DEECE66D), *cols)
+    return F.xxhash64(*cols), F.xxhash64(F.lit(SECOND), *cols)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
