@@ -23,13 +23,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
+    """base**i and base**-i modulo 2**64 for i < n at least; what is kept for later is no longer than a piece of CUT bytes needs."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         inverse = pow(base, -1, 1 << 64)
         with np.errstate(over="ignore"):
-            have = _POWERS[base] = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b & _MASK, np.uint64)]) for b in (base, inverse))
+            have = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b & _MASK, np.uint64)]) for b in (base, inverse))
+        if size <= 2 * CUT:
+            _POWERS[base] = have
     return have
 
 
@@ -84,7 +86,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def cut(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+#: Bytes of text that are worked on at a time; the arrays made of them take some hundred bytes for each.
+CUT = 1 << 19
+
+
+def cut(batch: pa.RecordBatch, column: str, most: int = CUT):
     """Slices of a batch with about `most` bytes of text each (one text at least)."""
     if not batch.num_rows:
         return

@@ -246,8 +246,8 @@ def sorted_suffixes(text: np.ndarray, most: int, emit, folder: str | None = None
     pairs = np.flatnonzero(same)
     equal = np.zeros(len(by), bool)
     limit = size[by[pairs]]
-    got = _prefix(words, text, ranked[pairs], ranked[pairs + 1], min(longest, 1 << 20))
-    equal[pairs + 1] = got >= np.minimum(limit, 1 << 20)
+    got = _prefix(words, text, ranked[pairs], ranked[pairs + 1], longest)
+    equal[pairs + 1] = got >= limit
     names = np.empty(len(lms), np.int64)
     names[by] = np.cumsum(~equal) - 1
     if names.max() < len(lms) - 1:

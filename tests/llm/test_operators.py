@@ -451,6 +451,29 @@ def test_strings(docs, monkeypatch, n, shard, memory):
     assert got == string_brute(texts, n)
 
 
+def test_hot_anchors_are_dealt_anew(spark, monkeypatch):
+    """One gram in many texts, periodic texts and long texts in pieces: the same result whatever is hot."""
+    rng = random.Random(8)
+    mid = "".join(rng.choices("abcdefgh", k=30))
+    texts = ["".join(rng.choices("xyz", k=rng.randint(0, 40))) + mid + rng.choice(["", mid]) + "".join(rng.choices("xyz", k=rng.randint(0, 40))) for _ in range(60)]
+    texts += ["ab" * 200, "ab" * 57 + "c", "a" * 333, texts[3], texts[3] + texts[5], "".join(rng.choices("pq", k=3000)), None, ""]
+    df = frame(spark, texts)
+    for shard in (1, 1 << 20):
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(substrings.remove_repeated_strings(df, 24, shard)))
+        assert got == string_brute(texts, 24)
+
+
+def test_long_texts_are_scanned_in_pieces(spark):
+    rng = random.Random(10)
+    docs = [(1, 2, "".join(rng.choices("abcd", k=5000))), (3, 4, "".join(rng.choices("abcd", k=90)))]
+    df = spark.createDataFrame(docs, "u1 long, u2 long, text string")
+
+    def windows_of(most):
+        return sorted((r["anchor"], r["u1"], r["first"] + k) for r in rows(substrings.occurrences(df, 40, most)) for k in range(r["count"]))
+
+    assert windows_of(200) == windows_of(1 << 19) and len(windows_of(200)) == 4961 + 51
+
+
 def test_repeated_on_disk_equals_in_memory():
     rng = random.Random(7)
     for _ in range(30):
