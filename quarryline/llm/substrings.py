@@ -79,8 +79,8 @@ def _slices(length: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 raw = buffers(batch["text"].slice(k, 1))[0].tobytes()
-                rows = [(x["anchor"], x["c1"], x["c2"], raw[x["first"] : x["first"] + x["count"] + length - 1]) for x in batch["wanted"][k].as_py()]
-                yield _batch(rows, [*KEYS, "body"], [_LONG, _LONG, _LONG, pa.binary()])
+                rows = [(x["anchor"], x["c1"], x["c2"], x["hot"], raw[x["first"] : x["first"] + x["count"] + length - 1]) for x in batch["wanted"][k].as_py()]
+                yield _batch(rows, [*KEYS, "hot", "body"], [_LONG, _LONG, _LONG, pa.bool_(), pa.binary()])
 
     return run
 
@@ -226,22 +226,20 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, shard: int =
     # Rows equal in doc_id and text have one (u1, u2); each still counts. All first() values are of one row.
     ctx = written(occ.groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("u1", "u2", "first", "count")]))
     release(spark)
-    several = written(ctx.groupBy("anchor").agg(F.count("*").alias("k"), (F.sum(F.col("count") + length - 1) > shard).alias("hot")).where("k > 1").select("anchor", "hot"))
-
-    def bodies(hot: bool) -> DataFrame:
-        wanted = ctx.join(several.where(F.col("hot") == hot).select("anchor"), "anchor").groupBy("u1", "u2").agg(F.collect_list(F.struct(*KEYS, "first", "count")).alias("wanted"))
-        return docs.select("u1", "u2", "text").join(wanted, ["u1", "u2"]).select("text", "wanted").mapInArrow(_slices(length), f"{_KEY}, body binary")
-
-    partly = written(_shards(bodies(False), length, shard))
+    several = ctx.groupBy("anchor").agg(F.count("*").alias("k"), (F.sum(F.col("count") + length - 1) > shard).alias("hot")).where("k > 1").select("anchor", "hot")
+    wanted = ctx.join(several, "anchor").groupBy("u1", "u2").agg(F.collect_list(F.struct(*KEYS, "first", "count", "hot")).alias("wanted"))
+    bodies = written(docs.select("u1", "u2", "text").join(wanted, ["u1", "u2"]).select("text", "wanted").mapInArrow(_slices(length), f"{_KEY}, hot boolean, body binary"))
+    release(spark)
+    partly = written(_shards(bodies.where("not hot").select(*KEYS, "body"), length, shard))
+    if bodies.where("hot").limit(1).count():
+        partly = partly.unionByName(_hot(bodies.where("hot").select(*KEYS, "body"), length, shard))
     release(spark)
-    if several.where("hot").limit(1).count():
-        partly = partly.unionByName(_hot(bodies(True), length, shard))
-        release(spark)
     wholly = ctx.where("n > 1").select(*KEYS, _whole(F.col("count")).alias("spans"))
     found = written(partly.join(wholly.select(*KEYS), KEYS, "left_anti").unionByName(wholly))
     drop(ctx)
+    drop(bodies)
     release(spark)
-    spans = written(occ.select(*KEYS, "u1", "u2", "first").join(found, KEYS).select("u1", "u2", _moved("spans", "first").alias("s")).groupBy("u1", "u2").agg(F.array_distinct(F.flatten(F.collect_set("s"))).alias("spans")))
+    spans = written(occ.select(*KEYS, "u1", "u2", "first").join(found, KEYS).select("u1", "u2", _moved("spans", "first").alias("s")).groupBy("u1", "u2").agg(F.flatten(F.collect_set("s")).alias("spans")))
     drop(occ)
     drop(found)
     release(spark)
