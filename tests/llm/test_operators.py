@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.llm import decontaminate, fingerprint, language, lines, packing, quality, queries, simhash, substrings, suffixes, urls, windows
 
@@ -57,17 +58,41 @@ def test_fingerprint_neighbours(spark, docs):
         assert r["edited"] == texts[i][: len(texts[i]) - q] + texts[(i + 1) % len(texts)][:q]
     by_text = defaultdict(set)
     for r in got:
-        by_text[r["text"]].add(tuple(r["sketch"]))
+        by_text[r["text"]].add(tuple(r["sketch"]["hashes"]))
     assert all(len(x) == 1 for x in by_text.values())
-    assert all(bool(r["sketch"]) == bool(words_of(r["text"])) for r in got)
+    assert all(bool(r["sketch"]["hashes"]) == bool(words_of(r["text"])) for r in got)
 
 
 def test_fingerprint_merges_and_estimates(spark):
+    """merge, containment and likeness against the shingle sets themselves."""
     rng = random.Random(1)
-    big = [f"v{rng.randint(0, 10**6)}" for _ in range(6000)]
-    df = frame(spark, [" ".join(big), " ".join(big[:1500])])
-    a, b = (r["sketch"] for r in sorted(rows(fingerprint.with_fingerprint(df.drop("sketch"))), key=lambda r: r["doc_id"]))
-    assert abs(len(set(a) & set(b)) / len(b) - 1) < 0.02 and abs(len(set(a) & set(b)) / len(a) - 0.25) < 0.05
+    long_ = [f"v{rng.randint(0, 10**6)}" for _ in range(6000)]
+    pairs = [(long_[:1500], long_), (long_, long_[:1500]), (long_[:40], long_[20:60]), (long_[:30], long_), (long_[:60], long_[50:110]), ([], long_), ([], []), (["one"], ["one"]), (long_[:500], long_[400:900])]
+    pairs += [(long_[k : k + 12], long_) for k in range(0, 1000, 25)]
+    df = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").withColumn("x", fingerprint.sketch(F.col("a"))).withColumn("y", fingerprint.sketch(F.col("b")))
+    x, y = F.col("x"), F.col("y")
+    got = df.select("i", "x", "y", fingerprint.likeness(x, y).alias("like"), fingerprint.containment(x, y).alias("inside"), fingerprint.merge(x, y).alias("both"), fingerprint.encode(x).alias("code")).orderBy("i").collect()
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    for (a, b), r in zip(pairs, got, strict=True):
+        s, t = shingles(a), shingles(b)
+        small = max(len(s), len(t)) <= fingerprint.SMALL
+        true = len(s & t) / len(s | t) if s | t else 1.0
+        assert abs(r["like"] - true) <= (1e-9 if small else 0.12)
+        assert r["inside"] == 1.0 if s <= t and r["inside"] is not None else not s <= t or not small
+        assert r["x"]["scale"] == (1 if len(s) <= fingerprint.SMALL else fingerprint.SCALE) and r["code"].startswith(f"{r['x']['scale']}:")
+    assert sum(r["inside"] is None for r in got[9:]) < 12
+    one = spark.createDataFrame([(" ".join(long_[:9]), " ".join(long_[5:500]), " ".join(long_[:500])), (" ".join(long_[:40]), " ".join(long_[36:90]), " ".join(long_[:90])), (" ".join(long_[:9]), " ".join(long_[5:20]), " ".join(long_[:20]))], "a string, b string, c string")
+    for r in one.select(fingerprint.merge(fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("b"))).alias("m"), fingerprint.sketch(F.col("c")).alias("w")).collect():
+        assert r["m"] == r["w"]
+
+
+def test_fingerprint_clashing_columns(spark):
+    df = spark.createDataFrame([(2, "b c", 7, 1), (1, "a", 8, 2), (1, "a", 8, 2), (None, None, 9, 3)], "doc_id long, text string, bucket int, copy int")
+    got = rows(fingerprint.with_next(df, "text"))
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["bucket"], r["copy"], r["next_text"] or "") for r in got) == [(0, "", 9, 3, "a"), (1, "a", 8, 2, "a"), (1, "a", 8, 2, "b c"), (2, "b c", 7, 1, "")]
 
 
 def test_fingerprint_over_many_buckets(spark):
