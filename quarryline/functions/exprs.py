@@ -86,10 +86,25 @@ def chunk_estimate(text: Column) -> Column:
     return (F.lit(1) + F.ceil(F.greatest(F.lit(0), F.length(text) - 1200) / 1050)).cast("long")
 
 
-def skip_dir(path: Column, names: tuple[str, ...] = ("node_modules", ".git", "dist", "build", "__pycache__")) -> Column:
+#: Folders that are never entered, as fixed values; besides them any with venv in its name.
+SKIP_DIRS = (
+    "node_modules", ".git", ".svn", ".hg", "dist", "build", "coverage", ".next", ".nuxt", ".cache", "__pycache__", ".venv", "venv", "site-packages", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "env", ".eggs",
+    ".turbo", ".parcel-cache", "bower_components", ".gradle", "Pods", ".terraform", ".serverless",
+)
+
+
+def skip_dir(path: Column, names: tuple[str, ...] = SKIP_DIRS) -> Column:
     return F.exists(F.split(path, "/"), lambda s: s.isin(list(names)) | F.lower(s).contains("venv"))
 
 
+#: Paths of tests, mocks, fixtures and snapshots, as fixed values.
+TEST_PATHS = (r"\.(test|spec)\.[cm]?[jt]sx?$", r"(^|/)(__tests__|__mocks__|__fixtures__|__snapshots__)(/|$)", r"(^|/)e2e(/|$)", r"\.snap$")
+
+
+def is_test_file(path: Column) -> Column:
+    return path.rlike("|".join(TEST_PATHS))
+
+
 #: What is redacted, in order: secrets by their label, e-mail addresses, card numbers, social security and phone numbers.
 REDACTIONS = (
     r"(?i)\b(password|passwd|api[_-]?key|secret|token)\s*[:=]\s*\S+",
@@ -101,10 +116,16 @@ REDACTIONS = (
 )
 
 
+#: Cheap signs without which a text has nothing to redact: @, a label of a secret, sk-, or a run of three digits.
+_SIGNS = r"[@]|\d{3}|sk-|(?i:passw|api[_-]?key|secret|token)"
+
+
 def redact(text: Column) -> Column:
+    """text with what REDACTIONS finds replaced; texts without any sign of it are read once."""
+    out = text
     for pattern in REDACTIONS:
-        text = F.regexp_replace(text, pattern, "[REDACTED]")
-    return text
+        out = F.regexp_replace(out, pattern, "[REDACTED]")
+    return F.when(text.rlike(_SIGNS), out).otherwise(text)
 
 
 def glob_regex(glob: str) -> str:
@@ -132,11 +153,39 @@ def glob_regex(glob: str) -> str:
 
 #: File extension to language, as fixed values.
 LANGUAGES = {
-    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "cs": "csharp", "c": "c", "h": "c",
-    "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "kt": "kotlin", "swift": "swift", "sql": "sql", "graphql": "graphql", "gql": "graphql", "prisma": "prisma", "aql": "aql",
+    "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "py": "python", "pyi": "python", "go": "go", "rs": "rust",
+    "java": "java", "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "hh": "cpp", "rb": "ruby", "php": "php", "phtml": "php", "kt": "kotlin", "kts": "kotlin", "swift": "swift",
+    "sql": "sql", "ddl": "sql", "dml": "sql", "graphql": "graphql", "gql": "graphql", "prisma": "prisma", "aql": "aql",
 }
 
 
 def language_of(path: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     return table[F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))]
+
+
+def strip_generics(name: Column) -> Column:
+    """A type's name without its arguments, array marks and qualifier: `ns.Map<K, V>[]` is `Map`."""
+    return F.regexp_replace(F.regexp_replace(F.trim(name), r"[<\[(].*$", ""), r"^.*(\.|::)", "")
+
+
+def first_date(text: Column) -> Column:
+    """The first ISO date in a text, else null."""
+    found = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1)
+    return F.when(found != "", found)
+
+
+def epoch_of(text: Column) -> Column:
+    """Seconds since 1970 of an ISO timestamp; 0 for what is none."""
+    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(text)), F.lit(0))
+
+
+def normalised(path: Column) -> Column:
+    """A path without `.` and `x/..` segments; leading `..` stay; the empty path is `.`."""
+
+    def step(done: Column, s: Column) -> Column:
+        up = (s == "..") & (F.size(done) > 0) & (F.coalesce(F.get(done, F.size(done) - 1), F.lit("..")) != "..")
+        return F.when((s == ".") | (s == ""), done).when(up, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+
+    joined = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(joined == "", F.lit(".")).otherwise(joined)

@@ -9,16 +9,20 @@ from ..functions.exprs import dirname
 from .graph import of_kinds
 
 #: Names that are entry points by convention, as fixed values.
-ENTRY_NAMES = ["main", "index", "handler", "default", "setup", "teardown", "init", "run", "start", "bootstrap", "configure", "activate", "deactivate"]
+ENTRY_NAMES = ["main", "run", "start", "init", "register", "default", "index", "handler", "handle", "execute", "serve", "listen", "bootstrap"]
+
+
+def entry_point(name: Column, file: Column, parent_kind: Column) -> Column:
+    """What no edge has to reach: entry names, register*, test files and callables inside a function or method."""
+    test = file.contains("/test/") | file.contains(".test.") | file.contains(".spec.")
+    return name.isin(ENTRY_NAMES) | name.startswith("register") | test | F.coalesce(parent_kind.isin("function", "method"), F.lit(False))
 
 
 def dead_code(symbols: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("function", "method", "class"), exempt: Column | None = None) -> DataFrame:
-    """Callable symbols that nothing calls or imports, less entry names, register*, test files and nested functions."""
+    """Callable symbols that nothing calls or imports, less entry points (or what `exempt` says instead)."""
     parents = symbols.select(F.col("id").alias("parent_id"), F.col("kind").alias("parent_kind"))
     used = of_kinds(edges).select(F.col("dst").alias("id")).distinct()
-    free = F.lower("name").isin(ENTRY_NAMES) | F.col("name").startswith("register") | F.col("file").rlike("(^|/)(tests?|__tests__)/") | F.coalesce(F.col("parent_kind").isin("function", "method"), F.lit(False))
-    if exempt is not None:
-        free = free | exempt
+    free = entry_point(F.col("name"), F.col("file"), F.col("parent_kind")) if exempt is None else exempt
     return symbols.where(F.col("kind").isin(*kinds)).join(used, "id", "left_anti").join(parents, "parent_id", "left").where(~free).select("id", "name", "kind", "file")
 
 
@@ -80,18 +84,36 @@ def schema_drift(live: DataFrame, declared: DataFrame) -> DataFrame:
     return both.select("table", status.alias("status"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), text(F.array_except("a", "b"))).alias("missing_declared"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), text(F.array_except("b", "a"))).alias("missing_live"))
 
 
+#: Lines of a bucket of changed_symbols.
+LINES = 256
+
+
 def changed_symbols(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Symbols (file, start_line, end_line) that overlap a changed range (file, range_start, range_end)."""
-    hit = symbols.join(ranges, "file").where("start_line <= range_end and end_line >= range_start")
-    return hit.select(*[c for c in symbols.columns]).distinct()
+    """Symbols (file, start_line, end_line) that overlap a changed range (file, range_start, range_end).
+
+    Both sides go to buckets of LINES lines, so a file with many symbols and ranges is not paired up.
+    """
+
+    def bucketed(df, lo, hi):
+        return df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(lo) / LINES), F.floor(F.greatest(lo, hi) / LINES))))
+
+    hit = bucketed(symbols, "start_line", "end_line").join(bucketed(ranges.select("file", "range_start", "range_end"), "range_start", "range_end"), ["file", "_bucket"])
+    return hit.where("start_line <= range_end and end_line >= range_start").select(*symbols.columns).distinct()
 
 
 def pr_risk(changed: DataFrame, edges: DataFrame, churn: DataFrame) -> DataFrame:
-    """max(direct dependents, 1) * max(complexity, 1) * ln(1 + churn) of each changed symbol, with its band."""
+    """max(direct dependents, 1) * max(complexity, 1) * ln(1 + churn) of each changed symbol, and the change set's total and band.
+
+    The band goes by the largest score (5, 20, 50) or the total (20, 80, 200), whichever says more.
+    """
     inbound = of_kinds(edges).select("src", F.col("dst").alias("id")).distinct().groupBy("id").agg(F.count("*").alias("n"))
     score = F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)) * F.greatest("complexity", F.lit(1)) * F.log1p(F.coalesce("churn", F.lit(0)).cast("double"))
-    band = F.when(F.col("score") >= 50, "critical").when(F.col("score") >= 20, "high").when(F.col("score") >= 5, "medium").otherwise("low")
-    return changed.join(inbound, "id", "left").join(churn, "file", "left").withColumn("score", F.round(score, 2)).select("id", "file", "score", band.alias("band"))
+    each = changed.join(inbound, "id", "left").join(churn, "file", "left").withColumn("score", score)
+    whole = each.agg(F.sum("score").alias("total"), F.max("score").alias("most"))
+    at_least = lambda most, total: (F.col("most") >= most) | (F.col("total") >= total)
+    band = F.when(at_least(50, 200), "critical").when(at_least(20, 80), "high").when(at_least(5, 20), "medium").otherwise("low")
+    one = whole.select(F.round("total", 2).alias("total_score"), band.alias("band"))
+    return each.crossJoin(F.broadcast(one)).select("id", "file", F.round("score", 2).alias("score"), "total_score", "band")  # one row
 
 
 def alerts(dead: DataFrame, hot: DataFrame, drift: DataFrame) -> DataFrame:

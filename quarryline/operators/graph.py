@@ -5,22 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import dirname
-
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the cluster's shared checkpoint folder and read back: cuts the lineage of a loop."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quarryline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/quarryline-loops/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarryline_path = path
+    return out
+
+
+def free(df: DataFrame) -> None:
+    """Delete a table made by cut() that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quarryline_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def of_kinds(edges: DataFrame, kinds: tuple[str, ...] = ("calls", "imports")) -> DataFrame:
@@ -30,7 +39,7 @@ def of_kinds(edges: DataFrame, kinds: tuple[str, ...] = ("calls", "imports")) ->
 def reach(edges: DataFrame, start: str, depth: int = 3, upstream: bool = True) -> DataFrame:
     """(id, depth) of what is within `depth` steps of start, each in its first tier; start itself is left out."""
     a, b = ("dst", "src") if upstream else ("src", "dst")
-    steps = edges.select(F.col(a).alias("at"), F.col(b).alias("id")).distinct()
+    steps = cut(edges.select(F.col(a).alias("at"), F.col(b).alias("id")).distinct())
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(start,)], "id string")
     seen = frontier.withColumn("depth", F.lit(0))
@@ -56,7 +65,26 @@ def trace(symbols: DataFrame, edges: DataFrame, start: str, depth: int = 8, most
     return got.join(busy, "id", "left").select("id", "depth", F.col("_busy").isNull().alias("terminal")).orderBy("depth", "id").limit(most)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 20, alpha: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank_top(nodes: DataFrame, edges: DataFrame, top: int = 50, tol: float = 1e-6, most: int = 1000) -> DataFrame:
+    """The `top` (id, rank) once a step changes the ranks by less than tol a node; no rows if `most` steps do not get there.
+
+    Edges from file: sources do not count.
+    """
+    own = edges.where(~F.col("src").startswith("file:"))
+    old = cut(pagerank(nodes, own, 10))
+    n, done = old.count(), 10
+    while done < most:
+        new = cut(pagerank(nodes, own, 10, start=old))
+        done += 10
+        change = new.join(old.select("id", F.col("rank").alias("before")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
+        free(old)
+        old = new
+        if change < tol * n:
+            return old.orderBy(F.desc("rank"), "id").limit(top)
+    return old.limit(0)
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 20, alpha: float = 0.85, every: int = 5, start: DataFrame | None = None) -> DataFrame:
     """(id, rank) after a fixed number of power steps; multiple edges count once, rank of nodes without out-edges is spread."""
     links = edges.select("src", "dst").distinct()
     links = cut(links.join(links.groupBy("src").agg(F.count("*").alias("deg")), "src"))
@@ -64,7 +92,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 20, alpha: float =
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
-    rank = ids.withColumn("rank", F.lit(1.0 / n))
+    rank = ids.withColumn("rank", F.lit(1.0 / n)) if start is None else start.select("id", "rank")
     out = links.select(F.col("src").alias("id"), "deg").distinct()
     for k in range(1, steps + 1):
         gained = links.join(rank, links["src"] == rank["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
@@ -92,6 +120,7 @@ def sccs(edges: DataFrame, least: int = 2, most_steps: int = 200) -> DataFrame:
                 break
             rest = rest2
         if not n:
+            rest = None
             break
         colour = rest.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id"))
         while True:
@@ -111,21 +140,33 @@ def sccs(edges: DataFrame, least: int = 2, most_steps: int = 200) -> DataFrame:
             back = more
         found = back if found is None else found.unionByName(back)
         rest = cut(rest.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    if rest is not None:
+        raise RuntimeError("components are left after the last step")
     if found is None:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
     groups = found.groupBy("c").agg(F.min("id").alias("component"), F.count("*").alias("size")).where(F.col("size") >= least)
     return found.join(groups, "c").select("id", "component", "size")
 
 
-def subgraph(edges: DataFrame, centre: str, depth: int = 2, most: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, depth) around a centre by undirected search under a budget of nodes, and the edges among them.
+#: Largest number of nodes of a subgraph and of a full graph.
+SUBGRAPH_CEILING, FULL_CEILING = 1000, 8000
+
+
+def subgraph(edges: DataFrame, centre: str | None = None, depth: int = 2, most: int = 200, seeds: DataFrame | None = None, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, depth) around a centre, or around a community's seeds (id), by undirected search under a budget of nodes,
+    and the edges among them. allowed(id): what may be entered, if not all.
 
     Each hop ranks its new nodes by their smallest neighbour in the frontier, then by id, and is cut at what is left.
     """
+    if (centre is None) == (seeds is None):
+        raise ValueError("exactly one of a centre and seeds")
     spark = edges.sparkSession
-    both = edges.select(F.col("src").alias("at"), F.col("dst").alias("id")).unionAll(edges.select(F.col("dst").alias("at"), F.col("src").alias("id"))).distinct()
-    seen = spark.createDataFrame([(centre, 0)], "id string, depth int")
-    frontier, left = seen.select("id"), most - 1
+    most = max(1, min(most, SUBGRAPH_CEILING))
+    both = edges.where("src <> dst").select(F.col("src").alias("at"), F.col("dst").alias("id")).unionAll(edges.where("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("id"))).distinct()
+    if allowed is not None:
+        both = both.join(allowed.select("id"), "id", "left_semi").select("at", "id")
+    seen = spark.createDataFrame([(centre, 0)], "id string, depth int") if seeds is None else cut(seeds.select("id").distinct().orderBy("id").limit(most).withColumn("depth", F.lit(0)))
+    frontier, left = seen.select("id"), most - (1 if seeds is None else seen.count())
     for d in range(1, depth + 1):
         if left <= 0:
             break
@@ -133,32 +174,27 @@ def subgraph(edges: DataFrame, centre: str, depth: int = 2, most: int = 200) ->
         new = cut(new.orderBy("by", "id").limit(left).select("id", F.lit(d).alias("depth")))
         left -= new.count()
         frontier, seen = new.select("id"), seen.unionByName(new)
-    inside = edges.join(seen.select(F.col("id").alias("src")), "src", "left_semi").join(seen.select(F.col("id").alias("dst")), "dst", "left_semi")
-    pairs = inside.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "kind").distinct()
-    return seen, pairs
+    return seen, induced(edges, seen)
 
 
-def full_graph(nodes: DataFrame, order: dict[str, int], most: int = 3000) -> DataFrame:
-    """The first `most` nodes by priority of their type, then id."""
-    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("type")]
-    return nodes.withColumn("priority", F.coalesce(rank, F.lit(99))).orderBy("priority", "id").limit(most)
+def truncated(edges: DataFrame, nodes: DataFrame, depth: int) -> bool:
+    """Whether nodes(id, depth) of a subgraph have neighbours within its depth that the budget left out."""
+    inner = nodes.where(F.col("depth") < depth).select("id")
+    out = edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).unionAll(edges.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")))
+    return out.join(nodes.select("id"), "id", "left_anti").limit(1).count() > 0
 
 
-def communities(nodes: DataFrame, edges: DataFrame, steps: int = 10) -> DataFrame:
-    """(id, community): synchronous label propagation over the undirected simple graph with weights of common edges.
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, kind): the edges among nodes, undirected, each once."""
+    ids = nodes.select("id")
+    inside = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return inside.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "kind").distinct()
 
-    A node takes the heaviest label among its neighbours and itself (ties: the smallest), every other step by parity of
-    its hash so that two nodes do not swap labels for ever; nodes without edges keep their own.
-    """
-    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    both = cut(pairs.select(F.col("a").alias("id"), F.col("b").alias("by")).unionAll(pairs.select(F.col("b").alias("id"), F.col("a").alias("by"))))
-    label = cut(nodes.select("id", F.col("id").alias("label")).distinct())
-    for k in range(steps):
-        votes = both.join(label.select(F.col("id").alias("by"), "label"), "by").select("id", "label").unionByName(label)
-        best = votes.groupBy("id", "label").agg(F.count("*").alias("w")).groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("x"))
-        moved = label.join(best, "id").select("id", F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2, F.col("x.label")).otherwise(F.col("label")).alias("label"))
-        label = cut(moved)
-    return label.select("id", F.col("label").alias("community"))
+
+def full_graph(nodes: DataFrame, order: dict[str, int], most: int = 3000) -> DataFrame:
+    """The first `most` nodes by priority of their type, then id."""
+    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("type")]
+    return nodes.withColumn("priority", F.coalesce(rank, F.lit(99))).orderBy("priority", "id").limit(max(1, min(most, FULL_CEILING)))
 
 
 def folders(files: DataFrame) -> DataFrame:
@@ -169,7 +205,3 @@ def folders(files: DataFrame) -> DataFrame:
     path = F.when(F.col("i") == 0, F.lit(".")).otherwise(F.array_join(F.slice("p", 1, F.col("i")), "/"))
     child = F.array_join(F.slice("p", 1, F.col("i") + 1), "/")
     return ups.select(path.alias("parent"), child.alias("child"), (F.col("i") == F.col("n") - 1).alias("child_is_file")).distinct()
-
-
-def module_of(file: Column) -> Column:
-    return dirname(file)

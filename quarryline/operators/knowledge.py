@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,14 @@ def keyword_score(tokens: list[str]) -> Column:
     return reduce(lambda a, b: a + b, each) if each else F.lit(0)
 
 
-def keyword_search(nodes: DataFrame, tokens: list[str], limit: int = 20) -> DataFrame:
-    return live(nodes).withColumn("score", keyword_score([t.lower() for t in tokens])).where("score > 0").orderBy(F.desc("score"), "id").select("id", "score").limit(limit)
+def tokens_of(query: str) -> list[str]:
+    """Lower-cased runs of letters, digits, _ and -; a token may repeat and then counts again."""
+    return [t for t in re.split(r"[^\w-]+", query.lower()) if t]
+
+
+def keyword_search(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """(id, score): occurrences of the query's tokens, label 3, tags 2, content 1; best first, then by id."""
+    return live(nodes).withColumn("score", keyword_score(tokens_of(query))).where("score > 0").orderBy(F.desc("score"), "id").select("id", "score").limit(limit)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -68,7 +75,7 @@ def verbatim_status(entries: DataFrame, supersedes: DataFrame) -> DataFrame:
     later = by_topic.join(newest, "topic").where("top.at > at").groupBy("id").agg(F.max("top").alias("top"))
     gone = supersedes.join(entries.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("by"))
     out = entries.join(gone, "id", "left").join(later, "id", "left")
-    status = F.when(F.col("by").isNotNull(), F.concat(F.lit("superseded-by:"), "by")).when(F.col("top").isNotNull(), F.concat(F.lit("outdated-by:"), "top.id")).otherwise(F.lit("current"))
+    status = F.when(F.col("by").isNotNull(), F.concat(F.lit("superseded-by:"), "by")).when(F.col("top").isNotNull(), F.concat(F.lit("outdated-by:"), "top.id", F.lit(" (by time)"))).otherwise(F.lit("current"))
     return out.select("id", "at", status.alias("status"))
 
 
@@ -102,3 +109,74 @@ def route(text: Column) -> Column:
         hit = F.lower(text).rlike(pattern)
         out = F.when(hit, tool) if out is None else out.when(hit, tool)
     return out.otherwise(F.lit("knowledge_recall"))
+
+
+def verbatim_recall(entries: DataFrame, supersedes: DataFrame, limit: int = 50) -> DataFrame:
+    """Entries tagged verbatim with their status: current first, newest first, then by id; at most `limit` (500 at most)."""
+    got = verbatim_status(entries, supersedes)
+    return got.orderBy((F.col("status") != "current").cast("int"), F.desc("at"), "id").limit(min(max(limit, 0), 500))
+
+
+def walk(edges: DataFrame, nodes: DataFrame, node: str, relation: str | None = None) -> DataFrame:
+    """(id, kind, direction, type, label) of one hop either way; a self-loop counts as out; an end without a node has nulls."""
+    kept = edges if relation is None else edges.where(F.col("kind") == relation)
+    near = neighbours(kept, node).where((F.col("id") != node) | (F.col("direction") == "out"))
+    return near.join(nodes.select("id", "type", "label"), "id", "left")
+
+
+def edge_exists(edges: DataFrame, src: str, dst: str, kind: str) -> bool:
+    return edges.where((F.col("src") == src) & (F.col("dst") == dst) & (F.col("kind") == kind)).limit(1).count() > 0
+
+
+#: Types of knowledge nodes.
+TYPES = ("architecture", "bug_pattern", "convention", "decision", "troubleshooting")
+
+
+def check_types(types: list[str]) -> list[str]:
+    unknown = [t for t in types if t not in TYPES]
+    if unknown:
+        raise ValueError(f"invalid_arguments: unknown type {', '.join(unknown)}")
+    return types
+
+
+def check_arguments(given: dict, required: dict[str, type], optional: dict[str, type] | None = None, most: int = 500) -> dict:
+    """Arguments of a tool: what is required is there, numbers and booleans are coerced, limits are clamped."""
+    out = {}
+    for name, kind in {**required, **(optional or {})}.items():
+        value = given.get(name)
+        if value is None:
+            if name in required:
+                raise ValueError(f"invalid_arguments: {name} is required")
+            continue
+        if kind is bool and isinstance(value, str):
+            value = value.lower() == "true"
+        try:
+            value = kind(value)
+        except (TypeError, ValueError):
+            raise ValueError(f"invalid_arguments: {name} is no {kind.__name__}") from None
+        out[name] = max(1, min(value, most)) if name in ("limit", "max") else value
+    return out
+
+
+def path_allowed(path: str, roots: list[str]) -> bool:
+    """Whether a path without `..` is one of the roots or under one."""
+    return ".." not in path.split("/") and any(path == r.rstrip("/") or path.startswith(r.rstrip("/") + "/") for r in roots)
+
+
+#: A definition's keyword and the name after it.
+DEFINITION = r"\b(?:function|class|interface|def|fn|func|type|struct|enum|trait|const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+
+
+def defined_name(text: Column) -> Column:
+    """The first name that a text defines, else null."""
+    name = F.regexp_extract(text, DEFINITION, 1)
+    return F.when(name != "", name)
+
+
+def asked_symbol(text: Column) -> Column:
+    """The symbol that a question names: in backticks, else in quotes, else the first capitalised word after the first."""
+    out = None
+    for pattern in (r"`([^`]+)`", r"[\"']([^\"']+)[\"']", r"\s([A-Z][A-Za-z0-9_.]+)"):
+        found = F.regexp_extract(text, pattern, 1)
+        out = F.when(found != "", found) if out is None else out.when(found != "", found)
+    return out

@@ -46,14 +46,28 @@ def union_merge(ours: DataFrame, theirs: DataFrame, key: list[str]) -> DataFrame
     return ours.unionByName(theirs.join(ours.select(*key), key, "left_anti"))
 
 
-def export_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Ledger lines (ord, line): nodes, then edges whose source is exported; as JSON with fixed field order."""
-    n = nodes.select(F.lit(1).alias("ord"), F.to_json(F.struct(F.lit("node").alias("kind"), "id", "type", "label", "content")).alias("line"))
+#: Optional fields of a node's line, in order: column and field.
+NODE_FIELDS = [("metadata", "metadata"), ("superseded_at", "supersededAt"), ("superseded_by", "supersededBy"), ("superseded_reason", "supersededReason"), ("embedding", "embedding")]
+
+
+def export_lines(nodes: DataFrame, edges: DataFrame, header: dict[str, str] | None = None) -> DataFrame:
+    """Ledger lines (ord, line): a header if wanted, nodes, then edges whose source is exported; JSON with fixed field order.
+
+    Nulls are left out; tags go as one string joined by commas. header: workspace and exported_at.
+    """
+    has = [F.col(c).alias(f) for c, f in NODE_FIELDS if c in nodes.columns]
+    tags = [F.array_join("tags", ",").alias("tags")] if "tags" in nodes.columns else []
+    n = nodes.select(F.lit(1).alias("ord"), F.to_json(F.struct(F.lit("node").alias("kind"), "id", "type", "label", "content", *tags, *has)).alias("line"))
     e = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").select(F.lit(2).alias("ord"), F.to_json(F.struct(F.lit("edge").alias("kind"), F.col("src").alias("sourceId"), F.col("dst").alias("targetId"), F.col("kind").alias("relation"))).alias("line"))
-    return n.unionByName(e)
+    out = n.unionByName(e)
+    if header:
+        types = nodes.agg(F.sort_array(F.collect_set("type")).alias("exportedTypes"))  # one row
+        top = types.select(F.lit(0).alias("ord"), F.to_json(F.struct(F.lit(2).alias("version"), F.lit(header["exported_at"]).alias("exportedAt"), F.lit(header["workspace"]).alias("sourceWorkspace"), "exportedTypes")).alias("line"))
+        out = top.unionByName(out)
+    return out
 
 
-LINE = "kind string, id string, type string, label string, content string, sourceId string, targetId string, relation string, version int"
+LINE = "kind string, id string, type string, label string, content string, tags string, metadata string, supersededAt string, supersededBy string, supersededReason string, embedding array<double>, sourceId string, targetId string, relation string, version int"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -64,6 +78,22 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return x.select("line", status.alias("status"), "x.*")
 
 
+def import_nodes(parsed: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, outcome) of the nodes of a ledger: new, or replaced where the store has the id already; a repeated id counts once."""
+    ids = parsed.where("status = 'node' and id is not null").select("id").distinct()
+    return ids.join(existing.select("id", F.lit(True).alias("known")).distinct(), "id", "left").select("id", F.when(F.col("known"), "replaced").otherwise("new").alias("outcome"))
+
+
+def append(prior: DataFrame, added: DataFrame) -> DataFrame:
+    """Ledger rows after an append: a new line of an id wins; nothing is added if any new line lacks kind or id."""
+    bad = added.where("kind is null or (kind = 'node' and id is null) or (kind = 'edge' and (sourceId is null or targetId is null))")
+    if bad.limit(1).count():
+        raise ValueError("a ledger line without its kind or ids")
+    key = F.when(F.col("kind") == "node", F.col("id")).otherwise(F.concat_ws("\x01", "sourceId", "targetId", "relation"))
+    old, new = prior.withColumn("_key", key), added.withColumn("_key", key).dropDuplicates(["kind", "_key"])
+    return union_merge(new, old, ["kind", "_key"]).drop("_key")
+
+
 def import_outcomes(parsed: DataFrame, existing: DataFrame) -> DataFrame:
     """Edges of a ledger with outcome ok or deferred (an endpoint is neither in the ledger nor in the store)."""
     ids = parsed.where("status = 'node'").select("id").unionByName(existing.select("id")).distinct()

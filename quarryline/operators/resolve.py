@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import dirname, package_root
+from ..functions.exprs import dirname, normalised, package_root, relation
 
-EXTENSIONS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".d.ts", "/index.ts", "/index.tsx", "/index.js"]
+SCRIPT_EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".d.ts"]
+PYTHON_EXTENSIONS = [".py", ".pyi"]
+#: Kinds that a call can reach.
+CALLABLE = ("function", "method", "class")
+_IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*$"
 
 
 def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -18,38 +22,125 @@ def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def symbol_table(symbols: DataFrame) -> dict[str, DataFrame]:
+    """First candidate (by file, start line, id) and number of candidates for each way that a name is looked up.
+
+    `local`: callable ones by (file, name); `exported`: any by (file, name); `qualified` by qualified name;
+    `qualified_in` by (qualified name, file); `bare`: callable ones without a scope by name.
+    """
+    s = symbols.select("id", "name", "kind", "file", "start_line", F.concat_ws(".", "scope", "name").alias("qualified"))
+    can = s.where(F.col("kind").isin(*CALLABLE))
+
+    def firsts(df, *keys):
+        return df.groupBy(*keys).agg(F.min(F.struct("file", "start_line", "id")).getField("id").alias("dst"), F.count("*").alias("n"))
+
+    return {"local": firsts(can, "file", "name"), "exported": firsts(s, "file", "name"), "qualified": firsts(s, "qualified"), "qualified_in": firsts(s, "qualified", "file"), "bare": firsts(can.where("qualified = name"), "name")}
+
+
+def import_targets(imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, name, target_file) of named imports, the smallest file of a name, and (file, target_file) of wildcards."""
+    named = imports.where("name <> '*'").groupBy("file", "name").agg(F.min("target_file").alias("target_file"))
+    return named, imports.where("name = '*'").select("file", "target_file").distinct()
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """calls(call_id, caller, file, callee, receiver) to (call_id, src, dst, confidence, reason).
 
-    In order: receiver-qualified 0.95, same file 1.0, named import 0.95, wildcard import 0.8, qualified name 0.7, bare
-    module-level name 0.5. imports(file, target_file, name; name '*' for a wildcard). Ties: file, start line, id.
+    In order: `receiver.callee` as a qualified name, preferring the caller's file and then the file that the receiver is
+    imported from, 0.95 (the receiver being a plain identifier other than `this`); a callable symbol of the same file 1.0,
+    or 0.85 if there are several; named import 0.95; wildcard import 0.8; qualified name 0.7; callable module-level name
+    0.5. imports(file, target_file, name; name '*' for a wildcard). Every tier looks up one first candidate for each
+    distinct (file, receiver, callee), so common names are not joined with all their bearers.
+    """
+    t = symbol_table(symbols)
+    named, wild = import_targets(imports)
+    sites = calls.select("file", "receiver", "callee").distinct()
+    plain = F.col("receiver").rlike(_IDENTIFIER) & (F.col("receiver") != "this")
+    x = sites.withColumn("q", F.when(plain, F.concat_ws(".", "receiver", "callee"))).withColumn("r", F.when(plain, F.col("receiver")))
+    x = x.join(t["qualified_in"].select(F.col("qualified").alias("q"), "file", F.col("dst").alias("own")), ["q", "file"], "left")
+    x = x.join(named.select("file", F.col("name").alias("r"), F.col("target_file").alias("via")), ["file", "r"], "left")
+    x = x.join(t["qualified_in"].select(F.col("qualified").alias("q"), F.col("file").alias("via"), F.col("dst").alias("other")), ["q", "via"], "left")
+    x = x.join(t["qualified"].select(F.col("qualified").alias("q"), F.col("dst").alias("any")), "q", "left")
+    x = x.join(t["local"].select("file", F.col("name").alias("callee"), F.col("dst").alias("local"), "n"), ["file", "callee"], "left")
+    by_name = named.join(t["exported"].select(F.col("file").alias("target_file"), "name", "dst"), ["target_file", "name"]).select("file", F.col("name").alias("callee"), F.col("dst").alias("named"))
+    x = x.join(by_name, ["file", "callee"], "left")
+    far = sites.select("file", "callee").distinct().join(wild, "file").join(t["exported"].select(F.col("file").alias("target_file"), F.col("name").alias("callee"), "dst"), ["target_file", "callee"])
+    x = x.join(far.groupBy("file", "callee").agg(F.min_by("dst", "target_file").alias("wild")), ["file", "callee"], "left")
+    x = x.join(t["qualified"].select(F.col("qualified").alias("callee"), F.col("dst").alias("whole")), "callee", "left")
+    x = x.join(t["bare"].select(F.col("name").alias("callee"), F.col("dst").alias("bare")), "callee", "left")
+    found = None
+    for dst, confidence, reason in ((F.coalesce("own", "other", "any"), F.lit(0.95), "receiver"), (F.col("local"), F.when(F.col("n") > 1, 0.85).otherwise(1.0), "same file"), (F.col("named"), F.lit(0.95), "named import"), (F.col("wild"), F.lit(0.8), "wildcard import"), (F.col("whole"), F.lit(0.7), "qualified name"), (F.col("bare"), F.lit(0.5), "bare name")):
+        value = F.struct(dst.alias("dst"), confidence.cast("double").alias("confidence"), F.lit(reason).alias("reason"))
+        found = F.when(dst.isNotNull(), value) if found is None else found.when(dst.isNotNull(), value)
+    x = x.select("file", "receiver", "callee", found.alias("found")).where("found is not null")
+    c, y = calls.select("call_id", "caller", "file", "receiver", "callee").alias("c"), x.alias("y")
+    both = c.join(y, (F.col("c.file") == F.col("y.file")) & (F.col("c.callee") == F.col("y.callee")) & F.col("c.receiver").eqNullSafe(F.col("y.receiver")))
+    return both.select("call_id", F.col("c.caller").alias("src"), "found.dst", "found.confidence", "found.reason")
+
+
+def resolve_paths(imports: DataFrame, files: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """imports(file, specifier[, language]) to (file, specifier, target_file), null for what is outside the repository.
+
+    Scripts: relative specifiers against the file's folder and aliases (prefix to folders, in order), without a script
+    suffix; Python (language python): leading dots climb, other dotted names start at the root. A base is tried as it is,
+    with each extension, then as a folder with an index (or `__init__`) file; the first that exists wins.
+    """
+    here = dirname(F.col("file"))
+    x = imports if "language" in imports.columns else imports.withColumn("language", F.lit("typescript"))
+    bare = F.regexp_replace("specifier", r"\.(jsx?|mjs|cjs)$", "")
+    bases = F.when(bare.startswith("./") | bare.startswith("../"), F.array(normalised(F.concat_ws("/", here, bare))))
+    for prefix, targets in (aliases or {}).items():
+        rest = F.regexp_replace(F.expr(f"substring(regexp_replace(specifier, '[.](jsx?|mjs|cjs)$', ''), {len(prefix) + 1})"), "^/", "")
+        bases = bases.when((bare == prefix) | bare.startswith(prefix + "/"), F.array(*[normalised(F.concat_ws("/", F.lit(t), rest)) for t in targets]))
+    dots = F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
+    name = F.translate(F.regexp_replace("specifier", r"^\.+", ""), ".", "/")
+    climbed = F.concat_ws("/", here, F.array_join(F.array_repeat(F.lit(".."), F.greatest(dots - 1, F.lit(0))), "/"), F.when(name != "", name))
+    python = F.array(F.when(dots > 0, normalised(climbed)).otherwise(name))
+    scripts = ["", *SCRIPT_EXTENSIONS, *[f"/index{e}" for e in SCRIPT_EXTENSIONS]]
+    pythons = ["", *PYTHON_EXTENSIONS, *[f"/index{e}" for e in PYTHON_EXTENSIONS], *[f"/__init__{e}" for e in PYTHON_EXTENSIONS]]
+    tails = F.when(F.col("language") == "python", F.array(*map(F.lit, pythons))).otherwise(F.array(*map(F.lit, scripts)))
+    tried = x.select("file", "specifier", F.when(F.col("language") == "python", python).when(F.col("language").isin("typescript", "tsx", "javascript"), bases).alias("bases"), tails.alias("tails"))
+    each = tried.select("file", "specifier", "tails", F.posexplode("bases").alias("b", "base")).select("file", "specifier", "b", F.posexplode(F.transform("tails", lambda e: F.concat("base", e))).alias("t", "path"))
+    hit = each.join(files.select(F.col("file").alias("path")).distinct(), "path").groupBy("file", "specifier").agg(F.min_by("path", F.struct("b", "t")).alias("target_file"))
+    return imports.join(hit, ["file", "specifier"], "left").select(*imports.columns, "target_file")
+
+
+def import_edges(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(src, dst, kind, confidence) of imports(file, specifier, target_file, named, default_alias, namespace_alias).
+
+    Named ones reach the symbols of that name 1.0; a default the symbols named `default`, else the file, 0.9; a namespace
+    the file 0.9; an import of nothing the file 0.8; one without a target the external module 0.9.
     """
-    s = symbols.select(F.col("id").alias("dst"), F.col("name").alias("s_name"), F.col("scope").alias("s_scope"), F.col("file").alias("s_file"), "start_line", F.col("parent_id").alias("s_parent"))
-    c = calls.select("call_id", "caller", "file", "callee", "receiver")
-
-    def step(df, priority, confidence, reason):
-        return df.select("call_id", F.col("caller").alias("src"), "dst", F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"), "s_file", "start_line")
-
-    named = imports.where("name <> '*'").select(F.col("file").alias("i_file"), "target_file", F.col("name").alias("i_name"))
-    wild = imports.where("name = '*'").select(F.col("file").alias("i_file"), "target_file")
-    parts = [
-        step(c.where("receiver is not null").join(s, (F.col("receiver") == F.col("s_scope")) & (F.col("callee") == F.col("s_name"))), 0, 0.95, "receiver"),
-        step(c.join(s, (F.col("file") == F.col("s_file")) & (F.col("callee") == F.col("s_name"))), 1, 1.0, "same file"),
-        step(c.join(named, (F.col("file") == F.col("i_file")) & (F.col("callee") == F.col("i_name"))).join(s, (F.col("target_file") == F.col("s_file")) & (F.col("callee") == F.col("s_name"))), 2, 0.95, "named import"),
-        step(c.join(wild, F.col("file") == F.col("i_file")).join(s, (F.col("target_file") == F.col("s_file")) & (F.col("callee") == F.col("s_name"))), 3, 0.8, "wildcard import"),
-        step(c.join(s, F.concat_ws(".", "s_scope", "s_name") == F.col("callee")), 4, 0.7, "qualified name"),
-        step(c.join(s.where("s_parent is null"), F.col("callee") == F.col("s_name")), 5, 0.5, "bare name"),
-    ]
-    best = first_by(reduce(DataFrame.unionByName, parts), ["call_id"], ["priority", "s_file", "start_line", "dst"])
-    return best.select("call_id", "src", "dst", "confidence", "reason")
-
-
-def resolve_paths(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports(file, specifier) to (file, specifier, target_file): relative specifiers by probing extensions in order, else external."""
-    base = F.when(F.col("specifier").startswith("./"), F.concat(dirname(F.col("file")), F.lit("/"), F.expr("substring(specifier, 3)"))).when(F.col("specifier").startswith("../"), F.concat(dirname(dirname(F.col("file"))), F.lit("/"), F.expr("substring(specifier, 4)")))
-    tried = imports.withColumn("base", base).select("file", "specifier", F.posexplode(F.transform(F.array(*map(F.lit, EXTENSIONS)), lambda e: F.concat("base", e))).alias("pos", "path"))
-    hit = first_by(tried.join(files.select(F.col("file").alias("path")).distinct(), "path"), ["file", "specifier"], ["pos"])
-    return imports.join(hit.select("file", "specifier", F.col("path").alias("target_file")), ["file", "specifier"], "left")
+    src, file = F.concat(F.lit("file:"), "file"), F.concat(F.lit("file:"), "target_file")
+    s = symbols.select(F.col("file").alias("target_file"), "name", "id")
+    inside = imports.where("target_file is not null")
+
+    def rows(df, dst, confidence):
+        return df.select(src.alias("src"), dst.alias("dst"), F.lit("imports").alias("kind"), F.lit(confidence).alias("confidence"))
+
+    named = rows(inside.withColumn("name", F.explode("named")).join(s, ["target_file", "name"]), F.col("id"), 1.0)
+    default = inside.where("default_alias is not null").join(s.where("name = 'default'").select("target_file", "id"), "target_file", "left")
+    nothing = inside.where("coalesce(size(named), 0) <= 0 and default_alias is null and namespace_alias is null")
+    parts = [named, rows(default, F.coalesce("id", file), 0.9), rows(inside.where("namespace_alias is not null"), file, 0.9), rows(nothing, file, 0.8), rows(imports.where("target_file is null and specifier <> ''"), F.concat(F.lit("import:"), "specifier"), 0.9)]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def code_relations(edges: DataFrame) -> DataFrame:
+    """(src, dst, kind) recovered from stored edges(src, dst, kind): symbol to symbol, and file to symbol where it imports."""
+    symbol, of_file = "code-symbol:", "code-file:"
+    kind = relation(F.col("kind"))
+    keep = edges.where(F.col("dst").startswith(symbol) & (F.col("src").startswith(symbol) | (F.col("src").startswith(of_file) & (kind == "imports"))))
+    dst = F.regexp_replace("dst", f"^{symbol}", "")
+    repo = F.when(dst.contains("/"), F.substring_index(dst, "/", 1)).otherwise(F.lit(""))
+    file = F.regexp_replace("src", f"^{of_file}", "")
+    own = F.when((repo != "") & file.startswith(F.concat(repo, F.lit("/"))), F.substring(file, F.length(repo) + 2, F.length(file))).otherwise(file)
+    src = F.when(F.col("src").startswith(symbol), F.regexp_replace("src", f"^{symbol}", "")).otherwise(F.concat(F.lit("file:"), own))
+    return keep.select(src.alias("src"), dst.alias("dst"), kind.alias("kind")).distinct()
+
+
+def peers(symbols: DataFrame, repo: str, file: str) -> DataFrame:
+    """The stored symbols of a repository's other files, for the index of one file."""
+    return symbols.where((F.col("repo") == repo) & (F.col("file") != file))
 
 
 def inheritance(symbols: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers and customers that trade; the line status gives the direction, the return flag the kind."""
-    li = table(spark, d, "lineitem").where("l_quantity >= 50").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     s, c, out = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("c"), F.col("o_custkey")), F.col("l_linestatus") == "O"
     kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "N", "imports").otherwise("extends")
     return li.select(F.when(out, s).otherwise(c).alias("src"), F.when(out, c).otherwise(s).alias("dst"), kind.alias("kind")).distinct()
@@ -62,7 +62,7 @@ SYM = """sym AS (
 EDG = """edg AS (
   SELECT DISTINCT CASE WHEN l_linestatus = 'O' THEN 's' || l_suppkey ELSE 'c' || o_custkey END AS src, CASE WHEN l_linestatus = 'O' THEN 'c' || o_custkey ELSE 's' || l_suppkey END AS dst,
     CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'imports' ELSE 'extends' END AS kind
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 CHURN = """churn AS (
   SELECT r_name || '/' || n_name || '/suppliers' AS file, count(*) AS commits, CAST(sum(l_quantity) AS BIGINT) AS additions, CAST(sum(l_linenumber) AS BIGINT) AS deletions
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1)"""

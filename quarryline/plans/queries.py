@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import analytics, graph, knowledge, ledger, resolve
+from ..operators import analytics, communities as groups, graph, knowledge, ledger, resolve, views
 from ..sources import code
 from ..streaming import verbatim
 from . import projections as P
@@ -49,13 +49,32 @@ def process_trace(spark, d):
     return graph.trace(P.symbols(spark, d), P.edges(spark, d), "s2")
 
 
-_DEAD = """dead AS (SELECT s.id, s.name, s.kind, s.file FROM sym s LEFT JOIN sym p ON s.parent_id = p.id
-  WHERE s.kind IN ('function', 'method', 'class') AND NOT EXISTS (SELECT 1 FROM edg WHERE dst = s.id AND kind IN ('calls', 'imports')) AND NOT starts_with(s.name, 'register') AND (p.kind IS NULL OR p.kind NOT IN ('function', 'method')))"""
+#: Names given to some symbols so that every exemption is met.
+_NAMES = [*analytics.ENTRY_NAMES, "registerRoutes", "setup", "Main", "handler2"]
+_LIVE = f"""nm AS (SELECT id, kind, parent_id, CASE WHEN n % 7 = 0 THEN ({_NAMES!r})[CAST(n % {len(_NAMES)} AS INT) + 1] ELSE name END AS name,
+  file || CASE n % 11 WHEN 0 THEN '/a.test.ts' WHEN 1 THEN '/b.spec.js' WHEN 2 THEN '/test/c.ts' WHEN 3 THEN '/tests/d.ts' ELSE '' END AS file FROM (SELECT *, CAST(substr(id, 2) AS INT) AS n FROM sym))"""
+_DEAD = """dead AS (SELECT s.id, s.name, s.kind, s.file FROM nm s LEFT JOIN sym p ON s.parent_id = p.id
+  WHERE s.kind IN ('function', 'method', 'class') AND NOT EXISTS (SELECT 1 FROM edg WHERE dst = s.id AND kind IN ('calls', 'imports') AND CAST(substr(src, 2) AS INT) % 97 = CAST(substr(dst, 2) AS INT) % 97)
+  AND NOT (starts_with(s.name, 'register') OR s.name IN ('main', 'run', 'start', 'init', 'register', 'default', 'index', 'handler', 'handle', 'execute', 'serve', 'listen', 'bootstrap'))
+  AND NOT (contains(s.file, '/test/') OR contains(s.file, '.test.') OR contains(s.file, '.spec.')) AND (p.kind IS NULL OR p.kind NOT IN ('function', 'method')))"""
 
 
-@query(f"WITH {S}, {E}, {_DEAD} SELECT * FROM dead")
+def _named_symbols(spark, d):
+    n = F.regexp_extract("id", r"(\d+)", 1).cast("int")
+    place = F.when(n % 11 == 0, "/a.test.ts").when(n % 11 == 1, "/b.spec.js").when(n % 11 == 2, "/test/c.ts").when(n % 11 == 3, "/tests/d.ts").otherwise("")
+    name = F.when(n % 7 == 0, F.get(F.array(*map(F.lit, _NAMES)), n % len(_NAMES))).otherwise(F.col("name"))
+    return P.symbols(spark, d).withColumn("name", name).withColumn("file", F.concat("file", place))
+
+
+def _sparse(spark, d):
+    """The uses that count for dead code: all pairs trade sooner or later, so only those of like number do."""
+    num = lambda c: F.expr(f"cast(substring({c}, 2) as int)") % 97
+    return P.edges(spark, d).where(num("src") == num("dst"))
+
+
+@query(f"WITH {S}, {E}, {_LIVE}, {_DEAD} SELECT * FROM dead")
 def dead_code(spark, d):
-    return analytics.dead_code(P.symbols(spark, d), P.edges(spark, d))
+    return analytics.dead_code(_named_symbols(spark, d), _sparse(spark, d))
 
 
 _HOT = "hot AS (SELECT s.id, s.file, s.complexity, CAST(s.complexity * coalesce(c.additions, 1) AS DOUBLE) AS score FROM sym s LEFT JOIN churn c ON s.file = c.file WHERE s.complexity >= 2 ORDER BY score DESC, id LIMIT 50)"
@@ -152,8 +171,8 @@ def changed_symbols(spark, d):
 
 
 @query(
-    f"WITH {S}, {E}, {C}, {_CHANGED}, i AS (SELECT dst, count(DISTINCT src) AS n FROM edg WHERE kind IN ('calls', 'imports') GROUP BY 1), r AS (SELECT ch.id, ch.file, round(greatest(coalesce(i.n, 0), 1) * greatest(complexity, 1) * ln(1 + coalesce(churn.additions, 0)), 2) AS score FROM ch LEFT JOIN i ON dst = ch.id LEFT JOIN churn ON churn.file = ch.file) "
-    "SELECT *, CASE WHEN score >= 50 THEN 'critical' WHEN score >= 20 THEN 'high' WHEN score >= 5 THEN 'medium' ELSE 'low' END AS band FROM r"
+    f"WITH {S}, {E}, {C}, {_CHANGED}, i AS (SELECT dst, count(DISTINCT src) AS n FROM edg WHERE kind IN ('calls', 'imports') GROUP BY 1), r AS (SELECT ch.id, ch.file, greatest(coalesce(i.n, 0), 1) * greatest(complexity, 1) * ln(1 + coalesce(churn.additions, 0)) AS score FROM ch LEFT JOIN i ON dst = ch.id LEFT JOIN churn ON churn.file = ch.file), t AS (SELECT sum(score) AS total, max(score) AS most FROM r) "
+    "SELECT id, file, round(score, 2) AS score, round(total, 2) AS total_score, CASE WHEN most >= 50 OR total >= 200 THEN 'critical' WHEN most >= 20 OR total >= 80 THEN 'high' WHEN most >= 5 OR total >= 20 THEN 'medium' ELSE 'low' END AS band FROM r, t"
 )
 def pr_risk(spark, d):
     return analytics.pr_risk(analytics.changed_symbols(_spans(spark, d), _ranges(spark, d)), P.edges(spark, d), P.churn(spark, d).select("file", F.col("additions").alias("churn")))
@@ -161,10 +180,10 @@ def pr_risk(spark, d):
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS authors FROM events GROUP BY 1")
 def authors(spark, d):
-    return P.table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("authors"))
+    return views.authors(P.table(spark, d, "events"), "user_id", "event_type")
 
 
-@query(f"WITH {S}, {E}, {C}, {_DEAD}, {_HOT}, {_DRIFT} SELECT 'dead_code' AS type, id AS subject, 'medium' AS severity FROM dead UNION ALL SELECT 'hotspot', id, CASE WHEN score > 10 THEN 'high' WHEN score > 5 THEN 'medium' ELSE 'low' END FROM hot UNION ALL SELECT 'schema_drift', \"table\", 'high' FROM drift WHERE status <> 'same'")
+@query(f"WITH {S}, {E}, {C}, {_LIVE}, {_DEAD}, {_HOT}, {_DRIFT} SELECT 'dead_code' AS type, id AS subject, 'medium' AS severity FROM dead UNION ALL SELECT 'hotspot', id, CASE WHEN score > 10 THEN 'high' WHEN score > 5 THEN 'medium' ELSE 'low' END FROM hot UNION ALL SELECT 'schema_drift', \"table\", 'high' FROM drift WHERE status <> 'same'")
 def alerts(spark, d):
     return analytics.alerts(dead_code(spark, d), hotspots(spark, d), _drift(spark, d))
 
@@ -174,42 +193,86 @@ def stats(spark, d):
     return analytics.stats(P.nodes(spark, d), P.edges(spark, d))
 
 
-@query()
-def communities(spark, d):
-    return graph.communities(P.symbols(spark, d), P.edges(spark, d))
+def _clusters(spark, d):
+    """Documents as files in cliques of five; every seventh clique has no common folder and is labelled by its symbols."""
+    n, g = F.col("doc_id"), F.floor(F.col("doc_id") / 5)
+    folder = F.when(g % 7 == 3, F.concat(F.lit("x"), n)).otherwise(F.concat(F.lit("r"), F.floor(g / 8), F.lit("/src/g"), g % 8))
+    name = F.concat(F.when(n % 5 < 3, F.lit("getAlpha_")).otherwise(F.lit("handle_beta_")), n)
+    return P.table(spark, d, "documents").select("doc_id", g.alias("g"), F.concat(folder, F.lit("/f"), n % 5, F.lit(".ts")).alias("file"), name.alias("name"))
 
 
-@query(
-    f"WITH {S}, {E}, m AS (SELECT id, regexp_replace(file, '/[^/]*$', '') AS c FROM sym), x AS (SELECT least(a.c, b.c) AS a, greatest(a.c, b.c) AS b FROM edg JOIN m a ON src = a.id JOIN m b ON dst = b.id WHERE a.c <> b.c) SELECT a, b, count(*) AS weight FROM x GROUP BY 1, 2"
-)
-def community_edges(spark, d):
-    m = P.symbols(spark, d).select("id", X.dirname(F.col("file")).alias("c"))
-    x = P.edges(spark, d).join(m.select(F.col("id").alias("src"), F.col("c").alias("ca")), "src").join(m.select(F.col("id").alias("dst"), F.col("c").alias("cb")), "dst").where("ca <> cb")
-    return x.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count("*").alias("weight"))
+_CLU = """clu AS (SELECT doc_id, doc_id // 5 AS g, CASE WHEN (doc_id // 5) % 7 = 3 THEN 'x' || doc_id ELSE 'r' || (doc_id // 40) || '/src/g' || ((doc_id // 5) % 8) END || '/f' || (doc_id % 5) || '.ts' AS file FROM documents),
+lab AS (SELECT g, min(file) AS community, min(file) AS first, CASE WHEN g % 7 = 3 AND count(*) > 1 THEN 'alpha' WHEN g % 7 = 3 THEN split_part(min(file), '/', 1) ELSE 'g' || (g % 8) END AS label, string_agg(regexp_replace(file, '^.*/', ''), '|' ORDER BY regexp_replace(file, '^.*/', '')) AS names FROM clu GROUP BY g)"""
+
+
+def _members(spark, d):
+    x = _clusters(spark, d)
+    y = x.select("g", F.col("file").alias("dst"), F.col("doc_id").alias("other"))
+    edges = x.join(y, "g").where("doc_id < other").select(F.col("file").alias("src"), "dst")  # five a clique
+    return groups.louvain(x.select(F.col("file").alias("id")), edges).select(F.col("id").alias("file"), "community"), x.select("file", "name")
 
 
-@query(f"WITH {S}, m AS (SELECT repo AS c, regexp_extract(file, '^[^/]*/([^/]*)', 1) AS f, count(*) AS n FROM sym GROUP BY 1, 2), t AS (SELECT c, sum(n) AS all_ FROM m GROUP BY 1) SELECT m.c AS community, CAST(all_ AS BIGINT) AS members, arg_max(f, (n, f)) AS dominant, CAST(max(n) AS BIGINT) AS dominant_members FROM m JOIN t ON m.c = t.c GROUP BY m.c, all_")
+@query(f"WITH {_CLU} SELECT clu.file, lab.community FROM clu JOIN lab ON clu.g = lab.g")
+def communities(spark, d):
+    return _members(spark, d)[0]
+
+
+@query(f"WITH {_CLU} SELECT community, label FROM lab")
 def community_labels(spark, d):
-    x = P.symbols(spark, d).groupBy(F.col("repo").alias("community"), F.split("file", "/")[1].alias("f")).agg(F.count("*").alias("n"))
-    return x.groupBy("community").agg(F.sum("n").alias("members"), F.max_by("f", F.struct("n", "f")).alias("dominant"), F.max("n").alias("dominant_members"))
+    return groups.labels(*_members(spark, d)).select("community", "label")
+
+
+_SID = f"""{_CLU}, sid AS (SELECT *, label || '~' || regexp_replace(regexp_replace(first, '^.*/', ''), '[.][^.]+$', '') AS bare, lpad(lower(to_hex(list_reduce([2166136261] || list_transform(string_split(names, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296))), 8, '0') AS hash FROM lab),
+turn AS (SELECT *, row_number() OVER (PARTITION BY bare ORDER BY first) AS turn, row_number() OVER (ORDER BY first) - 1 AS number FROM sid), late AS (SELECT *, row_number() OVER (PARTITION BY bare, hash, turn > 1 ORDER BY first) AS later FROM turn),
+ids AS (SELECT community, label, CASE WHEN turn = 1 THEN bare WHEN later = 1 THEN bare || '~' || hash ELSE bare || '~' || hash || '~' || number END AS stable_id FROM late)"""
 
 
-@query()
+@query(f"WITH {_SID} SELECT community, stable_id FROM ids")
 def stable_ids(spark, d):
-    s = P.symbols(spark, d).groupBy("repo").agg(F.min("file").alias("first"))
-    return s.select("repo", F.concat(F.lower(X.slug(F.col("repo"))), F.lit("~"), X.fnv1a8(X.basename(F.col("first")))).alias("stable_id"))
+    members, symbols = _members(spark, d)
+    return groups.stable_ids(groups.labels(members, symbols), members)
+
+
+@query(f"WITH {_SID}, m AS (SELECT clu.g, lab.community, file, split_part(file, '/', 1) || '/' || split_part(file, '/', 2) AS folder FROM clu JOIN lab USING (g)), fo AS (SELECT community, folder, count(*) AS k FROM m GROUP BY 1, 2) SELECT stable_id AS id, label, count(*) AS file_count, array_to_string(list_sort(list(file))[1:5], ',') AS files, (SELECT arg_min(folder, (-k, folder)) FROM fo WHERE fo.community = ids.community) AS folder FROM ids JOIN m ON m.community = ids.community GROUP BY ids.community, stable_id, label HAVING count(*) >= 2")
+def community_listing(spark, d):
+    return groups.listing(*_members(spark, d)).select("id", "label", "file_count", F.array_join("sample_files", ",").alias("files"), "folder")
+
+
+def _module_links(spark, d):
+    m = P.symbols(spark, d).select(F.col("id").alias("file"), X.dirname(F.col("file")).alias("community"))
+    return groups.directed_links(P.edges(spark, d).where("kind = 'imports'").select("src", "dst"), m)
+
 
+def _module_layers(spark, d):
+    return P.table(spark, d, "nation").join(P.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("/", "r_name", "n_name").alias("community"), (F.col("r_regionkey") + 1).alias("rank"))
 
-@query()
+
+_LINK = f"""WITH RECURSIVE {S}, {E}, m AS (SELECT id, regexp_replace(file, '/[^/]*$', '') AS c FROM sym), ln AS (SELECT a.c AS src, b.c AS dst, count(*) AS weight FROM edg JOIN m a ON src = a.id JOIN m b ON dst = b.id WHERE a.c <> b.c AND edg.kind = 'imports' GROUP BY 1, 2),
+rc AS (SELECT src AS a, dst AS b FROM ln UNION SELECT rc.a, ln.dst FROM rc JOIN ln ON rc.b = ln.src), cy AS (SELECT p.a AS id, min(q.a) AS c FROM rc p JOIN rc q ON p.a = q.b AND p.b = q.a GROUP BY 1 HAVING count(*) > 1),
+la AS (SELECT r_name || '/' || n_name AS c, r_regionkey + 1 AS rank FROM nation JOIN region ON n_regionkey = r_regionkey), inv AS (SELECT src, dst FROM ln JOIN la a ON src = a.c JOIN la b ON dst = b.c WHERE a.rank <> 5 AND a.rank - b.rank >= 2)"""
+
+
+@query(f"{_LINK} SELECT 'cycle' AS finding, id AS src, c AS dst FROM cy UNION ALL SELECT 'hub', dst, CAST(count(DISTINCT src) AS VARCHAR) FROM ln WHERE dst NOT IN (SELECT id FROM cy) GROUP BY dst HAVING count(DISTINCT src) >= 3 UNION ALL SELECT 'inversion', src, dst FROM inv")
+def community_insights(spark, d):
+    return groups.insights(_module_links(spark, d), _module_layers(spark, d))
+
+
+@query(f"{_LINK}, fl AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, weight, src IN (SELECT id FROM cy) AND (SELECT c FROM cy WHERE id = src) = (SELECT c FROM cy WHERE id = dst) AS cyc, EXISTS (SELECT 1 FROM inv WHERE inv.src = ln.src AND inv.dst = ln.dst) AS bad FROM ln) SELECT a, b, CAST(sum(weight) AS BIGINT) AS weight, coalesce(bool_or(cyc), false) AS cyclic, bool_or(bad) AS violation FROM fl GROUP BY 1, 2")
+def community_edges(spark, d):
+    links = _module_links(spark, d)
+    return groups.links_of(links, groups.insights(links, _module_layers(spark, d)))
+
+
+_SUB = f"""WITH {E}, b AS (SELECT src AS o, dst AS id FROM edg UNION SELECT dst, src FROM edg), one AS (SELECT id, min(o) AS by_ FROM b WHERE o = 's2' AND id <> 's2' GROUP BY 1 ORDER BY by_, id LIMIT 199), two AS (SELECT id FROM (SELECT b.id, row_number() OVER (ORDER BY min(b.o), b.id) AS n FROM b JOIN one ON b.o = one.id WHERE b.id <> 's2' AND b.id NOT IN (SELECT id FROM one) GROUP BY b.id) WHERE n <= 199 - (SELECT count(*) FROM one)),
+sub AS (SELECT 's2' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two)"""
+
+
+@query(f"{_SUB} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, kind FROM edg WHERE src IN (SELECT id FROM sub) AND dst IN (SELECT id FROM sub) AND src <> dst")
 def subgraph_edges(spark, d):
     return graph.subgraph(P.edges(spark, d), "s2")[1]
 
 
-@query(
-    f"WITH {E}, b AS (SELECT src AS o, dst AS id FROM edg UNION SELECT dst, src FROM edg), one AS (SELECT id, min(o) AS by_ FROM b WHERE o = 's2' AND id <> 's2' GROUP BY 1 ORDER BY by_, id LIMIT 199), "
-    "two AS (SELECT id FROM (SELECT b.id, row_number() OVER (ORDER BY min(b.o), b.id) AS n FROM b JOIN one ON b.o = one.id WHERE b.id <> 's2' AND b.id NOT IN (SELECT id FROM one) GROUP BY b.id) WHERE n <= 199 - (SELECT count(*) FROM one)) "
-    "SELECT 's2' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two"
-)
+@query(f"{_SUB} SELECT * FROM sub")
 def subgraph_nodes(spark, d):
     return graph.subgraph(P.edges(spark, d), "s2")[0]
 
@@ -217,9 +280,9 @@ def subgraph_nodes(spark, d):
 _ORDER = {"decision": 0, "architecture": 1, "convention": 2}
 
 
-@query(f"WITH {N} SELECT id, type, CASE type WHEN 'decision' THEN 0 WHEN 'architecture' THEN 1 WHEN 'convention' THEN 2 ELSE 99 END AS priority FROM nodes ORDER BY priority, id LIMIT 300")
+@query(f"WITH {N} SELECT id, type, CASE type WHEN 'decision' THEN 0 WHEN 'architecture' THEN 1 WHEN 'convention' THEN 2 ELSE 99 END AS priority FROM nodes ORDER BY priority, id LIMIT 3000")
 def full_graph(spark, d):
-    return graph.full_graph(P.nodes(spark, d), _ORDER, 300).select("id", "type", "priority")
+    return graph.full_graph(P.nodes(spark, d), _ORDER).select("id", "type", "priority")
 
 
 @query(f"WITH {S}, f AS (SELECT DISTINCT file, string_split(file, '/') AS p FROM sym), u AS (SELECT p, unnest(range(0, len(p))) AS i FROM f) SELECT DISTINCT CASE WHEN i = 0 THEN '.' ELSE array_to_string(p[1:i], '/') END AS parent, array_to_string(p[1:i + 1], '/') AS child, i = len(p) - 1 AS child_is_file FROM u")
@@ -227,22 +290,21 @@ def folders(spark, d):
     return graph.folders(P.symbols(spark, d))
 
 
-@query("SELECT DISTINCT 'code-import:' || regexp_replace(x, '[^A-Za-z0-9._-]+', '_', 'g') AS id FROM (SELECT unnest(regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1)) AS x FROM pages)")
+@query("SELECT DISTINCT 'code-import:' || CASE WHEN trim(regexp_replace(x, '[^A-Za-z0-9._-]+', '_', 'g'), '_') = '' THEN '_' ELSE trim(regexp_replace(regexp_replace(x, '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '_') END AS id FROM (SELECT unnest(regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1)) AS x FROM pages)")
 def import_nodes(spark, d):
-    x = P.table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), 1)).alias("x"))
-    return x.select(F.concat(F.lit("code-import:"), F.regexp_replace("x", "[^A-Za-z0-9._-]+", "_")).alias("id")).distinct()
+    return views.import_nodes(P.table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), 1)).alias("module")))
 
 
-@query("WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+')) AS w FROM documents) SELECT doc_id, CAST(least(len(w), 160) AS BIGINT) AS identifiers FROM t")
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f), c AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS card FROM n WHERE k <= 160 GROUP BY 1) SELECT CAST(d.doc_id AS VARCHAR) AS file, concat_ws(' ', d.doc_id, substr(coalesce(card, ''), 1, 2000)) AS card FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id")
 def context_cards(spark, d):
-    w = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]+)"), 1))
-    return P.table(spark, d, "documents").select("doc_id", F.size(F.slice(w, 1, 160)).cast("long").alias("identifiers"))
+    return views.file_cards(P.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.coalesce("text", F.lit("")).alias("content")))
 
 
-@query("SELECT CASE WHEN length(text) > 8000 THEN 'too large' WHEN text IS NULL THEN 'unreadable' END AS reason, count(*) AS n FROM documents WHERE length(text) > 8000 OR text IS NULL GROUP BY 1")
+@query("WITH x AS (SELECT CAST(doc_id AS VARCHAR) AS file, CASE WHEN length(text) > 8000 THEN 'too large' WHEN text IS NULL THEN 'unreadable' END AS reason FROM documents) SELECT reason, count(*) AS n, array_to_string(list_sort(list(DISTINCT file))[1:5], ',') AS sample FROM x WHERE reason IS NOT NULL GROUP BY 1")
 def skipped_summary(spark, d):
     reason = F.when(F.length("text") > 8000, "too large").when(F.col("text").isNull(), "unreadable")
-    return P.table(spark, d, "documents").select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    x = P.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), reason.alias("reason")).where("reason is not null")
+    return views.skipped_summary(x).withColumn("sample", F.array_join("sample", ","))
 
 
 _KEY = "k AS (SELECT id, content, 3 * ((length(lower(label)) - length(replace(lower(label), 'en', ''))) // 2) + 2 * ((length(lower(array_to_string(tags, ' '))) - length(replace(lower(array_to_string(tags, ' ')), 'en', ''))) // 2) + (length(lower(content)) - length(replace(lower(content), 'en', ''))) // 2 + 3 * ((length(lower(label)) - length(replace(lower(label), 'src1', ''))) // 4) + 2 * ((length(lower(array_to_string(tags, ' '))) - length(replace(lower(array_to_string(tags, ' ')), 'src1', ''))) // 4) + (length(lower(content)) - length(replace(lower(content), 'src1', ''))) // 4 AS score FROM nodes WHERE superseded_at IS NULL)"
@@ -250,13 +312,13 @@ _KEY = "k AS (SELECT id, content, 3 * ((length(lower(label)) - length(replace(lo
 
 @query(f"WITH {N}, {_KEY} SELECT id, CAST(score AS BIGINT) AS score FROM k WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
 def keyword_search(spark, d):
-    return knowledge.keyword_search(P.nodes(spark, d), ["en", "src1"])
+    return knowledge.keyword_search(P.nodes(spark, d), "en, src1")
 
 
 @query(f"WITH {N}, {_KEY}, r AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, content FROM k WHERE score > 0 ORDER BY score DESC, id LIMIT 20), t AS (SELECT rank, id, CAST(sum(length(content)) OVER (ORDER BY rank) AS BIGINT) AS total FROM r) SELECT rank, id, total, (SELECT count(*) FROM t WHERE total > 90000) AS omitted FROM t WHERE total <= 90000")
 def context_block(spark, d):
     nodes = P.nodes(spark, d)
-    top = knowledge.keyword_search(nodes, ["en", "src1"])
+    top = knowledge.keyword_search(nodes, "en src1")
     ranked = top.join(nodes.select("id", "content"), "id").select(F.expr("row_number() over (order by score desc, id)").cast("long").alias("rank"), "id", "content")
     return knowledge.context_block(ranked, 90000)
 
@@ -282,11 +344,10 @@ def semantic_topk(spark, d):
     return knowledge.semantic(_vectors(spark, d), _probe(spark, d))
 
 
-@query(f"WITH s AS ({_SEM}), a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 20)), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS DOUBLE) AS score FROM embeddings ORDER BY score DESC, id LIMIT 20)) SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY score DESC, id LIMIT 10")
+@query(f"WITH {N}, {_KEY}, s AS ({_SEM}), a AS (SELECT 'n' || id AS id, row_number() OVER (ORDER BY score DESC, 'n' || id) AS r FROM (SELECT * FROM s ORDER BY score DESC, 'n' || id LIMIT 20)), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT id, score FROM k WHERE score > 0 ORDER BY score DESC, id LIMIT 20)) SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY score DESC, id LIMIT 10")
 def hybrid_search(spark, d):
-    v = _vectors(spark, d)
-    by_label = v.select("id", F.col("label").cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(20)
-    return knowledge.fuse([knowledge.semantic(v, _probe(spark, d), 20), by_label])
+    near = knowledge.semantic(_vectors(spark, d).withColumn("id", F.concat(F.lit("n"), "id")), _probe(spark, d), 20)
+    return knowledge.fuse([near, knowledge.keyword_search(P.nodes(spark, d), "en SRC1")])
 
 
 @query(f"WITH {N}, s AS (SELECT 'n' || id AS id, score FROM ({_SEM}) ORDER BY score DESC, 'n' || id LIMIT 50) SELECT s.id, type, score, CASE WHEN length(content) > 280 THEN content[1:280] || '…' ELSE content END AS snippet FROM s JOIN nodes ON s.id = nodes.id WHERE superseded_at IS NULL ORDER BY CASE WHEN type IN ('decision', 'convention') THEN 0 ELSE 1 END, score DESC, s.id LIMIT 10")
@@ -295,7 +356,7 @@ def semantic_recall(spark, d):
     return knowledge.recall(v, P.nodes(spark, d), _probe(spark, d), ["decision", "convention"])
 
 
-@query("WITH e AS (SELECT conv_id || ':' || turn AS id, conv_id, turn FROM conversations), m AS (SELECT conv_id, max((turn, conv_id || ':' || turn)) AS t FROM e GROUP BY 1) SELECT e.id, turn AS at, CASE WHEN turn = 1 AND conv_id % 7 = 0 THEN 'superseded-by:' || conv_id || ':0' WHEN m.t[1] > turn THEN 'outdated-by:' || m.t[2] ELSE 'current' END AS status FROM e JOIN m USING (conv_id)")
+@query("WITH e AS (SELECT conv_id || ':' || turn AS id, conv_id, turn FROM conversations), m AS (SELECT conv_id, max((turn, conv_id || ':' || turn)) AS t FROM e GROUP BY 1) SELECT e.id, turn AS at, CASE WHEN turn = 1 AND conv_id % 7 = 0 THEN 'superseded-by:' || conv_id || ':0' WHEN m.t[1] > turn THEN 'outdated-by:' || m.t[2] || ' (by time)' ELSE 'current' END AS status FROM e JOIN m USING (conv_id)")
 def verbatim_status(spark, d):
     c = P.table(spark, d, "conversations")
     e = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.array(F.col("conv_id").cast("string")).alias("topics"), F.col("turn").alias("at"))
@@ -322,32 +383,31 @@ def intent_router(spark, d):
 
 @query(f"WITH {S}, {E}, c AS (SELECT e.dst, s.file, e.src FROM edg e JOIN sym s ON e.src = s.id WHERE e.kind = 'calls') SELECT dst AS id, count(DISTINCT src) AS callers, array_to_string(list_sort(list(DISTINCT file))[1:3], ',') AS files, greatest(count(DISTINCT file) - 3, 0) AS more FROM c GROUP BY 1")
 def hook_enrichment(spark, d):
-    c = P.edges(spark, d).where("kind = 'calls'").join(P.symbols(spark, d).select(F.col("id").alias("src"), "file"), "src")
-    files = F.sort_array(F.collect_set("file"))
-    return c.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("callers"), F.array_join(F.slice(files, 1, 3), ",").alias("files"), F.greatest(F.countDistinct("file") - 3, F.lit(0)).alias("more"))
+    return views.callers(P.edges(spark, d), P.symbols(spark, d))
 
 
-_RC = """ca AS (SELECT o_orderkey AS call_id, 'c' || o_custkey AS caller, s.file, CASE WHEN o_orderkey % 4 = 3 THEN s.repo || '.' ELSE '' END || 'f' || (o_orderkey % 50) AS callee, CASE WHEN o_orderkey % 4 = 0 THEN s.repo END AS receiver FROM orders JOIN sym s ON s.id = 'c' || o_custkey),
-t AS (SELECT id AS dst, 'f' || (CAST(substr(id, 2) AS INT) % 50) AS name, repo AS scope, file, CAST(substr(id, 2) AS INT) AS start_line, parent_id FROM sym),
-im AS (SELECT DISTINCT a.file, b.file AS target_file, CASE WHEN b.kind = 'class' THEN '*' ELSE 'f' || (CAST(substr(b.id, 2) AS INT) % 50) END AS name FROM edg JOIN sym a ON src = a.id JOIN sym b ON dst = b.id WHERE edg.kind = 'imports'),
-cand AS (SELECT call_id, caller AS src, dst, 0 AS p, 0.95::DOUBLE AS confidence, 'receiver' AS reason, t.file, start_line FROM ca JOIN t ON ca.receiver = t.scope AND ca.callee = t.name
- UNION ALL SELECT call_id, caller, dst, 1, 1.0, 'same file', t.file, start_line FROM ca JOIN t ON ca.file = t.file AND ca.callee = t.name
- UNION ALL SELECT call_id, caller, dst, 2, 0.95, 'named import', t.file, start_line FROM ca JOIN im ON ca.file = im.file AND ca.callee = im.name JOIN t ON im.target_file = t.file AND ca.callee = t.name WHERE im.name <> '*'
- UNION ALL SELECT call_id, caller, dst, 3, 0.8, 'wildcard import', t.file, start_line FROM ca JOIN im ON ca.file = im.file AND im.name = '*' JOIN t ON im.target_file = t.file AND ca.callee = t.name
- UNION ALL SELECT call_id, caller, dst, 4, 0.7, 'qualified name', t.file, start_line FROM ca JOIN t ON ca.callee = t.scope || '.' || t.name
- UNION ALL SELECT call_id, caller, dst, 5, 0.5, 'bare name', t.file, start_line FROM ca JOIN t ON ca.callee = t.name AND t.parent_id IS NULL)"""
+_RC = """ca AS (SELECT o_orderkey AS call_id, 'c' || o_custkey AS caller, s.file, CASE WHEN o_orderkey % 4 = 3 THEN s.repo || '.' ELSE '' END || 'f' || (o_orderkey % 50) AS callee, CASE o_orderkey % 8 WHEN 0 THEN s.repo WHEN 4 THEN 'this' END AS receiver FROM orders JOIN sym s ON s.id = 'c' || o_custkey),
+t0 AS (SELECT *, CAST(substr(id, 2) AS INT) AS n FROM sym), t AS (SELECT id, 'f' || (n % 50) AS name, CASE WHEN n % 4 <> 1 THEN repo || '.' ELSE '' END || 'f' || (n % 50) AS q, file, (file, n, id) AS o, n % 9 <> 0 AS can FROM t0),
+loc AS (SELECT file, name, arg_min(id, o) AS dst, count(*) AS n FROM t WHERE can GROUP BY 1, 2), exp AS (SELECT file, name, arg_min(id, o) AS dst FROM t GROUP BY 1, 2), qa AS (SELECT q, arg_min(id, o) AS dst FROM t GROUP BY 1), qf AS (SELECT q, file, arg_min(id, o) AS dst FROM t GROUP BY 1, 2), bare AS (SELECT name, arg_min(id, o) AS dst FROM t WHERE can AND q = name GROUP BY 1),
+im AS (SELECT DISTINCT a.file, b.file AS target_file, CASE WHEN b.n % 3 = 0 THEN b.repo WHEN b.kind = 'class' THEN '*' ELSE 'f' || (b.n % 50) END AS name FROM edg JOIN t0 a ON src = a.id JOIN t0 b ON dst = b.id WHERE edg.kind = 'imports' AND a.n % 50 = b.n % 50),
+ni AS (SELECT file, name, min(target_file) AS target_file FROM im WHERE name <> '*' GROUP BY 1, 2), wi AS (SELECT im.file, exp.name, arg_min(exp.dst, target_file) AS dst FROM im JOIN exp ON exp.file = im.target_file WHERE im.name = '*' GROUP BY 1, 2),
+x AS (SELECT call_id, caller AS src, coalesce(r1.dst, r2.dst, r3.dst) AS d0, loc.dst AS d1, loc.n AS k, e.dst AS d2, wi.dst AS d3, q4.dst AS d4, bare.dst AS d5 FROM (SELECT *, CASE WHEN regexp_full_match(receiver, '[A-Za-z_$][A-Za-z0-9_$]*') AND receiver <> 'this' THEN receiver END AS r FROM ca) ca
+  LEFT JOIN qf r1 ON r1.q = r || '.' || callee AND r1.file = ca.file LEFT JOIN ni rn ON rn.file = ca.file AND rn.name = r LEFT JOIN qf r2 ON r2.q = r || '.' || callee AND r2.file = rn.target_file LEFT JOIN qa r3 ON r3.q = r || '.' || callee
+  LEFT JOIN loc ON loc.file = ca.file AND loc.name = callee LEFT JOIN ni ON ni.file = ca.file AND ni.name = callee LEFT JOIN exp e ON e.file = ni.target_file AND e.name = callee LEFT JOIN wi ON wi.file = ca.file AND wi.name = callee LEFT JOIN qa q4 ON q4.q = callee LEFT JOIN bare ON bare.name = callee)"""
 
 
-@query(f"WITH {S}, {E}, {_RC} SELECT call_id, src, dst, confidence, reason FROM cand QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY p, file, start_line, dst) = 1")
+@query(f"WITH {S}, {E}, {_RC} SELECT call_id, src, coalesce(d0, d1, d2, d3, d4, d5) AS dst, CAST(CASE WHEN d0 IS NOT NULL THEN 0.95 WHEN d1 IS NOT NULL THEN CASE WHEN k > 1 THEN 0.85 ELSE 1.0 END WHEN d2 IS NOT NULL THEN 0.95 WHEN d3 IS NOT NULL THEN 0.8 WHEN d4 IS NOT NULL THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN d0 IS NOT NULL THEN 'receiver' WHEN d1 IS NOT NULL THEN 'same file' WHEN d2 IS NOT NULL THEN 'named import' WHEN d3 IS NOT NULL THEN 'wildcard import' WHEN d4 IS NOT NULL THEN 'qualified name' ELSE 'bare name' END AS reason FROM x WHERE coalesce(d0, d1, d2, d3, d4, d5) IS NOT NULL")
 def resolve_calls(spark, d):
-    s = P.symbols(spark, d)
-    num = F.regexp_extract("id", r"(\d+)", 1).cast("int")
-    t = s.select("id", F.concat(F.lit("f"), num % 50).alias("name"), F.col("repo").alias("scope"), "file", num.alias("start_line"), "parent_id")
+    s = P.symbols(spark, d).withColumn("n", F.regexp_extract("id", r"(\d+)", 1).cast("int"))
+    name = F.concat(F.lit("f"), F.col("n") % 50)
+    t = s.select("id", name.alias("name"), F.when(F.col("n") % 9 == 0, "variable").otherwise(F.col("kind")).alias("kind"), F.when(F.col("n") % 4 != 1, F.col("repo")).alias("scope"), "file", F.col("n").alias("start_line"))
+    key = F.col("o_orderkey")
     o = P.table(spark, d, "orders").join(s.select(F.col("id").alias("caller"), "file", "repo"), F.concat(F.lit("c"), "o_custkey") == F.col("caller"))
-    calls = o.select(F.col("o_orderkey").alias("call_id"), "caller", "file", F.concat(F.when(F.col("o_orderkey") % 4 == 3, F.concat("repo", F.lit("."))).otherwise(F.lit("")), F.lit("f"), F.col("o_orderkey") % 50).alias("callee"), F.when(F.col("o_orderkey") % 4 == 0, F.col("repo")).alias("receiver"))
+    calls = o.select(key.alias("call_id"), "caller", "file", F.concat(F.when(key % 4 == 3, F.concat("repo", F.lit("."))).otherwise(F.lit("")), F.lit("f"), key % 50).alias("callee"), F.when(key % 8 == 0, F.col("repo")).when(key % 8 == 4, "this").alias("receiver"))
     e = P.edges(spark, d).where("kind = 'imports'").select("src", "dst")
-    imp = e.join(s.select(F.col("id").alias("src"), "file"), "src").join(s.select(F.col("id").alias("dst"), F.col("file").alias("target_file"), F.when(F.col("kind") == "class", F.lit("*")).otherwise(F.concat(F.lit("f"), num % 50)).alias("name")), "dst")
-    return resolve.resolve_calls(calls, t, imp.select("file", "target_file", "name").distinct())
+    imported = F.when(F.col("n") % 3 == 0, F.col("repo")).when(F.col("kind") == "class", "*").otherwise(name)
+    imp = e.join(s.select(F.col("id").alias("src"), "file", F.col("n").alias("m")), "src").join(s.select(F.col("id").alias("dst"), F.col("file").alias("target_file"), imported.alias("name"), "n"), "dst")
+    return resolve.resolve_calls(calls, t, imp.where(F.col("m") % 50 == F.col("n") % 50).select("file", "target_file", "name").distinct())
 
 
 @query("WITH f AS (SELECT DISTINCT source || '/' || lang || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.ts' WHEN doc_id % 3 = 1 THEN '.js' ELSE '/index.ts' END AS path FROM documents), i AS (SELECT DISTINCT source || '/' || lang || '/m' || doc_id || '.ts' AS file, CASE WHEN doc_id % 4 = 0 THEN 'react' ELSE './' || doc_id END AS specifier, source || '/' || lang AS dir, doc_id FROM documents), x AS (SELECT i.file, specifier, path AS target_file, CASE WHEN suffix(path, '/index.ts') THEN 10 WHEN suffix(path, '.ts') THEN 1 ELSE 3 END AS p FROM i JOIN f ON specifier <> 'react' AND path IN (dir || '/' || doc_id || '.ts', dir || '/' || doc_id || '.js', dir || '/' || doc_id || '/index.ts')) SELECT i.file, i.specifier, b.target_file FROM i LEFT JOIN (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY file, specifier ORDER BY p) = 1) b ON i.file = b.file AND i.specifier = b.specifier")
@@ -441,22 +501,33 @@ def ledger_union(spark, d):
     return ledger.union_merge(x.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("v")), x.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("v")), ["id"])
 
 
-def _lines(spark, d):
-    n = P.nodes(spark, d).select("id", "type", "label", F.lit("x").alias("content"), "doc_id").where("doc_id % 2 = 0")
-    e = P.nodes(spark, d).where("doc_id % 4 = 0").select(F.col("id").alias("src"), F.concat(F.lit("n"), F.col("doc_id") + F.when(F.col("doc_id") % 8 == 0, 2).otherwise(1)).alias("dst"), F.lit("relates_to").alias("kind"))
-    return ledger.export_lines(n, e)
+def _lines(spark, d, header=None):
+    n = P.nodes(spark, d)
+    nodes = n.select("id", "type", "label", "content", "tags", "superseded_at")
+    edges = n.select(F.col("id").alias("src"), F.concat(F.lit("n"), F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(10_000_000)).alias("dst"), F.lit("relates_to").alias("kind"))
+    return ledger.export_lines(nodes, edges, header)
 
 
-@query(f"WITH {N}, k AS (SELECT * FROM nodes WHERE doc_id % 2 = 0) SELECT 1 AS ord, '{{\"kind\":\"node\",\"id\":\"' || id || '\",\"type\":\"' || type || '\",\"label\":\"' || label || '\",\"content\":\"x\"}}' AS line FROM k UNION ALL SELECT 2, '{{\"kind\":\"edge\",\"sourceId\":\"' || id || '\",\"targetId\":\"n' || (doc_id + CASE WHEN doc_id % 8 = 0 THEN 2 ELSE 1 END) || '\",\"relation\":\"relates_to\"}}' FROM k WHERE doc_id % 4 = 0")
+@query(
+    f"WITH {N} SELECT 0 AS ord, '{{\"version\":2,\"exportedAt\":\"t\",\"sourceWorkspace\":\"w\",\"exportedTypes\":' || CAST(to_json(list_sort(list(DISTINCT type))) AS VARCHAR) || '}}' AS line FROM nodes "
+    "UNION ALL SELECT 1, '{\"kind\":\"node\",\"id\":' || to_json(id) || ',\"type\":' || to_json(type) || ',\"label\":' || to_json(label) || coalesce(',\"content\":' || to_json(content), '') || ',\"tags\":' || to_json(array_to_string(tags, ',')) || coalesce(',\"supersededAt\":' || to_json(superseded_at), '') || '}' FROM nodes "
+    "UNION ALL SELECT 2, '{\"kind\":\"edge\",\"sourceId\":\"' || id || '\",\"targetId\":\"n' || (doc_id + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 10000000 END) || '\",\"relation\":\"relates_to\"}' FROM nodes"
+)
 def ledger_export(spark, d):
-    return _lines(spark, d)
+    return _lines(spark, d, {"exported_at": "t", "workspace": "w"})
 
 
-@query(f"WITH {N} SELECT id AS src, 'n' || (doc_id + CASE WHEN doc_id % 8 = 0 THEN 2 ELSE 1 END) AS dst, 'relates_to' AS kind, CASE WHEN doc_id % 8 = 0 AND doc_id + 2 IN (SELECT doc_id FROM nodes) THEN 'ok' ELSE 'deferred' END AS outcome FROM nodes WHERE doc_id % 4 = 0")
+@query(f"WITH {N} SELECT id AS src, 'n' || (doc_id + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 10000000 END) AS dst, 'relates_to' AS kind, CASE WHEN doc_id % 3 = 0 AND doc_id + 1 IN (SELECT doc_id FROM nodes) THEN 'ok' ELSE 'deferred' END AS outcome FROM nodes")
 def ledger_import(spark, d):
     return ledger.import_outcomes(ledger.parse_lines(_lines(spark, d).select("line")), spark.createDataFrame([], "id string"))
 
 
+@query(f"WITH {N} SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'replaced' ELSE 'new' END AS outcome FROM nodes")
+def ledger_import_nodes(spark, d):
+    parsed = ledger.parse_lines(_lines(spark, d).select("line"))
+    return ledger.import_nodes(parsed, P.nodes(spark, d).where("doc_id % 2 = 0").select("id"))
+
+
 @query("SELECT doc_id AS id, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0) GROUP BY 1 HAVING count(*) > 1")
 def id_collisions(spark, d):
     x = P.table(spark, d, "documents").select(F.col("doc_id").alias("id"))
@@ -508,23 +579,21 @@ def relation_and_class(spark, d):
     return P.table(spark, d, "events").select("event_id", X.relation(F.col("event_type")).alias("relation"), X.node_class(node).alias("class"))
 
 
-@query("WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a/node_modules/x.py' WHEN 1 THEN 'src/.Venv3/y.ts' WHEN 2 THEN 'src/z.go' ELSE 'lib/w.unknown' END AS path FROM documents) SELECT doc_id, doc_id % 4 < 2 AS skipped, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'go' END AS language FROM p")
+@query("WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a/Pods/x.pyi' WHEN 1 THEN 'src/.Venv3/y.ts' WHEN 2 THEN 'src/z.go' ELSE 'lib/w.unknown' END AS path FROM documents) SELECT doc_id, doc_id % 4 < 2 AS skipped, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'go' END AS language FROM p")
 def file_predicates(spark, d):
     k = F.col("doc_id") % 4
-    path = F.when(k == 0, "a/node_modules/x.py").when(k == 1, "src/.Venv3/y.ts").when(k == 2, "src/z.go").otherwise("lib/w.unknown")
+    path = F.when(k == 0, "a/Pods/x.pyi").when(k == 1, "src/.Venv3/y.ts").when(k == 2, "src/z.go").otherwise("lib/w.unknown")
     return P.table(spark, d, "documents").select("doc_id", X.skip_dir(path).alias("skipped"), X.language_of(path).alias("language"))
 
 
 @query(f"WITH {E}, b AS (SELECT src AS id, dst AS o FROM edg UNION SELECT dst, src FROM edg) SELECT id, count(*) AS degree, round(least(1.8, 1 + log2(1 + count(*)) / 10), 6) AS size FROM b GROUP BY 1")
 def drilldown_degree(spark, d):
-    e = P.edges(spark, d)
-    both = e.select(F.col("src").alias("id"), F.col("dst").alias("o")).unionAll(e.select(F.col("dst").alias("id"), F.col("src").alias("o"))).distinct()
-    return both.groupBy("id").agg(F.count("*").alias("degree")).withColumn("size", F.round(F.least(F.lit(1.8), 1 + F.log2(1 + F.col("degree")) / 10), 6))
+    return views.degrees(P.edges(spark, d))
 
 
 @query(f"WITH {N} SELECT type, count(*) AS visible FROM nodes WHERE type <> 'convention' AND project IN ('src1', 'src2', 'src3') GROUP BY 1")
 def visible_stats(spark, d):
-    return P.nodes(spark, d).where((F.col("type") != "convention") & F.col("project").isin("src1", "src2", "src3")).groupBy("type").agg(F.count("*").alias("visible"))
+    return views.visible(P.nodes(spark, d), ["convention"], ["src1", "src2", "src3"])
 
 
 @query("WITH c AS (SELECT conv_id, turn, text, CAST(1 + ceil(greatest(0, length(text) - 1200) / 1050.0) AS BIGINT) AS c FROM conversations), r AS (SELECT conv_id % 10 AS workspace, conv_id || ':' || turn AS id, (row_number() OVER w - 1) // 5 AS a, CAST((sum(c) OVER w - c) AS BIGINT) // 32 AS b FROM c WINDOW w AS (PARTITION BY conv_id % 10 ORDER BY turn, conv_id || ':' || turn ROWS UNBOUNDED PRECEDING)) SELECT workspace, id, greatest(a, b) AS batch FROM r")
@@ -547,4 +616,4 @@ def event_windows(spark, d):
 @query(f"WITH {N}, m AS (SELECT id FROM nodes WHERE type = 'decision' UNION SELECT id FROM nodes WHERE superseded_at IS NOT NULL) SELECT id FROM m")
 def citations(spark, d):
     n = P.nodes(spark, d)
-    return reduce(DataFrame.unionByName, [n.where("type = 'decision'").select("id"), n.where("superseded_at is not null").select("id")]).distinct()
+    return views.citations([n.where("type = 'decision'"), n.where("superseded_at is not null")])

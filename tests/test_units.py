@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from quarryline.functions import exprs as X
-from quarryline.operators import graph, ledger
+from quarryline.operators import analytics, graph, knowledge, ledger, resolve
+from quarryline.operators import communities as groups
 from quarryline.sources import code
 from quarryline.streaming import verbatim
 
@@ -89,11 +90,99 @@ def test_components_of_cycles(spark):
     assert {r.id: r.component for r in graph.sccs(spark.createDataFrame(pairs, "src string, dst string")).collect()} == want
 
 
-def test_communities_of_cliques(spark):
-    a, b = ["a1", "a2", "a3", "a4"], ["b1", "b2", "b3", "b4"]
-    e = [(x, y, "imports") for g in (a, b) for x in g for y in g if x < y] + [("a1", "b1", "imports")]
-    got = {r.id: r.community for r in graph.communities(spark.createDataFrame([(x,) for x in [*a, *b, "z"]], "id string"), spark.createDataFrame(e, "src string, dst string, kind string")).collect()}
-    assert len({got[x] for x in a}) == 1 and len({got[x] for x in b}) == 1 and got["a2"] != got["b2"] and got["z"] == "z"
+def cliques(*sets):
+    return [(a, b) for files in sets for a in files for b in files if a < b]
+
+
+def stable(spark, *sets):
+    edges = spark.createDataFrame(cliques(*sets), "src string, dst string")
+    members = groups.louvain(spark.createDataFrame([(f,) for s in sets for f in s], "id string"), edges).select("community", F.col("id").alias("file"))
+    symbols = spark.createDataFrame([("none", "x")], "file string, name string")
+    return sorted(r.stable_id for r in groups.stable_ids(groups.labels(members, symbols), members).collect())
+
+
+def test_communities_and_stable_ids(spark):
+    a, b = ["src/locale/format.ts", "src/locale/parse.ts", "src/locale/index.ts"], ["src/parser/ast.ts", "src/parser/lexer.ts", "src/parser/token.ts"]
+    assert stable(spark, a, b) == ["locale~format", "parser~ast"]
+    assert stable(spark, ["pkg/a/utils/str.ts", "pkg/a/utils/num.ts"], ["pkg/b/utils/date.ts", "pkg/b/utils/uuid.ts"]) == ["utils~date", "utils~num"]
+    assert stable(spark, ["zeta.ts", "alpha.ts"]) == ["community~alpha"]
+
+
+def test_louvain_of_bridged_cliques(spark):
+    a, b, c = ([f"{x}{i}" for i in range(5)] for x in "abc")
+    edges = [*cliques(a, b, c), ("a0", "b0"), ("b1", "c0"), ("a0", "a1"), ("a1", "a0"), ("a2", "a2"), ("a0", "gone")]
+    got = {r.id: r.community for r in groups.louvain(spark.createDataFrame([(x,) for x in [*a, *b, *c, "z"]], "id string"), spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {**dict.fromkeys(a, "a0"), **dict.fromkeys(b, "b0"), **dict.fromkeys(c, "c0"), "z": "z"}
+    assert groups.louvain(spark.createDataFrame([], "id string"), spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_hubs_are_outside_of_cycles(spark):
+    links = spark.createDataFrame([("a", "h", 1), ("b", "h", 2), ("c", "h", 1), ("a", "b", 1), ("b", "a", 3), ("d", "a", 1), ("c", "a", 1)], "src string, dst string, weight long")
+    found = groups.insights(links, spark.createDataFrame([("a", 4), ("h", 1), ("b", 5), ("c", 2)], "community string, rank int"))
+    assert sorted(tuple(r) for r in found.collect()) == [("cycle", "a", "a"), ("cycle", "b", "a"), ("hub", "h", "3"), ("inversion", "a", "h")]
+    assert {(r.a, r.b): (r.weight, r.cyclic, r.violation) for r in groups.links_of(links, found).collect()}["a", "b"] == (4, True, False)
+
+
+def test_resolution_across_files(spark):
+    symbols = [("G", "Gateway", "class", None, "src/lib.ts", 1), ("G.open", "open", "method", "Gateway", "src/lib.ts", 2), ("G.close", "close", "method", "Gateway", "src/lib.ts", 5), ("helper", "helper", "function", None, "src/lib.ts", 9), ("boot", "boot", "function", None, "src/main.ts", 1), ("use", "useHelper", "function", None, "src/main.ts", 4), ("open2", "open", "variable", "boot", "src/main.ts", 2)]
+    table = spark.createDataFrame(symbols, "id string, name string, kind string, scope string, file string, start_line int")
+    calls = [(1, "boot", "src/main.ts", "open", "Gateway"), (2, "use", "src/main.ts", "helper", None), (3, "boot", "src/main.ts", "open", None), (4, "boot", "src/main.ts", "useHelper", "this"), (5, "x", "src/other.ts", "Gateway.close", None), (6, "x", "src/other.ts", "boot", "(await y)")]
+    imports = [("src/main.ts", "src/lib.ts", "Gateway"), ("src/main.ts", "src/lib.ts", "helper")]
+    got = resolve.resolve_calls(spark.createDataFrame(calls, "call_id int, caller string, file string, callee string, receiver string"), table, spark.createDataFrame(imports, "file string, target_file string, name string"))
+    assert sorted((r.call_id, r.dst, r.confidence, r.reason) for r in got.collect()) == [(1, "G.open", 0.95, "receiver"), (2, "helper", 0.95, "named import"), (4, "use", 1.0, "same file"), (5, "G.close", 0.7, "qualified name"), (6, "boot", 0.7, "qualified name")]
+
+
+def test_import_paths(spark):
+    files = ["src/a/x.ts", "src/lib/index.ts", "src/b.d.ts", "py/pkg/__init__.py", "py/pkg/mod.py", "py/top.pyi"]
+    tries = {("src/a/m.ts", "./x.js", "typescript"): "src/a/x.ts", ("src/a/c/m.ts", "../../lib", "tsx"): "src/lib/index.ts", ("src/m.ts", "@/a/x", "javascript"): "src/a/x.ts", ("src/m.ts", "react", "typescript"): None, ("src/a/m.ts", "../b", "typescript"): "src/b.d.ts", ("py/pkg/m.py", ".mod", "python"): "py/pkg/mod.py", ("py/pkg/m.py", ".", "python"): "py/pkg/__init__.py", ("py/pkg/m.py", "..top", "python"): "py/top.pyi", ("x.py", "py.pkg", "python"): "py/pkg/__init__.py", ("x.py", "os", "python"): None, ("x.go", "./a", "go"): None}
+    got = resolve.resolve_paths(spark.createDataFrame(list(tries), "file string, specifier string, language string"), spark.createDataFrame([(f,) for f in files], "file string"), {"@": ["src"]})
+    assert {(r.file, r.specifier, r.language): r.target_file for r in got.collect()} == tries
+
+
+def test_dead_code_exemptions(spark):
+    names = [("main", "a.ts"), ("setup", "a.ts"), ("Main", "a.ts"), ("listen", "a.ts"), ("x1", "a.test.ts"), ("x2", "a.spec.ts"), ("x3", "q/test/a.ts"), ("x4", "tests/a.ts"), ("registerAll", "a.ts"), ("inner", "a.ts"), ("used", "a.ts")]
+    table = spark.createDataFrame([(n, n, "function", f, "setup" if n == "inner" else None) for n, f in names], "id string, name string, kind string, file string, parent_id string")
+    edges = spark.createDataFrame([("setup", "used", "calls"), ("setup", "Main", "extends")], "src string, dst string, kind string")
+    assert sorted(r.id for r in analytics.dead_code(table, edges).collect()) == ["Main", "setup", "x4"]
+
+
+def test_verbatim_order(spark):
+    entries = spark.createDataFrame([("t1", ["x"], 1), ("t2", ["x"], 2), ("t3", ["x"], 3), ("o", ["y"], 9)], "id string, topics array<string>, at int")
+    none = spark.createDataFrame([("o", "t3")], "src string, dst string")
+    got = [(r.id, r.status) for r in knowledge.verbatim_recall(entries, none.limit(0)).collect()]
+    assert got == [("o", "current"), ("t3", "current"), ("t2", "outdated-by:t3 (by time)"), ("t1", "outdated-by:t3 (by time)")]
+    assert {r.id: r.status for r in knowledge.verbatim_recall(entries, none).collect()}["t3"] == "superseded-by:o"
+
+
+def test_paths_names_and_dates(spark):
+    assert [one(spark, X.normalised(F.lit(p))) for p in ("a/./b/../c", "../x", "a/..", "a/b/../../../c")] == ["a/c", "../x", ".", "../c"]
+    assert [one(spark, X.strip_generics(F.lit(p))) for p in ("ns.Map<K, V>[]", "std::vector<int>", "Foo(x)")] == ["Map", "vector", "Foo"]
+    assert one(spark, X.first_date(F.lit("on 2026-01-02 or 2027-01-01"))) == "2026-01-02" and one(spark, X.first_date(F.lit("x"))) is None
+    assert [one(spark, X.epoch_of(F.lit(p))) for p in ("1970-01-01 00:01:00", "junk")] == [60, 0]
+    assert [one(spark, knowledge.asked_symbol(F.lit(p))) for p in ("what calls `a.b`?", "who uses 'foo'", "does Foo call Bar", "nothing")] == ["a.b", "foo", "Foo", None]
+
+
+def test_ledger_append_and_fields(spark):
+    nodes = spark.createDataFrame([("a", "decision", "l", 'x "y"\n', ["t", "u"], None, [0.5, 1.0]), ("b", "convention", "m", None, [], "2026-01-01", None)], "id string, type string, label string, content string, tags array<string>, superseded_at string, embedding array<double>")
+    edges = spark.createDataFrame([("a", "b", "r")], "src string, dst string, kind string")
+    lines = ledger.export_lines(nodes, edges, {"exported_at": "now", "workspace": "w"})
+    back = {r.id or r.status: r for r in ledger.parse_lines(lines.select("line")).collect()}
+    assert back["a"].content == 'x "y"\n' and back["a"].tags == "t,u" and back["a"].embedding == [0.5, 1.0] and back["b"].supersededAt == "2026-01-01" and back["b"].content is None and back["header"].version == 2 and back["edge"].targetId == "b"
+    prior = ledger.parse_lines(lines.select("line")).where("status <> 'header'")
+    added = prior.where("id = 'a'").withColumn("label", F.lit("new"))
+    assert sorted((r.id or "", r.label or "") for r in ledger.append(prior, added).collect()) == [("", ""), ("a", "new"), ("b", "m")]
+
+
+def test_arguments(spark):
+    import pytest
+
+    assert knowledge.check_arguments({"q": 3, "limit": "900"}, {"q": str}, {"limit": int}) == {"q": "3", "limit": 500}
+    for bad in ({}, {"q": "x", "limit": "many"}):
+        with pytest.raises(ValueError, match="invalid_arguments"):
+            knowledge.check_arguments(bad, {"q": str}, {"limit": int})
+    with pytest.raises(ValueError, match="unknown type"):
+        knowledge.check_types(["decision", "odd"])
+    assert [knowledge.path_allowed(p, ["/a/b"]) for p in ("/a/b", "/a/b/c", "/a/bc", "/a/b/../x")] == [True, True, False, False]
 
 
 def test_streams(spark, tmp_path):
