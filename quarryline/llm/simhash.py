@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, two_hashes, written
+from .common import components, drop, two_hashes, written
 
 SMALL = 32
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -199,6 +199,8 @@ def classes(fps: DataFrame, max_bits: int = 2, small: int = SMALL) -> DataFrame:
 
 #: SURE: pairs whose sketches are less alike are dropped unseen; at a likeness of 0.8 that is six standard errors.
 SKETCH, TURNS, SURE = 256, 2, 0.65
+#: Members from which a key is a crowd's, whose pairs are made once rather than once a shared key.
+CROWD = 64
 _BUCKET_BITS = 20
 
 
@@ -307,19 +309,29 @@ def _can_be_like(x: str, y: str, similarity: float) -> Column:
     return left + 1e-6 >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (similarity / (1 + similarity))
 
 
-def _across(members: DataFrame, roots: DataFrame, similarity: float = 0.8) -> DataFrame:
+def _across(members: DataFrame, roots: DataFrame, similarity: float = 0.8, info: DataFrame | None = None) -> DataFrame:
     """Distinct (a, b) that share a key, can be like and are not yet in one component: every such pair.
 
     In each key the largest component is set against the others, and these against each other, so a group that hangs
-    together but for a few members costs those few times its size.
+    together but for a few members costs those few times its size. Under keys of more than CROWD members, which like
+    documents share by the dozen, a pair is made at the first key that it shares only (info has the keys of a document).
     """
     placed = written(members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    most = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    most = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1").select("key", "main", "all")
     open_ = written(placed.join(most, "key"))
-    few, other = open_.where("root <> main").alias("x"), open_.alias("y")
-    joined = few.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _can_be_like("x", "y", similarity))
-    return joined.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+    def pairs(rows: DataFrame, more: Column | None = None) -> DataFrame:
+        few, other = rows.where("root <> main").alias("x"), rows.alias("y")
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _can_be_like("x", "y", similarity)
+        return few.join(other, on if more is None else on & more).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+
+    if info is None:
+        return pairs(open_).distinct()
+    keys = info.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("keys").alias("keys"))
+    before = F.when(F.col("rows") == 1, F.slice("keys", F.lit(1), F.col("pos"))).otherwise(F.array().cast("array<long>"))  # what is not known for sure skips nothing
+    crowded = written(open_.where(F.col("all") > CROWD).join(keys, "doc_id").withColumn("before", before).drop("rows", "keys"))
+    return pairs(open_.where(F.col("all") <= CROWD)).unionAll(pairs(crowded, ~F.arrays_overlap("x.before", "y.before"))).distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -337,9 +349,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     copies = info.join(reps.where("n > 1"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     copies = written(copies.distinct())
     distinct = info.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    members = written(distinct.select("doc_id", "n", F.posexplode("keys").alias("pos", "key")))
-    shared = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    members = written(members.join(shared, "key").distinct())
+    every = written(distinct.select("doc_id", "n", F.posexplode("keys").alias("pos", "key")))
+    shared = every.groupBy("key").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1").select("key", "least")
+    # A like document under the key has at least this many shingles, and at most what the position of the key leaves room for.
+    room = (F.col("n") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6
+    members = written(every.join(shared, "key").where(F.greatest(F.col("least"), similarity * F.col("n")) <= room).select("doc_id", "n", "pos", "key"))
+    drop(every)
     sketch = info.select("doc_id", "sketch").dropDuplicates(["doc_id"])
     checked = None
     todo = members
@@ -353,7 +368,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
             break
         todo = written(tries.join(result, ["a", "b"], "left_anti").select("key", F.col("b").alias("doc_id"), "pos", "n"))
     roots = components(checked)
-    rest = _verified(_across(members, roots, similarity), sketch, docs, shingle, similarity)
+    rest = _verified(_across(members, roots, similarity, info), sketch, docs, shingle, similarity)
     edges = checked.unionAll(rest).unionAll(copies)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 

@@ -396,6 +396,25 @@ def test_every_pair_of_a_key_that_is_not_in_one_component(spark):
     assert {(r["a"], r["b"]) for r in rows(pairs)} == {(a, b) for a in range(24) for b in range(a + 1, 24)} - {(0, 1)}
 
 
+def test_pairs_of_a_crowd_are_made_once(spark, monkeypatch):
+    """Under crowded keys too every pair comes out that may be like at the first key that it shares."""
+    rng = random.Random(31)
+    keys = {i: sorted(rng.sample(range(40), 10)) for i in range(30)}
+    members = spark.createDataFrame([(k, i, at, 60) for i, ks in keys.items() for at, k in enumerate(ks)], "key long, doc_id long, pos int, n long")
+    info = spark.createDataFrame([(i, ks) for i, ks in keys.items()], "doc_id long, keys array<long>")
+    roots = spark.createDataFrame([(i, 0) for i in range(12)], "node long, root long")
+    want = set()
+    for a, b in combinations(keys, 2):
+        both = [k for k in keys[a] if k in keys[b]]
+        if both and not (a < 12 and b < 12) and min(60 - keys[a].index(both[0]), 60 - keys[b].index(both[0])) >= 120 * 0.8 / 1.8 - 1e-6:
+            want.add((a, b))
+    for crowd in (0, 5, 1000):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        got = [(r["a"], r["b"]) for r in rows(simhash._across(members, roots, 0.8, info))]
+        assert len(got) == len(set(got)) and want <= set(got)
+        assert crowd or set(got) == want
+
+
 def test_prefix_keys_are_shared_by_all_like_sets():
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 4, 1 << 20)
