@@ -107,7 +107,7 @@ def with_next(docs: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:
     tail = [c for c in docs.columns if c != key and not docs.schema[c].dataType.typeName().startswith(("map", "variant"))]
     # The row goes into a struct, so no column of its own can clash with these.
     placed = docs.select(F.struct(*docs.columns).alias("row"), bucket.alias("b"), is_first.alias("first"))
-    rows = placed.select("row", F.posexplode(F.when(F.col("first"), F.array(F.col("b"), before[F.col("b")])).otherwise(F.array("b"))).alias("copy", "bucket"))
+    rows = placed.select("row", F.posexplode(F.when(F.col("first"), F.array(F.col("b"), before[F.col("b")])).otherwise(F.array("b"))).alias("copy", "bucket")).repartition("bucket")  # before the window's own columns are taken from the row
     spec = "over (partition by bucket order by copy, {0})".format(", ".join(f"row.`{c}`" for c in (key, *tail)))
     out = rows.select("row", "copy", *[F.expr(f"lead(row.`{c}`) {spec}").alias(f"next_{c}") for c in columns])
     return out.where("copy = 0").select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in {f"next_{c}" for c in columns}], *[f"next_{c}" for c in columns])
