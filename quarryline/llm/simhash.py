@@ -198,7 +198,9 @@ def classes(fps: DataFrame, max_bits: int = 2, small: int = SMALL) -> DataFrame:
 # --- Near-duplicate removal at a shingle similarity ------------------------------------------------------------------
 
 #: SURE: pairs whose sketches are less alike are dropped unseen; at a likeness of 0.8 that is six standard errors.
-SKETCH, TURNS, SURE = 256, 2, 0.65
+SKETCH, SURE = 256, 0.65
+#: Rows from which a bucket of keys, if also HOT_TIMES the mean bucket, is dealt over SALTS tasks.
+HOT_ROWS, HOT_TIMES, SALTS = 1 << 17, 8, 64
 #: Members from which a key is a crowd's, whose pairs are made once rather than once a shared key.
 CROWD = 64
 _BUCKET_BITS = 20
@@ -244,25 +246,97 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.isin(union, a, assume_unique=True)[np.isin(union, b, assume_unique=True)].sum() / max(1, len(union)))
 
 
-def sketches(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, h1, h2, n, keys, sketch): text hash, number of shingles, prefix keys in order, the SKETCH smallest 32-bit shingle hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle))
+def prefixes(docs: DataFrame, counts, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, h1, h2, n, keys): text hash, number of shingles, prefix keys in order; `counts` is a broadcast of bucket_counts."""
 
     def run(batches):
-        counts = shared.value
+        known = counts.value
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                sizes, keys, mins = [], [], []
+                sizes, keys = [], []
                 for t in part["text"]:
                     h = np.unique(shingle_hashes(t.as_py(), shingle))
                     sizes.append(len(h))
-                    keys.append(prefix_keys(h, counts, similarity).view(np.int64))
-                    mins.append(np.unique(h >> np.uint64(32))[:SKETCH].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["h1"], part["h2"], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())], names=["doc_id", "h1", "h2", "n", "keys", "sketch"])
+                    keys.append(prefix_keys(h, known, similarity).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["h1"], part["h2"], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "n", "keys"])
 
     h1, h2 = two_hashes(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, "doc_id long, h1 long, h2 long, n long, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, "doc_id long, h1 long, h2 long, n long, keys array<long>")
+
+
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, sketch): the SKETCH smallest 32-bit shingle hashes."""
+
+    def run(batches):
+        for batch in batches:
+            mins = [np.unique(shingle_hashes(t.as_py(), shingle) >> np.uint64(32))[:SKETCH].astype("<u4").tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(mins, pa.binary())], names=["doc_id", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch binary")
+
+
+_KEYED = "doc_id long, n long, pos int, key long, salt int"
+
+
+def keyed(info: DataFrame, counts) -> DataFrame:
+    """A row for each prefix key of a document with an id; keys of a hot bucket carry a salt above 0, all others 0."""
+
+    def run(batches):
+        known = counts.value
+        hot = known > max(HOT_ROWS, HOT_TIMES * float(known.mean()))
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                keys = part["keys"].flatten().to_numpy()
+                size = np.array([len(x) for x in part["keys"]], np.int64)
+                pos = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
+                doc, n = (np.repeat(part[c].to_numpy(), size) for c in ("doc_id", "n"))
+                salt = np.where(hot[_bucket(keys.view(np.uint64))], 1 + doc % SALTS, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(pos.astype(np.int32)), pa.array(keys), pa.array(salt.astype(np.int32))], names=["doc_id", "n", "pos", "key", "salt"])
+
+    return info.where("doc_id is not null").select("doc_id", "n", "keys").mapInArrow(run, _KEYED)
+
+
+def _shared(batches, similarity: float):
+    """Rows sorted by (key, salt, n): those whose key another row has and whose place leaves room for a like document.
+
+    A like document under the key has at least as many shingles as the key's first row and similarity * n, and at most
+    what the position of the key leaves room for. Salted rows may have their like under another salt: they only need room.
+    One row is held back over batches, so a key of any number of rows streams through.
+    """
+    names = ["doc_id", "n", "pos", "key", "salt"]
+    held = {c: np.zeros(0, np.int64) for c in names}
+    open_, least = None, 0  # the (key, salt) of the last row passed on, and its run's least n
+
+    def passed(x, first, several):
+        least = np.where(x["salt"] > 0, 0, np.maximum(first, similarity * x["n"]))
+        room = (x["n"] - x["pos"]) * ((1 + similarity) / similarity) - x["n"] + 1e-6
+        keep = (several | (x["salt"] > 0)) & (np.maximum(least, similarity * x["n"]) <= room)
+        return pa.RecordBatch.from_arrays([pa.array(x["doc_id"][keep]), pa.array(x["n"][keep]), pa.array(x["pos"][keep].astype(np.int32)), pa.array(x["key"][keep])], names=names[:4])
+
+    for batch in batches:
+        x = {c: np.concatenate([held[c], batch[c].to_numpy().astype(np.int64)]) for c in names}
+        total = len(x["key"])
+        if not total:
+            continue
+        new = np.ones(total, bool)
+        new[1:] = (x["key"][1:] != x["key"][:-1]) | (x["salt"][1:] != x["salt"][:-1])
+        goes_on = open_ == (int(x["key"][0]), int(x["salt"][0]))
+        at = np.flatnonzero(new)
+        size = np.diff(np.r_[at, total])
+        first, several = x["n"][at], size > 1
+        if goes_on:
+            first[0], several[0] = least, True
+        wait = int(not several[-1])  # the only row of its run so far
+        if not wait:
+            open_, least = (int(x["key"][-1]), int(x["salt"][-1])), int(first[-1])
+        else:
+            open_ = None
+        held = {c: v[total - wait :] for c, v in x.items()}
+        done = {c: v[: total - wait] for c, v in x.items()}
+        yield passed(done, np.repeat(first, size)[: total - wait], np.repeat(several, size)[: total - wait])
+    yield passed(held, held["n"], np.zeros(len(held["n"]), bool))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -328,7 +402,8 @@ def _across(members: DataFrame, roots: DataFrame, similarity: float = 0.8, info:
 
     if info is None:
         return pairs(open_).distinct()
-    keys = info.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("keys").alias("keys"))
+    who = written(open_.where(F.col("all") > CROWD).select("doc_id").distinct())
+    keys = info.join(who, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("keys").alias("keys"))
     before = F.when(F.col("rows") == 1, F.slice("keys", F.lit(1), F.col("pos"))).otherwise(F.array().cast("array<long>"))  # what is not known for sure skips nothing
     crowded = written(open_.where(F.col("all") > CROWD).join(keys, "doc_id").withColumn("before", before).drop("rows", "keys"))
     return pairs(open_.where(F.col("all") <= CROWD)).unionAll(pairs(crowded, ~F.arrays_overlap("x.before", "y.before"))).distinct()
@@ -338,42 +413,43 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """(doc_id, component_id) of every document that is not alone in its group.
 
     Equal texts are one representative. Candidates are representatives that share a prefix key, which any two of the
-    similarity do; a group of candidates is checked against its first member and what fails against the first of the
-    rest, TURNS times, which puts most like documents into one component without pairing the group up. Then every pair
-    of candidates that is not in one component yet is checked, members that passed included, so no link between
-    candidates is lost. Every link is verified on all shingles of both
-    texts, once sketches have ruled out the clearly unlike. Documents without words are like equal texts only.
+    similarity do. First each is checked against the smallest document under any of its keys and the smallest under its
+    rarest, then against the smallest under every key that is not in its component by then, which puts most like
+    documents into one component without pairing a group up. Then every pair of candidates that is not in one component
+    yet is checked, so no link between candidates is lost. Every link is verified on all shingles of both texts, once
+    sketches have ruled out the clearly unlike. Documents without words are like equal texts only.
     """
-    info = written(sketches(docs, shingle, similarity))
+    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle))
+    info = written(prefixes(docs, counts, shingle, similarity))
     reps = info.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     copies = info.join(reps.where("n > 1"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     copies = written(copies.distinct())
     distinct = info.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    every = written(distinct.select("doc_id", "n", F.posexplode("keys").alias("pos", "key")))
-    shared = every.groupBy("key").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1").select("key", "least")
-    # A like document under the key has at least this many shingles, and at most what the position of the key leaves room for.
-    room = (F.col("n") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6
-    members = written(every.join(shared, "key").where(F.greatest(F.col("least"), similarity * F.col("n")) <= room).select("doc_id", "n", "pos", "key"))
-    drop(every)
-    sketch = info.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    checked = None
-    todo = members
-    for turn in range(TURNS):
-        first = todo.groupBy("key").agg(F.min_by(F.struct("doc_id", "pos", "n"), "doc_id").alias("f")).select("key", F.col("f.*"))
-        tries = todo.alias("y").join(first.alias("x"), "key").where("y.doc_id <> x.doc_id").select("key", F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), "y.pos", "y.n", _can_be_like("x", "y", similarity).alias("may"))
-        pairs = tries.where("may").select("a", "b")
-        result = _verified(pairs.distinct(), sketch, docs, shingle, similarity)
-        checked = result if checked is None else checked.unionAll(result)
-        if turn == TURNS - 1:
-            break
-        todo = written(tries.join(result, ["a", "b"], "left_anti").select("key", F.col("b").alias("doc_id"), "pos", "n"))
+    rows = keyed(distinct, counts).repartition("key", "salt").sortWithinPartitions("key", "salt", "n")
+    members = written(rows.mapInArrow(lambda b: _shared(b, similarity), "doc_id long, n long, pos int, key long"))
+    who = written(members.select("doc_id").distinct())
+    texts = written(docs.select("doc_id", "text").join(who, "doc_id", "left_semi"))
+    sketch = written(sketches(texts, shingle).dropDuplicates(["doc_id"]))
+    first = written(members.groupBy("key").agg(F.min_by(F.struct("doc_id", "pos", "n"), "doc_id").alias("f")).select("key", F.col("f.*")))
+    tries = members.alias("y").join(first.alias("x"), "key").where(F.col("y.doc_id") != F.col("x.doc_id")).where(_can_be_like("x", "y", similarity)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("y.pos").alias("pos"))
+    two = tries.groupBy("b").agg(F.min("a").alias("low"), F.min_by("a", F.struct("pos", "a")).alias("rare")).select(F.explode(F.array_distinct(F.array("low", "rare"))).alias("a"), "b")
+    checked = _verified(two, sketch, texts, shingle, similarity)
+    roots = written(components(checked))
+    placed = tries.select("a", "b").distinct()
+    for x in ("a", "b"):
+        placed = placed.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    apart = placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(two, ["a", "b"], "left_anti")
+    checked = checked.unionAll(_verified(apart, sketch, texts, shingle, similarity))
     roots = components(checked)
-    rest = _verified(_across(members, roots, similarity, info), sketch, docs, shingle, similarity)
+    rest = _verified(_across(members, roots, similarity, info), sketch, texts, shingle, similarity)
     edges = checked.unionAll(rest).unionAll(copies)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document (the smallest doc_id) of each group of near-duplicates; repeated rows are one."""
+    """docs with one document (the smallest doc_id) of each group of near-duplicates.
+
+    Rows with one doc_id stand or fall together; rows without a doc_id stay. A null text equals an empty one.
+    """
     gone = written(near_groups(docs, shingle, similarity).where("doc_id <> component_id").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

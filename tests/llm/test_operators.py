@@ -415,6 +415,35 @@ def test_pairs_of_a_crowd_are_made_once(spark, monkeypatch):
         assert crowd or set(got) == want
 
 
+@pytest.mark.parametrize("cut", [1, 2, 3, 7, 500])
+def test_keys_that_stream_through_one_task(cut):
+    """Rows kept of sorted keys are those of a plain grouping, wherever batches end; salted rows need room only."""
+    rng = np.random.default_rng(cut)
+    got = sorted((int(k), int(s), int(n), int(p), i) for i, (k, s, n, p) in enumerate(zip(rng.integers(0, 60, 150), rng.integers(0, 2, 150), rng.integers(5, 40, 150), rng.integers(0, 5, 150), strict=True)))
+    table = pa.table({"doc_id": [r[4] for r in got], "n": [r[2] for r in got], "pos": pa.array([r[3] for r in got], pa.int32()), "key": [r[0] for r in got], "salt": pa.array([r[1] for r in got], pa.int32())})
+    kept = {i for b in simhash._shared(iter(table.to_batches(max_chunksize=cut)), 0.8) for i in b["doc_id"].to_pylist()}
+    brute = set()
+    for k, s, n, p, i in got:
+        run = [r for r in got if r[:2] == (k, s)]
+        least = 0.8 * n if s else max(0.8 * n, min(r[2] for r in run))
+        if (s or len(run) > 1) and least <= (n - p) * 2.25 - n + 1e-6:
+            brute.add(i)
+    assert kept == brute and 0 < len(brute) < 150
+
+
+def test_near_groups_with_hot_buckets(spark, monkeypatch):
+    """Dealing keys over salts leaves the groups as they are; rows without an id stay."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", 0)
+    monkeypatch.setattr(simhash, "HOT_TIMES", 0)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 60, 3)] + [" ".join(f"y{k}-{i}" for i in range(30)) for k in range(10)]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, None)], "doc_id long, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()}
+    assert groups == {i: 0 for i in range(20)}
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(df).collect() if r["doc_id"] is not None) == [0, *range(20, 30)]
+    assert simhash.near_dedup(df).where("doc_id is null").count() == 2
+
+
 def test_prefix_keys_are_shared_by_all_like_sets():
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 4, 1 << 20)
