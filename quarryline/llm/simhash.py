@@ -18,6 +18,7 @@ class; extra columns pass through `near_dedup`; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, two_hashes, written
+from .common import components, drop, release, two_hashes, written
 
 SMALL = 32
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -246,23 +247,21 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.isin(union, a, assume_unique=True)[np.isin(union, b, assume_unique=True)].sum() / max(1, len(union)))
 
 
+def _prefixes_of(batch, counts, shingle, similarity):
+    """Number of shingles and prefix keys of each text of a batch."""
+    sets = (np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch["text"])
+    return [(len(h), prefix_keys(h, counts, similarity).view(np.int64)) for h in sets]
+
+
 def prefixes(docs: DataFrame, counts, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, h1, h2, n, keys): text hash, number of shingles, prefix keys in order; `counts` is a broadcast of bucket_counts."""
+    """(doc_id, keys): prefix keys in order; `counts` is a broadcast of bucket_counts."""
 
     def run(batches):
-        known = counts.value
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                sizes, keys = [], []
-                for t in part["text"]:
-                    h = np.unique(shingle_hashes(t.as_py(), shingle))
-                    sizes.append(len(h))
-                    keys.append(prefix_keys(h, known, similarity).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["h1"], part["h2"], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "n", "keys"])
+            keys = [k for _, k in _prefixes_of(batch, counts.value, shingle, similarity)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
 
-    h1, h2 = two_hashes(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, "doc_id long, h1 long, h2 long, n long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>")
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -279,7 +278,7 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
 _KEYED = "doc_id long, n long, pos int, key long, salt int"
 
 
-def keyed(info: DataFrame, counts) -> DataFrame:
+def keyed(docs: DataFrame, counts, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """A row for each prefix key of a document with an id; keys of a hot bucket carry a salt above 0, all others 0."""
 
     def run(batches):
@@ -288,14 +287,15 @@ def keyed(info: DataFrame, counts) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                keys = part["keys"].flatten().to_numpy()
-                size = np.array([len(x) for x in part["keys"]], np.int64)
+                of = _prefixes_of(part, known, shingle, similarity)
+                size = np.array([len(k) for _, k in of], np.int64)
+                keys = np.concatenate([k for _, k in of])
                 pos = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
-                doc, n = (np.repeat(part[c].to_numpy(), size) for c in ("doc_id", "n"))
+                doc, n = np.repeat(part["doc_id"].to_numpy(), size), np.repeat(np.array([x for x, _ in of], np.int64), size)
                 salt = np.where(hot[_bucket(keys.view(np.uint64))], 1 + doc % SALTS, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(pos.astype(np.int32)), pa.array(keys), pa.array(salt.astype(np.int32))], names=["doc_id", "n", "pos", "key", "salt"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(n), pa.array(pos.astype(np.int32)), pa.array(keys), pa.array(salt.astype(np.int32))], names=["doc_id", "n", "pos", "key", "salt"])
 
-    return info.where("doc_id is not null").select("doc_id", "n", "keys").mapInArrow(run, _KEYED)
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, _KEYED)
 
 
 def _shared(batches, similarity: float):
@@ -345,13 +345,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def may_be_like(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sketches leave it open that their sets are of this similarity.
+
+    Sketches below SKETCH hold all hashes of a set, so the likeness is exact but for collisions of 32 bits, of which two
+    are allowed for; larger sets are refused at SURE only.
+    """
+    if max(len(a), len(b)) < SKETCH:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both + 2 >= similarity * (len(a) + len(b) - both)
+    return likeness(a, b) >= similarity - (0.8 - SURE)
+
+
 def _verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b) of the distinct candidate pairs that are alike: what sketches do not rule out, by all shingles of the texts."""
-    least = similarity - (0.8 - SURE)
-
     def rule_out(batches):
         for batch in batches:
-            keep = [likeness(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= least for x, y in zip(batch["sa"], batch["sb"], strict=True)]
+            keep = [may_be_like(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4"), similarity) for x, y in zip(batch["sa"], batch["sb"], strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(batches):
@@ -370,7 +380,10 @@ def _verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, shingle: int
     maybe = written(both(pairs, sketch, "sketch", "s").select("a", "b", "sa", "sb").mapInArrow(rule_out, "a long, b long"))
     named = maybe.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = written(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return written(both(maybe, texts, "text", "t").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
+    alike = written(both(maybe, texts, "text", "t").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
+    drop(maybe)
+    drop(texts)
+    return alike
 
 
 def _can_be_like(x: str, y: str, similarity: float) -> Column:
@@ -383,12 +396,12 @@ def _can_be_like(x: str, y: str, similarity: float) -> Column:
     return left + 1e-6 >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (similarity / (1 + similarity))
 
 
-def _across(members: DataFrame, roots: DataFrame, similarity: float = 0.8, info: DataFrame | None = None) -> DataFrame:
+def _across(members: DataFrame, roots: DataFrame, similarity: float = 0.8, keys_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Distinct (a, b) that share a key, can be like and are not yet in one component: every such pair.
 
     In each key the largest component is set against the others, and these against each other, so a group that hangs
     together but for a few members costs those few times its size. Under keys of more than CROWD members, which like
-    documents share by the dozen, a pair is made at the first key that it shares only (info has the keys of a document).
+    documents share by the dozen, a pair is made at the first key that it shares only (keys_of gives (doc_id, keys) of wanted documents).
     """
     placed = written(members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
@@ -400,10 +413,10 @@ def _across(members: DataFrame, roots: DataFrame, similarity: float = 0.8, info:
         on = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _can_be_like("x", "y", similarity)
         return few.join(other, on if more is None else on & more).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
-    if info is None:
+    if keys_of is None:
         return pairs(open_).distinct()
     who = written(open_.where(F.col("all") > CROWD).select("doc_id").distinct())
-    keys = info.join(who, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("keys").alias("keys"))
+    keys = keys_of(who).groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("keys").alias("keys"))
     before = F.when(F.col("rows") == 1, F.slice("keys", F.lit(1), F.col("pos"))).otherwise(F.array().cast("array<long>"))  # what is not known for sure skips nothing
     crowded = written(open_.where(F.col("all") > CROWD).join(keys, "doc_id").withColumn("before", before).drop("rows", "keys"))
     return pairs(open_.where(F.col("all") <= CROWD)).unionAll(pairs(crowded, ~F.arrays_overlap("x.before", "y.before"))).distinct()
@@ -420,30 +433,34 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     sketches have ruled out the clearly unlike. Documents without words are like equal texts only.
     """
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle))
-    info = written(prefixes(docs, counts, shingle, similarity))
+    h1, h2 = two_hashes(F.coalesce("text", F.lit("")))
+    info = written(docs.select("doc_id", h1.alias("h1"), h2.alias("h2")))
     reps = info.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     copies = info.join(reps.where("n > 1"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     copies = written(copies.distinct())
-    distinct = info.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    rows = keyed(distinct, counts).repartition("key", "salt").sortWithinPartitions("key", "salt", "n")
+    distinct = docs.select("doc_id", "text").join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    rows = keyed(distinct, counts, shingle, similarity).repartition("key", "salt").sortWithinPartitions("key", "salt", "n")
     members = written(rows.mapInArrow(lambda b: _shared(b, similarity), "doc_id long, n long, pos int, key long"))
     who = written(members.select("doc_id").distinct())
-    texts = written(docs.select("doc_id", "text").join(who, "doc_id", "left_semi"))
-    sketch = written(sketches(texts, shingle).dropDuplicates(["doc_id"]))
+    release(docs.sparkSession)
+    sketch = written(sketches(docs.join(who, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]))
     first = written(members.groupBy("key").agg(F.min_by(F.struct("doc_id", "pos", "n"), "doc_id").alias("f")).select("key", F.col("f.*")))
     tries = members.alias("y").join(first.alias("x"), "key").where(F.col("y.doc_id") != F.col("x.doc_id")).where(_can_be_like("x", "y", similarity)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("y.pos").alias("pos"))
     two = tries.groupBy("b").agg(F.min("a").alias("low"), F.min_by("a", F.struct("pos", "a")).alias("rare")).select(F.explode(F.array_distinct(F.array("low", "rare"))).alias("a"), "b")
-    checked = _verified(two, sketch, texts, shingle, similarity)
+    checked = _verified(two, sketch, docs, shingle, similarity)
     roots = written(components(checked))
     placed = tries.select("a", "b").distinct()
     for x in ("a", "b"):
         placed = placed.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
     apart = placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(two, ["a", "b"], "left_anti")
-    checked = checked.unionAll(_verified(apart, sketch, texts, shingle, similarity))
+    checked = checked.unionAll(_verified(apart, sketch, docs, shingle, similarity))
     roots = components(checked)
-    rest = _verified(_across(members, roots, similarity, info), sketch, texts, shingle, similarity)
-    edges = checked.unionAll(rest).unionAll(copies)
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    rest = _verified(_across(members, roots, similarity, lambda ids: prefixes(docs.join(ids, "doc_id", "left_semi"), counts, shingle, similarity)), sketch, docs, shingle, similarity)
+    groups = components(checked.unionAll(rest).unionAll(copies))
+    for done in (info, copies, members, who, sketch, first):
+        drop(done)
+    release(docs.sparkSession)
+    return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

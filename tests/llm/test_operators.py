@@ -410,7 +410,7 @@ def test_pairs_of_a_crowd_are_made_once(spark, monkeypatch):
             want.add((a, b))
     for crowd in (0, 5, 1000):
         monkeypatch.setattr(simhash, "CROWD", crowd)
-        got = [(r["a"], r["b"]) for r in rows(simhash._across(members, roots, 0.8, info))]
+        got = [(r["a"], r["b"]) for r in rows(simhash._across(members, roots, 0.8, lambda ids: info.join(ids, "doc_id", "left_semi")))]
         assert len(got) == len(set(got)) and want <= set(got)
         assert crowd or set(got) == want
 
