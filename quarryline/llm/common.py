@@ -68,6 +68,30 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bits of the filter that spares the shuffle of rows without a wanted id; its table has at most a 64th as many rows.
+FILTER_BITS = 1 << 23
+
+
+def _filter(ids: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """Words of a bit filter of ids.key, which may be broadcast at any number of ids, and the condition of a hit."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words = ids.select(F.shiftright(at, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    mine = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")
+    return F.broadcast(words), (F.shiftright(at, 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(mine) != 0)
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is in ids (semi-join); only rows that hit a bit filter of the ids are shuffled."""
+    words, hit = _filter(ids, key)
+    return docs.join(words, hit, "left_semi").join(ids.select(key), key, "left_semi")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not in ids (anti-join; null keys stay); only rows that hit a bit filter of the ids are shuffled."""
+    words, hit = _filter(ids, key)
+    return docs.join(words, hit, "left_anti").unionAll(docs.join(words, hit, "left_semi").join(ids.select(key), key, "left_anti").select(*docs.columns))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

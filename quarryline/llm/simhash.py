@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, release, two_hashes, written
+from .common import components, drop, release, two_hashes, with_ids, without_ids, written
 
 SMALL = 32
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -198,8 +198,8 @@ def classes(fps: DataFrame, max_bits: int = 2, small: int = SMALL) -> DataFrame:
 
 # --- Near-duplicate removal at a shingle similarity ------------------------------------------------------------------
 
-#: SURE: pairs whose sketches are less alike are dropped unseen; at a likeness of 0.8 that is six standard errors.
-SKETCH, SURE = 256, 0.65
+#: Bits of a sketch, each of one least hash; pairs whose estimate is SURE standard errors below the likeness are ruled out.
+SKETCH, SURE = 256, 6.0
 #: Rows from which a bucket of keys, if also HOT_TIMES the mean bucket, is dealt over SALTS tasks.
 HOT_ROWS, HOT_TIMES, SALTS = 1 << 17, 8, 64
 #: Members from which a key is a crowd's, whose pairs are made once rather than once a shared key.
@@ -241,12 +241,6 @@ def prefix_keys(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndar
     return h[np.lexsort((h, counts[_bucket(h)]))][: len(h) - need + 1] if len(h) else h
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Jaccard similarity from two bottom-`size` sketches (exact while the union is smaller)."""
-    union = np.union1d(a, b)[:size]
-    return float(np.isin(union, a, assume_unique=True)[np.isin(union, b, assume_unique=True)].sum() / max(1, len(union)))
-
-
 def _prefixes_of(batch, counts, shingle, similarity):
     """Number of shingles and prefix keys of each text of a batch."""
     sets = (np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch["text"])
@@ -264,13 +258,29 @@ def prefixes(docs: DataFrame, counts, shingle: int = 5, similarity: float = 0.8)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>")
 
 
+_TIMES, _PLUS = np.random.default_rng(42).integers(0, 1 << 64, (2, SKETCH), np.uint64)
+_TIMES |= np.uint64(1)
+
+
+def sketch_bits(h: np.ndarray) -> np.ndarray:
+    """Bytes of SKETCH bits of a set of hashes: bit 24 of the set's least value under each of SKETCH linear hashes.
+
+    Two sets agree in a bit with probability (1 + likeness) / 2: surely where the least values come from one member, by
+    even chance otherwise. That holds for sets of any size.
+    """
+    least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), 60):  # blocks that stay in cache
+        np.minimum(least, (h[at : at + 60, None] * _TIMES + _PLUS).min(0), out=least)
+    return np.packbits((least >> np.uint64(24) & np.uint64(1)).astype(np.uint8))
+
+
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, sketch): the SKETCH smallest 32-bit shingle hashes."""
+    """(doc_id, sketch): the sketch bits of the shingles of each text, in the pass over the texts."""
 
     def run(batches):
         for batch in batches:
-            mins = [np.unique(shingle_hashes(t.as_py(), shingle) >> np.uint64(32))[:SKETCH].astype("<u4").tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(mins, pa.binary())], names=["doc_id", "sketch"])
+            bits = [sketch_bits(np.unique(shingle_hashes(t.as_py(), shingle))).tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch binary")
 
@@ -345,23 +355,21 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def may_be_like(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sketches leave it open that their sets are of this similarity.
-
-    Sketches below SKETCH hold all hashes of a set, so the likeness is exact but for collisions of 32 bits, of which two
-    are allowed for; larger sets are refused at SURE only.
-    """
-    if max(len(a), len(b)) < SKETCH:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both + 2 >= similarity * (len(a) + len(b) - both)
-    return likeness(a, b) >= similarity - (0.8 - SURE)
+def may_be_like(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
+    """Which pairs of sketches leave it open that their sets are of this similarity."""
+    if not a:
+        return np.zeros(0, bool)
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+    agree = SKETCH - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    p = (1 + similarity) / 2
+    return agree >= SKETCH * p - SURE * np.sqrt(SKETCH * p * (1 - p))
 
 
 def _verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b) of the distinct candidate pairs that are alike: what sketches do not rule out, by all shingles of the texts."""
     def rule_out(batches):
         for batch in batches:
-            keep = [may_be_like(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4"), similarity) for x, y in zip(batch["sa"], batch["sb"], strict=True)]
+            keep = may_be_like(batch["sa"].to_pylist(), batch["sb"].to_pylist(), similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(batches):
@@ -379,10 +387,11 @@ def _verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, shingle: int
 
     maybe = written(both(pairs, sketch, "sketch", "s").select("a", "b", "sa", "sb").mapInArrow(rule_out, "a long, b long"))
     named = maybe.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    named = written(named)
+    texts = written(with_ids(docs.select("doc_id", "text"), named).dropDuplicates(["doc_id"]))
     alike = written(both(maybe, texts, "text", "t").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
-    drop(maybe)
-    drop(texts)
+    for done in (maybe, named, texts):
+        drop(done)
     return alike
 
 
@@ -433,17 +442,17 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     sketches have ruled out the clearly unlike. Documents without words are like equal texts only.
     """
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle))
+    release(docs.sparkSession)
     h1, h2 = two_hashes(F.coalesce("text", F.lit("")))
     info = written(docs.select("doc_id", h1.alias("h1"), h2.alias("h2")))
     reps = info.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     copies = info.join(reps.where("n > 1"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     copies = written(copies.distinct())
-    distinct = docs.select("doc_id", "text").join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    distinct = without_ids(docs.select("doc_id", "text"), copies.select(F.col("a").alias("doc_id")))
     rows = keyed(distinct, counts, shingle, similarity).repartition("key", "salt").sortWithinPartitions("key", "salt", "n")
     members = written(rows.mapInArrow(lambda b: _shared(b, similarity), "doc_id long, n long, pos int, key long"))
-    who = written(members.select("doc_id").distinct())
     release(docs.sparkSession)
-    sketch = written(sketches(docs.join(who, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]))
+    sketch = written(sketches(docs, shingle).dropDuplicates(["doc_id"]))
     first = written(members.groupBy("key").agg(F.min_by(F.struct("doc_id", "pos", "n"), "doc_id").alias("f")).select("key", F.col("f.*")))
     tries = members.alias("y").join(first.alias("x"), "key").where(F.col("y.doc_id") != F.col("x.doc_id")).where(_can_be_like("x", "y", similarity)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("y.pos").alias("pos"))
     two = tries.groupBy("b").agg(F.min("a").alias("low"), F.min_by("a", F.struct("pos", "a")).alias("rare")).select(F.explode(F.array_distinct(F.array("low", "rare"))).alias("a"), "b")
@@ -455,9 +464,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     apart = placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(two, ["a", "b"], "left_anti")
     checked = checked.unionAll(_verified(apart, sketch, docs, shingle, similarity))
     roots = components(checked)
-    rest = _verified(_across(members, roots, similarity, lambda ids: prefixes(docs.join(ids, "doc_id", "left_semi"), counts, shingle, similarity)), sketch, docs, shingle, similarity)
+    rest = _verified(_across(members, roots, similarity, lambda ids: prefixes(with_ids(docs, ids), counts, shingle, similarity)), sketch, docs, shingle, similarity)
     groups = components(checked.unionAll(rest).unionAll(copies))
-    for done in (info, copies, members, who, sketch, first):
+    for done in (info, copies, members, sketch, first):
         drop(done)
     release(docs.sparkSession)
     return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
@@ -469,4 +478,4 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     Rows with one doc_id stand or fall together; rows without a doc_id stay. A null text equals an empty one.
     """
     gone = written(near_groups(docs, shingle, similarity).where("doc_id <> component_id").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, gone).select(*docs.columns)

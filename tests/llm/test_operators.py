@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, fingerprint, language, lines, packing, quality, queries, simhash, substrings, suffixes, urls, windows
+from quarryline.llm import common, decontaminate, fingerprint, language, lines, packing, quality, queries, simhash, substrings, suffixes, urls, windows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, sketch string"
 ODD = [None, "", " ", "\n", "one", "one two", "A b\tc\r\nd  e f", "wörter über alles ß", "x" * 3000, "to be or not to be " * 300, "same text here for all of us", "same text here for all of us", "SAME text here for all of us"]
@@ -431,6 +431,30 @@ def test_keys_that_stream_through_one_task(cut):
     assert kept == brute and 0 < len(brute) < 150
 
 
+def test_sketch_bits_estimate_likeness():
+    """Pairs of 0.8 are never ruled out and unlike ones are, for sets of any size."""
+    rng = np.random.default_rng(5)
+    for n in (9, 90, 2000):
+        for _ in range(40):
+            h = np.unique(rng.integers(0, 1 << 63, n + n // 9).astype(np.uint64))
+            a, b, c = h[: n], h[n // 9 :], np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            bits = [simhash.sketch_bits(x).tobytes() for x in (a, b, c)]
+            assert simhash.may_be_like([bits[0], bits[0]], [bits[1], bits[2]], 0.8).tolist() == [True, False]
+    assert simhash.may_be_like([], [], 0.8).tolist() == []
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_joins_behind_a_bit_filter(spark, monkeypatch, few):
+    """Semi- and anti-joins are the plain ones, null and repeated keys included, also where the filter is full."""
+    monkeypatch.setattr(common, "FILTER_BITS", 64 if few else 1 << 23)
+    docs = spark.createDataFrame([(i % 500 if i % 7 else None, f"t{i}") for i in range(900)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in [*range(0, 900, 3), 0, 3]] + [(None,)], "doc_id long")
+    for got, how in ((common.with_ids(docs, ids), "left_semi"), (common.without_ids(docs, ids), "left_anti")):
+        assert sorted(r["text"] for r in got.collect()) == sorted(r["text"] for r in docs.join(ids, "doc_id", how).collect())
+    assert common.without_ids(docs, ids.limit(0)).count() == 900 and common.with_ids(docs, ids.limit(0)).count() == 0
+
+
 def test_near_groups_with_hot_buckets(spark, monkeypatch):
     """Dealing keys over salts leaves the groups as they are; rows without an id stay."""
     monkeypatch.setattr(simhash, "HOT_ROWS", 0)
