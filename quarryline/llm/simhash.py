@@ -438,8 +438,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     similarity do. First each is checked against the smallest document under any of its keys and the smallest under its
     rarest, then against the smallest under every key that is not in its component by then, which puts most like
     documents into one component without pairing a group up. Then every pair of candidates that is not in one component
-    yet is checked, so no link between candidates is lost. Every link is verified on all shingles of both texts, once
-    sketches have ruled out the clearly unlike. Documents without words are like equal texts only.
+    yet is checked. Every link is verified on all shingles of both texts, once sketches have ruled out the clearly unlike;
+    that is an estimate, which loses a pair of likeness 0.8 with a chance of 4.5 in 10^8, and no other step loses one. Documents without words are like equal texts only.
     """
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle))
     release(docs.sparkSession)
