@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, lines, packing, quality, simhash, substrings, urls, windows
+from . import decontaminate, fingerprint, language, lines, packing, quality, simhash, substrings, trie, urls, windows
 from .common import table
 
 
@@ -63,7 +63,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_line_dedup, op4_substring_dedup, op5_packing, op6_quality, op7_url_filter, op8_simhash, op9_suffix_dedup, op10_decontamination)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), lambda c: c - c % 100, lambda c: F.crc32(c.cast("string")) % 6, 5)
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_line_dedup, op4_substring_dedup, op5_packing, op6_quality, op7_url_filter, op8_simhash, op9_suffix_dedup, op10_decontamination, op13_prefix_trie)}
 
 #: A line's key in DuckDB: ASCII white space stripped, A-Z lower-cased.
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -89,4 +93,26 @@ SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(len(gone.g),
 FROM t LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op3_line_dedup": _OP3, "op4_substring_dedup": _OP4}
+#: The unsigned CRC-32 of an ASCII string in DuckDB: the table of its bytes, then a fold over them.
+_CRC = """
+WITH RECURSIVE bits AS (SELECT range AS i, 0 AS k, range AS v FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
+t AS (SELECT i, v FROM bits WHERE k = 8),
+own AS (SELECT DISTINCT CAST(conv_id AS BIGINT) AS c FROM conversations WHERE conv_id IS NOT NULL),
+fold AS (SELECT c, CAST(c AS VARCHAR) AS s, CAST(4294967295 AS BIGINT) AS crc FROM own
+  UNION ALL SELECT c, s[2:], xor(crc // 256, t.v) FROM fold JOIN t ON t.i = xor(crc % 256, ascii(s)) WHERE s <> ''),
+head AS (SELECT c, c - c % 100 AS p, xor(crc, 4294967295) % 6 AS h FROM fold WHERE s = '')
+"""
+
+_OP13 = f"""{_CRC},
+x AS (SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+taken AS (SELECT head.c, 0 AS g, x.pos, x.role, x.text FROM head JOIN x ON x.c = head.p AND x.pos <= head.h UNION ALL SELECT head.c, 1, x.pos, x.role, x.text FROM head JOIN x USING (c) WHERE x.pos > head.h),
+s AS (SELECT head.c, coalesce(list((role, text) ORDER BY g, pos) FILTER (WHERE g IS NOT NULL), []) AS turns FROM head LEFT JOIN taken USING (c) GROUP BY head.c),
+o AS (SELECT c, len(turns) AS last, unnest(range(len(turns) + 1)) AS d, turns FROM s),
+k AS (SELECT c, last, d, turns[1:d] AS path, turns[1:d - 1] AS up, CASE WHEN d > 0 THEN length(turns[d][2]) ELSE 0 END AS size FROM o),
+n AS (SELECT d, path, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(size) AS size, max(last) AS deepest, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last = d), '')) AS ends FROM k GROUP BY d, path),
+sub AS (SELECT a.d, a.path, sum((b.n - 1) * b.size) AS saved, count(*) FILTER (WHERE b.deepest = b.d) AS leaves FROM n a JOIN n b ON b.d >= a.d AND b.path[1:a.d] = a.path GROUP BY a.d, a.path)
+SELECT n.c AS conv_id, CAST(n.d AS BIGINT) AS depth, p.c AS parent_conv_id, n.n AS n_convs, (SELECT count(*) FROM n b WHERE b.d = n.d + 1 AND b.up = n.path) AS n_children, sub.leaves AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN sub USING (d, path) LEFT JOIN n p ON n.d > 0 AND p.d = n.d - 1 AND p.path = n.up
+"""
+
+ORACLES = {"op13_prefix_trie": _OP13, "op3_line_dedup": _OP3, "op4_substring_dedup": _OP4}
