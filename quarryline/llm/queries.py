@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, lines, packing, quality, simhash, substrings, trie, urls, windows
+from . import alignment, decontaminate, fingerprint, language, lines, minhash, packing, quality, simhash, substrings, trie, urls, windows
 from .common import table
 
 
@@ -63,11 +63,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 0.85)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"), lambda c: c - c % 100, lambda c: F.crc32(c.cast("string")) % 6, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_line_dedup, op4_substring_dedup, op5_packing, op6_quality, op7_url_filter, op8_simhash, op9_suffix_dedup, op10_decontamination, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_line_dedup, op4_substring_dedup, op5_packing, op6_quality, op7_url_filter, op8_simhash, op9_suffix_dedup, op10_decontamination, op11_alignment, op12_minhash, op13_prefix_trie)}
 
 #: A line's key in DuckDB: ASCII white space stripped, A-Z lower-cased.
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,4 +123,16 @@ SELECT n.c AS conv_id, CAST(n.d AS BIGINT) AS depth, p.c AS parent_conv_id, n.n
 FROM n JOIN sub USING (d, path) LEFT JOIN n p ON n.d > 0 AND p.d = n.d - 1 AND p.path = n.up
 """
 
-ORACLES = {"op13_prefix_trie": _OP13, "op3_line_dedup": _OP3, "op4_substring_dedup": _OP4}
+_OP12 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE r.root < l.b),
+m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, m.root = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""
+
+ORACLES = {"op12_minhash": _OP12, "op13_prefix_trie": _OP13, "op3_line_dedup": _OP3, "op4_substring_dedup": _OP4}
