@@ -6,10 +6,11 @@ contiguous slice of the permutation, and a signature is the minimum of as many s
 coordinates are the keys; documents that share one are candidates. At a likeness of 0.85 a pair shares none of the 51 bands
 with a chance of (1 - 0.85^5)^51 = 10^-13; no other step loses a pair but the sketch (below).
 
-Equal sets are one representative. Sets of five shingles or fewer are like equal sets only, so they have no keys. Under
-each key all members are set against its smallest document: first each against the one that it shares most bands with
-and its smallest, then those not in one component yet against the rest of their keys' smallest; then every pair of a key
-that is not in one component by then is checked, whatever the size of the key. Sketches (a bit of each coordinate) rule out pairs whose estimate is six
+Equal sets are one representative. Sets too small to be like a different one (five shingles or fewer at 0.85) have no keys. Each key's hub is its
+most central member. Members are first set against the most central of their hubs and the one that they share most bands with,
+then, where these are not in one component yet, against their other hubs. What is then still apart under a key is checked whatever the size of the key:
+against a component of CROWD members or more by asking its blocks, in which full sets are looked up and no row stands
+for a pair; all other pairs one by one. Sketches (a bit of each coordinate) rule out pairs whose estimate is six
 standard errors below the likeness (4.5 in 10^8 of the pairs at exactly 0.85); all others are decided on the full sets.
 
 A null text is empty; texts without words are linked with nothing, not with each other; texts of fewer words than a
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .common import components, drop, release, with_ids, written
-from .simhash import SKETCH, _across, jaccard, may_be_like, shingle_hashes
+from .simhash import SKETCH, jaccard, may_be_like, shingle_hashes
 
 #: Coordinates (one bit of each makes the sketch), coordinates of a band, and places of the circle.
 COORDINATES, ROWS, PLACES = SKETCH, 5, 1 << 20
+#: Members from which a component is a crowd, and shingle hashes in a block of one.
+CROWD, BLOCK = 64, 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLES: dict[int, np.ndarray] = {}
 
@@ -123,20 +126,110 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, s
     return out
 
 
+def _blocks(batches, similarity: float):
+    """Rows (root, salt, asks, doc_id, grams) sorted by these: alike pairs (a, b) of each asking document and a block's own.
+
+    A block's hashes are sorted once; an asking document looks its own up and counts what it shares with each.
+    """
+    of, docs, sets, table = None, [], [], None
+
+    def built():
+        size = np.array([len(x) for x in sets], np.int64)
+        h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        return h[order], np.repeat(np.arange(len(sets)), size)[order], size, np.array(docs, np.int64)
+
+    for batch in batches:
+        a, b = [], []
+        for root, salt, asks, doc, grams in zip(*(batch[c].to_pylist() for c in ("root", "salt", "asks", "doc_id", "grams")), strict=True):
+            if (root, salt) != of:
+                of, docs, sets, table = (root, salt), [], [], None
+            x = np.frombuffer(grams, np.uint64)
+            if not asks:
+                docs.append(doc)
+                sets.append(x)
+                continue
+            table = table or built()
+            h, owner, size, ids = table
+            lo, hi = np.searchsorted(h, x, "left"), np.searchsorted(h, x, "right")
+            n = hi - lo
+            ends = np.cumsum(n)
+            both = np.bincount(owner[np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], minlength=len(size))
+            like = ids[both / np.maximum(1, size + len(x) - both) >= similarity]
+            b += [doc] * len(like)
+            a += like.tolist()
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def against_crowds(near: DataFrame, crowds: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The alike pairs (a, b) of near(doc_id, root) with the members of their root, crowds(node, root), by the full sets.
+
+    A crowd is dealt over blocks of about BLOCK hashes, and those that ask are sent to each block of their crowd: no row
+    stands for a pair.
+    """
+
+    def grams(batches):
+        for batch in batches:
+            got = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "n", "grams"])
+
+    wanted = written(near.select("doc_id").unionAll(crowds.select(F.col("node").alias("doc_id"))).distinct())
+    sets = written(with_ids(docs.select("doc_id", "text"), wanted).mapInArrow(grams, "doc_id long, n long, grams binary"))
+    own = crowds.select(F.col("node").alias("doc_id"), "root").join(sets, "doc_id")
+    loads = written(own.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("salts")))
+    own = own.join(loads, "root").select("root", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), F.lit(0).alias("asks"), "doc_id", "grams")
+    ask = near.join(loads, "root").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).join(sets, "doc_id").select("root", "salt", F.lit(1).alias("asks"), "doc_id", "grams")
+    dealt = own.unionAll(ask).repartition("root", "salt").sortWithinPartitions("root", "salt", "asks", "doc_id")
+    return written(dealt.mapInArrow(lambda x: _blocks(x, similarity), "a long, b long").distinct())
+
+
+def _rooted(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """members with the root of their component; a document without links is its own."""
+    return members.join(roots.select(F.col("node").alias("doc_id"), F.col("root").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, "doc_id"))
+
+
+def _rest(members: DataFrame, checked: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Alike pairs (a, b) among the documents that share a key and are not in one component yet; none is left out.
+
+    Under each key the largest component stands against the others. Where it is a crowd, these ask its blocks; all
+    pairs else are made, once those of the crowds are joined.
+    """
+    roots = written(components(checked))
+    placed = written(_rooted(members, roots, "root"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("here"))
+    most = parts.groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    crowd = roots.groupBy(F.col("root").alias("main")).agg(F.count("*").alias("size")).where(F.col("size") >= CROWD).select("main", F.lit(True).alias("crowd"))
+    most = most.join(crowd, "main", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    open_ = written(placed.join(most, "key"))
+    near = written(open_.where("crowd and root <> main").select("doc_id", F.col("main").alias("root")).distinct())
+    found = against_crowds(near, roots.join(near.select("root").distinct(), "root", "left_semi"), docs, shingle, similarity)
+    later = _rooted(open_, components(checked.unionAll(found)), "now")
+    apart = later.groupBy("key").agg(F.min("now").alias("low"), F.max("now").alias("high")).where("low <> high").select("key")
+    later = written(later.join(apart, "key").where("not (crowd and root = main)"))
+    x, y = later.where("root <> main").alias("x"), later.alias("y")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.now") != F.col("y.now")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6)
+    pairs = x.join(y, on).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    return found.unionAll(verified(pairs, sets, docs, shingle, similarity))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     spark = docs.sparkSession
     sigs = written(signatures(docs, shingle, similarity))
     known = sigs.where("n > 0 and doc_id is not null")
     names = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("of")))
-    copies = known.select("s1", "s2", F.col("doc_id").alias("b")).join(names.where("of > 1").select("s1", "s2", F.col("doc_id").alias("a")), ["s1", "s2"]).where("a <> b").select("a", "b").distinct()
+    copies = written(known.select("s1", "s2", F.col("doc_id").alias("b")).join(names.where("of > 1").select("s1", "s2", F.col("doc_id").alias("a")), ["s1", "s2"]).where("a <> b").select("a", "b").distinct())
     sets = written(known.where("keys is not null").join(names.drop("of"), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"]).drop("s1", "s2"))
     rows = sets.select("doc_id", "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("of")).where("of > 1").drop("of")
-    members = written(rows.join(shared, "key").select("key", "doc_id", "n", F.lit(0).alias("pos"), "a"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("of")).where("of > 1")
+    members = written(rows.join(shared, "key").select("key", "doc_id", "n", "of"))
     release(spark)
-    tries = written(members.where("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("bands")))
-    two = tries.groupBy("b").agg(F.min("a").alias("low"), F.max_by("a", F.struct("bands", -F.col("a"))).alias("best")).select(F.explode(F.array_distinct(F.array("low", "best"))).alias("a"), "b")
+    # The centre of a group of near copies keeps most of what they share, so its keys are the fullest: it is every key's hub.
+    central = members.groupBy("doc_id").agg(F.sum("of").alias("weight"))
+    hubs = members.select("key", "doc_id").join(central, "doc_id").groupBy("key").agg(F.max_by(F.struct(F.col("doc_id").alias("a"), "weight"), F.struct("weight", -F.col("doc_id"))).alias("hub")).select("key", "hub.*")
+    tries = written(members.join(hubs, "key").where("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("bands"), F.max("weight").alias("weight")))
+    two = tries.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("centre"), F.max_by("a", F.struct("bands", -F.col("a"))).alias("best")).select(F.explode(F.array_distinct(F.array("centre", "best"))).alias("a"), "b")
     checked = verified(two, sets, docs, shingle, similarity)
     roots = components(checked)
     placed = tries
@@ -144,9 +237,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         placed = placed.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
     apart = placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(two, ["a", "b"], "left_anti")
     checked = checked.unionAll(verified(apart, sets, docs, shingle, similarity))
-    rest = verified(_across(members.drop("a"), components(checked), similarity), sets, docs, shingle, similarity)
+    rest = _rest(members.drop("of"), checked, sets, docs, shingle, similarity)
     roots = components(checked.unionAll(rest).unionAll(copies))
-    for done in (members, tries, sets, names):
+    for done in (members, tries, sets, names, copies):
         drop(done)
     release(spark)
     component = F.coalesce("root", "doc_id")

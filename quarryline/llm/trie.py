@@ -122,7 +122,7 @@ def prefix_trie(conversations: DataFrame, base_of, head_of, most: int) -> DataFr
     release(spark)
     nodes = written(steps.groupBy(*_NODE).agg(F.min("conv_id").alias("owner"), F.max("last").alias("deepest"), F.min("upto").alias("upto"), F.min("size").alias("size"), F.min("up1").alias("up1"), F.min("up2").alias("up2")))
     # A conversation owns its path from `since` on; `spent`: code points up to there, that node's excluded; `leaf`: its end has no children.
-    owned = nodes.groupBy("owner").agg(F.min("depth").alias("since"), F.min(F.col("upto") - F.col("size")).alias("spent"), F.max("depth").alias("end"), F.max("deepest").alias("deepest"))
+    owned = nodes.groupBy("owner").agg(F.min("depth").alias("since"), F.min(F.col("upto") - F.col("size")).alias("spent"), F.max("depth").alias("end"), F.max_by("deepest", "depth").alias("deepest"))
     owned = owned.select(F.col("owner").alias("conv_id"), "since", "spent", (F.col("end") == F.col("deepest")).cast("long").alias("leaf"))
     # Only where a conversation's own path begins does the parent belong to another one.
     above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("h1").alias("up1"), F.col("h2").alias("up2"), F.col("owner").alias("parent"))
