@@ -9,8 +9,8 @@ with a chance of (1 - 0.85^5)^51 = 10^-13; no other step loses a pair but the sk
 Equal sets are one representative. Sets too small to be like a different one (five shingles or fewer at 0.85) have no keys. Each key's hub is its
 most central member. Members are first set against the most central of their hubs and the one that they share most bands with,
 then, where these are not in one component yet, against their other hubs. What is then still apart under a key is checked whatever the size of the key:
-against a component of CROWD members or more by asking its blocks, in which full sets are looked up and no row stands
-for a pair; all other pairs one by one. Sketches (a bit of each coordinate) rule out pairs whose estimate is six
+where one component has CROWD members or more, all others ask its blocks and each other's, in which full sets are looked
+up and no row stands for a pair; all other pairs one by one. Sketches (a bit of each coordinate) rule out pairs whose estimate is six
 standard errors below the likeness (4.5 in 10^8 of the pairs at exactly 0.85); all others are decided on the full sets.
 
 A null text is empty; texts without words are linked with nothing, not with each other; texts of fewer words than a
@@ -33,7 +33,7 @@ from .simhash import SKETCH, jaccard, may_be_like, shingle_hashes
 #: Coordinates (one bit of each makes the sketch), coordinates of a band, and places of the circle.
 COORDINATES, ROWS, PLACES = SKETCH, 5, 1 << 20
 #: Members from which a component is a crowd, and shingle hashes in a block of one.
-CROWD, BLOCK = 64, 1 << 19
+CROWD, BLOCK = 64, 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLES: dict[int, np.ndarray] = {}
 
@@ -127,11 +127,12 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, s
 
 
 def _blocks(batches, similarity: float):
-    """Rows (root, salt, asks, doc_id, grams) sorted by these: alike pairs (a, b) of each asking document and a block's own.
+    """Rows (root, salt, part, asks, doc_id, grams) sorted by these: links (a, b) of the asking documents with a block's own.
 
-    A block's hashes are sorted once; an asking document looks its own up and counts what it shares with each.
+    A block's hashes are sorted once; an asking document looks its own up and counts what it shares with each. Of the alike pairs of a
+    block only those that join two parts of it are given, which are fewer than its documents.
     """
-    of, docs, sets, table = None, [], [], None
+    of, docs, sets, table, above = None, [], [], None, {}
 
     def built():
         size = np.array([len(x) for x in sets], np.int64)
@@ -139,11 +140,16 @@ def _blocks(batches, similarity: float):
         order = np.argsort(h, kind="stable")
         return h[order], np.repeat(np.arange(len(sets)), size)[order], size, np.array(docs, np.int64)
 
+    def top(x):
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
     for batch in batches:
-        a, b = [], []
-        for root, salt, asks, doc, grams in zip(*(batch[c].to_pylist() for c in ("root", "salt", "asks", "doc_id", "grams")), strict=True):
-            if (root, salt) != of:
-                of, docs, sets, table = (root, salt), [], [], None
+        links = []
+        for *block, asks, doc, grams in zip(*(batch[c].to_pylist() for c in ("root", "salt", "part", "asks", "doc_id", "grams")), strict=True):
+            if block != of:
+                of, docs, sets, table, above = block, [], [], None, {}
             x = np.frombuffer(grams, np.uint64)
             if not asks:
                 docs.append(doc)
@@ -155,18 +161,20 @@ def _blocks(batches, similarity: float):
             n = hi - lo
             ends = np.cumsum(n)
             both = np.bincount(owner[np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], minlength=len(size))
-            like = ids[both / np.maximum(1, size + len(x) - both) >= similarity]
-            b += [doc] * len(like)
-            a += like.tolist()
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for other in ids[both / np.maximum(1, size + len(x) - both) >= similarity].tolist():
+                p, q = top(doc), top(other)
+                if p != q:
+                    above[max(p, q)] = min(p, q)
+                    links.append((min(doc, other), max(doc, other)))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def against_crowds(near: DataFrame, crowds: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The alike pairs (a, b) of near(doc_id, root) with the members of their root, crowds(node, root), by the full sets.
+    """Links (a, b) that join what is alike among near(doc_id, root) and between these and their root's members, crowds(node, root).
 
-    A crowd is dealt over blocks of about BLOCK hashes, and those that ask are sent to each block of their crowd: no row
-    stands for a pair.
+    By the full sets. Both sides are dealt over parts of about BLOCK hashes, and each part that asks is sent to each
+    block of its crowd: no row stands for a pair.
     """
 
     def grams(batches):
@@ -174,14 +182,18 @@ def against_crowds(near: DataFrame, crowds: DataFrame, docs: DataFrame, shingle:
             got = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "n", "grams"])
 
-    wanted = written(near.select("doc_id").unionAll(crowds.select(F.col("node").alias("doc_id"))).distinct())
-    sets = written(with_ids(docs.select("doc_id", "text"), wanted).mapInArrow(grams, "doc_id long, n long, grams binary"))
-    own = crowds.select(F.col("node").alias("doc_id"), "root").join(sets, "doc_id")
-    loads = written(own.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("salts")))
-    own = own.join(loads, "root").select("root", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), F.lit(0).alias("asks"), "doc_id", "grams")
-    ask = near.join(loads, "root").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).join(sets, "doc_id").select("root", "salt", F.lit(1).alias("asks"), "doc_id", "grams")
-    dealt = own.unionAll(ask).repartition("root", "salt").sortWithinPartitions("root", "salt", "asks", "doc_id")
-    return written(dealt.mapInArrow(lambda x: _blocks(x, similarity), "a long, b long").distinct())
+    every = written(crowds.select(F.col("node").alias("doc_id"), "root").unionAll(near.select("doc_id", "root")).distinct())
+    sets = written(with_ids(docs.select("doc_id", "text"), every.select("doc_id").distinct()).mapInArrow(grams, "doc_id long, n long, grams binary"))
+    shares = lambda df, name: df.join(sets, "doc_id").groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias(name))
+    loads = written(shares(every, "salts").join(shares(near, "parts"), "root"))
+    at = F.xxhash64("doc_id")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["root", "salt", "part", "asks", "doc_id", "grams"]
+    own = every.join(loads, "root").withColumn("salt", F.pmod(at, "salts")).withColumn("part", upto("parts")).withColumn("asks", F.lit(0))
+    ask = near.join(loads, "root").withColumn("part", F.pmod(at, "parts")).withColumn("salt", upto("salts")).withColumn("asks", F.lit(1))
+    dealt = own.join(sets, "doc_id").select(*columns).unionAll(ask.join(sets, "doc_id").select(*columns))
+    dealt = dealt.repartition("root", "salt", "part").sortWithinPartitions("root", "salt", "part", "asks", "doc_id")
+    return written(dealt.mapInArrow(lambda x: _blocks(x, similarity), "a long, b long").where("a <> b").distinct())
 
 
 def _rooted(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
@@ -192,8 +204,8 @@ def _rooted(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
 def _rest(members: DataFrame, checked: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Alike pairs (a, b) among the documents that share a key and are not in one component yet; none is left out.
 
-    Under each key the largest component stands against the others. Where it is a crowd, these ask its blocks; all
-    pairs else are made, once those of the crowds are joined.
+    Under each key the largest component stands against the others. Where it is a crowd, these ask its blocks, and those
+    of the others; under all other keys pairs are made, once those of the crowds are joined.
     """
     roots = written(components(checked))
     placed = written(_rooted(members, roots, "root"))
@@ -205,8 +217,9 @@ def _rest(members: DataFrame, checked: DataFrame, sets: DataFrame, docs: DataFra
     near = written(open_.where("crowd and root <> main").select("doc_id", F.col("main").alias("root")).distinct())
     found = against_crowds(near, roots.join(near.select("root").distinct(), "root", "left_semi"), docs, shingle, similarity)
     later = _rooted(open_, components(checked.unionAll(found)), "now")
+    later = later.where("not crowd")
     apart = later.groupBy("key").agg(F.min("now").alias("low"), F.max("now").alias("high")).where("low <> high").select("key")
-    later = written(later.join(apart, "key").where("not (crowd and root = main)"))
+    later = written(later.join(apart, "key"))
     x, y = later.where("root <> main").alias("x"), later.alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.now") != F.col("y.now")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6)
     pairs = x.join(y, on).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()

@@ -262,11 +262,13 @@ def test_trie_of_one_long_conversation(spark):
     """Most rows in one conversation, which is cut over several ranges; a very long text."""
     turns = [(7, t, "user", f"t{t % 3}", 0, 0, 0) for t in range(250)] + [(8, t, "user", f"t{t % 3}", 0, 0, 0) for t in range(200)] + [(9, 0, "user", "y" * 2_000_000, 0, 0, 0)]
     spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         df = spark.createDataFrame(turns, TURNS).repartition(13)
         assert trie.numbered(df).where("conv_id = 7").select("part").distinct().count() > 2
         got = trie_of(df)
     finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == trie_brute([t[:4] for t in turns])
 
