@@ -30,7 +30,7 @@ def fnv1a8(text: Column) -> Column:
 
 
 def normalise_tags(tags: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def has_tags(tags: Column, wanted: list[str]) -> Column:
@@ -169,6 +169,29 @@ def strip_generics(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(name), r"[<\[(].*$", ""), r"^.*(\.|::)", "")
 
 
+#: Characters of a verbatim entry's text, and lines of a file in which its date is looked for.
+VERBATIM_CAP, DATE_LINES = 100_000, 20
+
+
+def verbatim_content(source: Column, at: Column, text: Column, cap: int = VERBATIM_CAP) -> Column:
+    """A verbatim entry's content: its source and time as a header, an empty line, its text; a text over the cap ends in a mark."""
+    body = F.when(F.length(text) > cap, F.concat(F.substring(text, 1, cap), F.lit("\n[truncated]"))).otherwise(text)
+    return F.concat(F.lit("SOURCE: "), source, F.lit("\nAT: "), at, F.lit("\n\n"), body)
+
+
+def verbatim_parts(content: Column) -> Column:
+    """struct(source, at, text) of a verbatim entry's content; what the header lacks is empty."""
+    lines = F.split(content, "\n")
+    field = lambda k, mark: F.when(F.get(lines, F.lit(k)).startswith(mark), F.substring(F.get(lines, F.lit(k)), len(mark) + 1, 1 << 30)).otherwise("")
+    rest = F.array_join(F.slice(lines, F.lit(4), F.greatest(F.size(lines) - 3, F.lit(0))), "\n")
+    return F.struct(field(0, "SOURCE: ").alias("source"), field(1, "AT: ").alias("at"), rest.alias("text"))
+
+
+def date_in_head(text: Column) -> Column:
+    """The first ISO date in a text's first lines, else null."""
+    return first_date(F.array_join(F.slice(F.split(text, "\n"), 1, DATE_LINES), "\n"))
+
+
 def first_date(text: Column) -> Column:
     """The first ISO date in a text, else null."""
     found = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1)

@@ -33,20 +33,20 @@ def hotspots(symbols: DataFrame, churn: DataFrame, least: int = 2, top: int = 50
 
 
 def cross_module(symbols: DataFrame, edges: DataFrame, module: Column | None = None) -> DataFrame:
-    """(from_module, to_module, kind) of every edge between two modules."""
+    """(from_module, to_module, kind) of every edge between two modules; edges from file: sources do not count."""
     m = symbols.select("id", (dirname(F.col("file")) if module is None else module).alias("m"))
-    both = edges.join(m.select(F.col("id").alias("src"), F.col("m").alias("from_module")), "src").join(m.select(F.col("id").alias("dst"), F.col("m").alias("to_module")), "dst")
+    both = edges.where(~F.col("src").startswith("file:")).join(m.select(F.col("id").alias("src"), F.col("m").alias("from_module")), "src").join(m.select(F.col("id").alias("dst"), F.col("m").alias("to_module")), "dst")
     return both.where("from_module <> to_module").select("from_module", "to_module", "kind")
 
 
 def coupling(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Efferent and afferent coupling and instability of each module (edge multiplicity counts)."""
-    cross = cross_module(symbols, of_kinds(edges))
+    pairs = cross_module(symbols, of_kinds(edges)).groupBy("from_module", "to_module").agg(F.count("*").alias("n"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("from_module").alias("module"), F.col("n").alias("ce"), F.lit(0).cast("long").alias("ca")), F.struct(F.col("to_module").alias("module"), F.lit(0).cast("long").alias("ce"), F.col("n").alias("ca")))).alias("x"))
     size = symbols.groupBy(dirname(F.col("file")).alias("module")).agg(F.count("*").alias("symbols"))
-    out = cross.groupBy(F.col("from_module").alias("module")).agg(F.count("*").alias("ce"))
-    into = cross.groupBy(F.col("to_module").alias("module")).agg(F.count("*").alias("ca"))
+    both = ends.groupBy("x.module").agg(F.sum("x.ce").alias("ce"), F.sum("x.ca").alias("ca"))
     ce, ca = F.coalesce("ce", F.lit(0)).cast("long"), F.coalesce("ca", F.lit(0)).cast("long")
-    return size.join(out, "module", "left").join(into, "module", "left").select("module", "symbols", ce.alias("ce"), ca.alias("ca"), F.round(F.when(ce + ca > 0, ce / (ce + ca)), 6).alias("instability"))
+    return size.join(both, "module", "left").select("module", "symbols", ce.alias("ce"), ca.alias("ca"), F.round(F.when(ce + ca > 0, ce / (ce + ca)), 6).alias("instability"))
 
 
 def tectonic(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,17 +10,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder and read back: cuts the lineage of a loop."""
-    spark = df.sparkSession
+def _at_exit(spark, path: str) -> None:
+    """Delete a table that is still there; a session that has ended takes its folder along."""
+    if spark.sparkContext._jsc is None:
+        return
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def shared_dir(spark) -> str:
+    """The cluster's shared folder; a temporary one only where none is set and all runs in this process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quarryline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the cluster's shared checkpoint folder and read back: cuts the lineage of a loop."""
+    spark = df.sparkSession
+    base = shared_dir(spark)
     path = f"{base}/quarryline-loops/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_at_exit, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarryline_path = path
     return out
@@ -37,18 +53,21 @@ def of_kinds(edges: DataFrame, kinds: tuple[str, ...] = ("calls", "imports")) ->
 
 
 def reach(edges: DataFrame, start: str, depth: int = 3, upstream: bool = True) -> DataFrame:
-    """(id, depth) of what is within `depth` steps of start, each in its first tier; start itself is left out."""
+    """(id, depth) of what is within `depth` steps of start, each in its first tier; start itself is left out.
+
+    The edges are written once, in the direction of the search, and repeated ones stay: a hop takes its new nodes once. Each
+    hop is a table of its own, so a later one does not compute it again, and a small one is broadcast by its size.
+    """
     a, b = ("dst", "src") if upstream else ("src", "dst")
-    steps = cut(edges.select(F.col(a).alias("at"), F.col(b).alias("id")).distinct())
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(start,)], "id string")
+    steps = cut(edges.select(F.col(a).alias("at"), F.col(b).alias("id")))
+    frontier = edges.sparkSession.createDataFrame([(start,)], "id string")
     seen = frontier.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        nxt = steps.join(frontier.withColumnRenamed("id", "at"), "at").select("id").distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
-        nxt = cut(nxt) if depth > 3 else nxt
+        nxt = cut(steps.join(frontier.withColumnRenamed("id", "at"), "at").select("id").distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         frontier, seen = nxt.select("id"), seen.unionByName(nxt)
-        if depth > 3 and not nxt.limit(1).count():
+        if d < depth and not nxt.limit(1).count():
             break
+    free(steps)
     return seen.where("depth > 0")
 
 
@@ -57,6 +76,22 @@ def blast_radius(symbols: DataFrame, edges: DataFrame, start: str, depth: int =
     return reach(edges, start, depth, upstream).join(symbols.select("id", "name", "file", "kind"), "id")
 
 
+def entries(symbols: DataFrame, asked: list[str]) -> DataFrame:
+    """(entry, id, n, first): the symbols that each asked entry of a trace may mean, how many, and whether a trace starts here.
+
+    Those of that name; else the symbol of that id; else those whose id ends so. The smallest id is first. One pass over
+    the symbols for all that is asked.
+    """
+    each = F.explode(F.filter(F.array(*[F.lit(a) for a in dict.fromkeys(asked)]).cast("array<string>"), lambda a: (F.col("name") == a) | F.col("id").endswith(a)))
+    hit = symbols.select("id", "name", each.alias("entry"))
+    tier = F.when(F.col("name") == F.col("entry"), 0).when(F.col("id") == F.col("entry"), 1).otherwise(2)
+    hit = hit.select("entry", "id", tier.alias("tier")).distinct()
+    best = hit.groupBy("entry").agg(F.min("tier").alias("best"))
+    kept = hit.join(best, "entry").where("tier = best")
+    first = kept.groupBy("entry").agg(F.min("id").alias("_first"), F.count("*").alias("n"))
+    return kept.join(first, "entry").select("entry", "id", "n", (F.col("id") == F.col("_first")).alias("first"))
+
+
 def trace(symbols: DataFrame, edges: DataFrame, start: str, depth: int = 8, most: int = 200) -> DataFrame:
     """Downstream steps in order (depth, id), at most `most`, with whether a step calls nothing."""
     calls = of_kinds(edges, ("calls",)).where("src <> dst").join(symbols.select(F.col("id").alias("src")), "src", "left_semi").join(symbols.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -65,42 +100,71 @@ def trace(symbols: DataFrame, edges: DataFrame, start: str, depth: int = 8, most
     return got.join(busy, "id", "left").select("id", "depth", F.col("_busy").isNull().alias("terminal")).orderBy("depth", "id").limit(most)
 
 
-def pagerank_top(nodes: DataFrame, edges: DataFrame, top: int = 50, tol: float = 1e-6, most: int = 1000) -> DataFrame:
+class _Ranks:
+    """The power steps of PageRank over distinct links; tables of links and ids are written once.
+
+    A step reads the ranks twice, so its plan doubles; every `every` steps they are written.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, alpha: float, every: int):
+        links = edges.select("src", "dst").distinct()
+        self.links = cut(links.join(links.groupBy("src").agg(F.count("*").alias("deg")), "src"))
+        self.ids = cut(nodes.select("id").distinct())
+        self.sources = self.links.select(F.col("src").alias("id"), "deg").distinct()
+        self.n, self.alpha, self.every = self.ids.count(), alpha, every
+
+    def start(self) -> DataFrame:
+        return self.ids.withColumn("rank", F.lit(1.0 / max(1, self.n)))
+
+    def step(self, rank: DataFrame) -> DataFrame:
+        gained = self.links.join(rank, self.links["src"] == rank["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
+        loose = rank.join(self.sources, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))  # one row
+        given = (1 - self.alpha) / self.n
+        return self.ids.join(gained, "id", "left").join(F.broadcast(loose)).select("id", (F.lit(given) + self.alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / self.n)).alias("rank"))
+
+    def steps(self, rank: DataFrame, n: int) -> DataFrame:
+        last = None
+        for k in range(1, n + 1):
+            rank = self.step(rank)
+            if k % self.every == 0:
+                rank = cut(rank)
+                if last is not None:
+                    free(last)
+                last = rank
+        return rank
+
+    def free(self) -> None:
+        free(self.links)
+        free(self.ids)
+
+
+def pagerank_top(nodes: DataFrame, edges: DataFrame, top: int = 50, tol: float = 1e-6, most: int = 1000, alpha: float = 0.85) -> DataFrame:
     """The `top` (id, rank) once a step changes the ranks by less than tol a node; no rows if `most` steps do not get there.
 
-    Edges from file: sources do not count.
+    Edges from file: sources do not count. The change is looked at after every tenth step.
     """
-    own = edges.where(~F.col("src").startswith("file:"))
-    old = cut(pagerank(nodes, own, 10))
-    n, done = old.count(), 10
-    while done < most:
-        new = cut(pagerank(nodes, own, 10, start=old))
+    ranks = _Ranks(nodes, edges.where(~F.col("src").startswith("file:")), alpha, 3)
+    old, done = ranks.start(), 0
+    while done < most and ranks.n:
+        before = ranks.steps(old, 9)
+        new = cut(ranks.step(before))
         done += 10
-        change = new.join(old.select("id", F.col("rank").alias("before")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
-        free(old)
+        change = new.join(before.select("id", F.col("rank").alias("before")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
+        free(before)
+        if done > 10:
+            free(old)
         old = new
-        if change < tol * n:
+        if change < tol * ranks.n:
+            ranks.free()
             return old.orderBy(F.desc("rank"), "id").limit(top)
-    return old.limit(0)
+    ranks.free()
+    return nodes.sparkSession.createDataFrame([], "id string, rank double")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 20, alpha: float = 0.85, every: int = 5, start: DataFrame | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 20, alpha: float = 0.85, every: int = 2) -> DataFrame:
     """(id, rank) after a fixed number of power steps; multiple edges count once, rank of nodes without out-edges is spread."""
-    links = edges.select("src", "dst").distinct()
-    links = cut(links.join(links.groupBy("src").agg(F.count("*").alias("deg")), "src"))
-    ids = cut(nodes.select("id").distinct())
-    n = ids.count()
-    if not n:
-        return ids.withColumn("rank", F.lit(0.0))
-    rank = ids.withColumn("rank", F.lit(1.0 / n)) if start is None else start.select("id", "rank")
-    out = links.select(F.col("src").alias("id"), "deg").distinct()
-    for k in range(1, steps + 1):
-        gained = links.join(rank, links["src"] == rank["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        loose = rank.join(out, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))  # one row
-        rank = ids.join(gained, "id", "left").join(F.broadcast(loose)).select("id", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if k % every == 0:
-            rank = cut(rank)
-    return rank
+    ranks = _Ranks(nodes, edges, alpha, every)
+    return ranks.steps(ranks.start(), steps) if ranks.n else ranks.start()
 
 
 def sccs(edges: DataFrame, least: int = 2, most_steps: int = 200) -> DataFrame:

@@ -101,6 +101,19 @@ def import_outcomes(parsed: DataFrame, existing: DataFrame) -> DataFrame:
     return insert_edges(e, ids).select("src", "dst", "kind", F.when(F.col("accepted"), "ok").otherwise("deferred").alias("outcome"))
 
 
+def restore_supersedes(parsed: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, by, reason, outcome) of a ledger's superseded nodes, after its nodes are in and before its edges.
+
+    A node line with supersededAt and supersededBy is restored where the replacement is known by then, in the ledger or the store; otherwise the
+    outcome is an error and the node stays as it was written. Lines without either are left alone; of several lines of an id the last by text counts.
+    """
+    lines = parsed.where("status = 'node' and coalesce(id, '') <> ''")
+    known = lines.select("id").unionByName(existing.select("id")).distinct().select(F.col("id").alias("by"), F.lit(True).alias("_known"))
+    marked = lines.where("coalesce(supersededAt, '') <> '' and supersededBy is not null")
+    last = marked.groupBy("id").agg(F.max_by(F.struct(F.col("supersededBy").alias("by"), F.col("supersededReason").alias("reason")), "line").alias("m")).select("id", "m.*")
+    return last.join(known, "by", "left").select("id", "by", "reason", F.when(F.col("_known"), "restored").otherwise("error").alias("outcome"))
+
+
 def collisions(members: list[tuple[str, DataFrame]]) -> DataFrame:
     """(id, n): ids that several members have."""
     both = reduce(DataFrame.unionByName, [df.select("id", F.lit(name).alias("member")) for name, df in members])

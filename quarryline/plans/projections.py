@@ -10,16 +10,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Customers are methods, suppliers classes; region is the repository, nation the module."""
+def symbols(spark: SparkSession, d: str, complexity: bool = True) -> DataFrame:
+    """Customers are methods, suppliers classes; region is the repository, nation the module.
+
+    Complexity counts a customer's orders or a supplier's parts; without it neither table is read.
+    """
     place = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    orders = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    parts = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("n"))
-    c = table(spark, d, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
-    s = table(spark, d, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).join(parts, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    c = table(spark, d, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey"))
+    s = table(spark, d, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey"))
+    if complexity:
+        orders = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+        parts = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("n"))
+        c = c.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+        s = s.join(parts, F.col("s_suppkey") == F.col("l_suppkey"), "left")
 
     def shape(df, key, name, kind, folder, parent):
-        return df.select(F.concat(F.lit(kind[0]), key).alias("id"), name.alias("name"), F.lit(kind[1]).alias("kind"), F.col("r_name").alias("repo"), F.concat_ws("/", "r_name", "n_name", F.lit(folder)).alias("file"), (1 + F.coalesce("n", F.lit(0))).alias("complexity"), parent.alias("parent_id"))
+        size = [(1 + F.coalesce("n", F.lit(0))).alias("complexity")] if complexity else []
+        return df.select(F.concat(F.lit(kind[0]), key).alias("id"), name.alias("name"), F.lit(kind[1]).alias("kind"), F.col("r_name").alias("repo"), F.concat_ws("/", "r_name", "n_name", F.lit(folder)).alias("file"), *size, parent.alias("parent_id"))
 
     parent = F.when(F.col("c_custkey") % 10 == 9, F.concat(F.lit("c"), F.col("c_custkey") - 1))
     return shape(c, F.col("c_custkey"), F.col("c_name"), ("c", "method"), "customers", parent).unionByName(shape(s, F.col("s_suppkey"), F.col("s_name"), ("s", "class"), "suppliers", F.lit(None).cast("string")))
@@ -33,6 +40,13 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return li.select(F.when(out, s).otherwise(c).alias("src"), F.when(out, c).otherwise(s).alias("dst"), kind.alias("kind")).distinct()
 
 
+def uses(spark: SparkSession, d: str) -> DataFrame:
+    """Events as uses of symbols: clicks call a customer, views import another, purchases call a supplier, all else extends."""
+    user, kind = F.col("user_id"), F.col("event_type")
+    dst = F.when(kind == "purchase", F.concat(F.lit("s"), user % 60)).otherwise(F.concat(F.lit("c"), user + F.when(kind == "click", 0).when(kind == "view", 300).otherwise(600)))
+    return table(spark, d, "events").select(F.concat(F.lit("e"), "event_id").alias("src"), dst.alias("dst"), F.when(kind.isin("click", "purchase"), "calls").when(kind == "view", "imports").otherwise("extends").alias("kind"))
+
+
 def churn(spark: SparkSession, d: str) -> DataFrame:
     """Lines sold by each supplier file: commits, additions, deletions."""
     place = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -63,6 +77,9 @@ EDG = """edg AS (
   SELECT DISTINCT CASE WHEN l_linestatus = 'O' THEN 's' || l_suppkey ELSE 'c' || o_custkey END AS src, CASE WHEN l_linestatus = 'O' THEN 'c' || o_custkey ELSE 's' || l_suppkey END AS dst,
     CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'imports' ELSE 'extends' END AS kind
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+USE = """use_ AS (
+  SELECT 'e' || event_id AS src, CASE event_type WHEN 'purchase' THEN 's' || (user_id % 60) WHEN 'click' THEN 'c' || user_id WHEN 'view' THEN 'c' || (user_id + 300) ELSE 'c' || (user_id + 600) END AS dst,
+    CASE WHEN event_type IN ('click', 'purchase') THEN 'calls' WHEN event_type = 'view' THEN 'imports' ELSE 'extends' END AS kind FROM events)"""
 CHURN = """churn AS (
   SELECT r_name || '/' || n_name || '/suppliers' AS file, count(*) AS commits, CAST(sum(l_quantity) AS BIGINT) AS additions, CAST(sum(l_linenumber) AS BIGINT) AS deletions
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1)"""
@@ -70,3 +87,11 @@ NODES = """nodes AS (
   SELECT 'n' || d.doc_id AS id, ['architecture', 'bug_pattern', 'convention', 'decision', 'troubleshooting'][CAST(d.doc_id % 5 AS INT) + 1] AS type, d.source || '/' || d.lang || '/' || d.doc_id AS label, d.text AS content,
     list_filter([d.lang, CASE WHEN l.toxic = 1 THEN 'toxic' END], lambda t: t IS NOT NULL) AS tags, d.source AS project, CASE WHEN l.quality = 0 THEN '2026-01-01' END AS superseded_at, d.doc_id
   FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id)"""
+
+
+def rank_sql(steps: int, kinds: str, digits: int = 9) -> str:
+    """Ranks after so many power steps over edges of these kinds."""
+    parts = [f"WITH {SYM}, {EDG}, e AS (SELECT DISTINCT src, dst FROM edg WHERE kind IN ({kinds})), g AS (SELECT src, count(*) AS deg FROM e GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM sym), r0 AS MATERIALIZED (SELECT id, 1 / n AS rank FROM sym, n)"]
+    for k in range(steps):
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT s.id, 0.15 / n.n + 0.85 * (coalesce(i.v, 0) + l.v / n.n) AS rank FROM sym s CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(rank), 0) AS v FROM r{k} WHERE id NOT IN (SELECT src FROM g)) l LEFT JOIN (SELECT e.dst, sum(r.rank / g.deg) AS v FROM e JOIN g ON e.src = g.src JOIN r{k} r ON r.id = e.src GROUP BY 1) i ON i.dst = s.id)")
+    return ", ".join(parts) + f" SELECT id, round(rank, {digits}) AS rank FROM r{steps}"

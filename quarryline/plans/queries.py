@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import analytics, communities as groups, graph, knowledge, ledger, resolve, views
-from ..sources import code
+from ..sources import code, store
 from ..streaming import verbatim
 from . import projections as P
+from .registry import ORACLES, QUERIES, query  # noqa: F401  the entry reads them here
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 S, E, C, N = P.SYM, P.EDG, P.CHURN, P.NODES
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _walk(kinds: str, back: bool, most: int) -> str:
     a, b = ("dst", "src") if back else ("src", "dst")
     return f"WITH RECURSIVE {E}, w AS (SELECT 's2' AS id, 0 AS depth UNION SELECT e.{b}, w.depth + 1 FROM w JOIN edg e ON e.{a} = w.id WHERE w.depth < {most} AND e.kind IN ({kinds}))"
@@ -36,17 +24,17 @@ def _walk(kinds: str, back: bool, most: int) -> str:
 
 @query(f"{_walk("'calls', 'imports'", True, 3)}, {S} SELECT s.id, s.name, s.file, s.kind, m.depth FROM (SELECT id, min(depth) AS depth FROM w GROUP BY id) m JOIN sym s ON s.id = m.id WHERE m.depth > 0")
 def blast_radius_up(spark, d):
-    return graph.blast_radius(P.symbols(spark, d), graph.of_kinds(P.edges(spark, d)), "s2").select("id", "name", "file", "kind", "depth")
+    return graph.blast_radius(P.symbols(spark, d, complexity=False), graph.of_kinds(P.edges(spark, d)), "s2").select("id", "name", "file", "kind", "depth")
 
 
 @query(f"{_walk("'calls'", False, 3)}, {S} SELECT s.id, s.name, s.file, s.kind, m.depth FROM (SELECT id, min(depth) AS depth FROM w GROUP BY id) m JOIN sym s ON s.id = m.id WHERE m.depth > 0")
 def call_graph_down(spark, d):
-    return graph.blast_radius(P.symbols(spark, d), graph.of_kinds(P.edges(spark, d), ("calls",)), "s2", upstream=False).select("id", "name", "file", "kind", "depth")
+    return graph.blast_radius(P.symbols(spark, d, complexity=False), graph.of_kinds(P.edges(spark, d), ("calls",)), "s2", upstream=False).select("id", "name", "file", "kind", "depth")
 
 
 @query(f"{_walk("'calls'", False, 8)}, m AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT id, depth, NOT EXISTS (SELECT 1 FROM edg WHERE kind = 'calls' AND src = m.id) AS terminal FROM m ORDER BY depth, id LIMIT 200")
 def process_trace(spark, d):
-    return graph.trace(P.symbols(spark, d), P.edges(spark, d), "s2")
+    return graph.trace(P.symbols(spark, d, complexity=False), P.edges(spark, d), "s2")
 
 
 #: Names given to some symbols so that every exemption is met.
@@ -54,7 +42,7 @@ _NAMES = [*analytics.ENTRY_NAMES, "registerRoutes", "setup", "Main", "handler2"]
 _LIVE = f"""nm AS (SELECT id, kind, parent_id, CASE WHEN n % 7 = 0 THEN ({_NAMES!r})[CAST(n % {len(_NAMES)} AS INT) + 1] ELSE name END AS name,
   file || CASE n % 11 WHEN 0 THEN '/a.test.ts' WHEN 1 THEN '/b.spec.js' WHEN 2 THEN '/test/c.ts' WHEN 3 THEN '/tests/d.ts' ELSE '' END AS file FROM (SELECT *, CAST(substr(id, 2) AS INT) AS n FROM sym))"""
 _DEAD = """dead AS (SELECT s.id, s.name, s.kind, s.file FROM nm s LEFT JOIN sym p ON s.parent_id = p.id
-  WHERE s.kind IN ('function', 'method', 'class') AND NOT EXISTS (SELECT 1 FROM edg WHERE dst = s.id AND kind IN ('calls', 'imports') AND CAST(substr(src, 2) AS INT) % 97 = CAST(substr(dst, 2) AS INT) % 97)
+  WHERE s.kind IN ('function', 'method', 'class') AND NOT EXISTS (SELECT 1 FROM use_ WHERE dst = s.id AND kind IN ('calls', 'imports'))
   AND NOT (starts_with(s.name, 'register') OR s.name IN ('main', 'run', 'start', 'init', 'register', 'default', 'index', 'handler', 'handle', 'execute', 'serve', 'listen', 'bootstrap'))
   AND NOT (contains(s.file, '/test/') OR contains(s.file, '.test.') OR contains(s.file, '.spec.')) AND (p.kind IS NULL OR p.kind NOT IN ('function', 'method')))"""
 
@@ -63,18 +51,12 @@ def _named_symbols(spark, d):
     n = F.regexp_extract("id", r"(\d+)", 1).cast("int")
     place = F.when(n % 11 == 0, "/a.test.ts").when(n % 11 == 1, "/b.spec.js").when(n % 11 == 2, "/test/c.ts").when(n % 11 == 3, "/tests/d.ts").otherwise("")
     name = F.when(n % 7 == 0, F.get(F.array(*map(F.lit, _NAMES)), n % len(_NAMES))).otherwise(F.col("name"))
-    return P.symbols(spark, d).withColumn("name", name).withColumn("file", F.concat("file", place))
-
-
-def _sparse(spark, d):
-    """The uses that count for dead code: all pairs trade sooner or later, so only those of like number do."""
-    num = lambda c: F.expr(f"cast(substring({c}, 2) as int)") % 97
-    return P.edges(spark, d).where(num("src") == num("dst"))
+    return P.symbols(spark, d, complexity=False).withColumn("name", name).withColumn("file", F.concat("file", place))
 
 
-@query(f"WITH {S}, {E}, {_LIVE}, {_DEAD} SELECT * FROM dead")
+@query(f"WITH {S}, {P.USE}, {_LIVE}, {_DEAD} SELECT * FROM dead")
 def dead_code(spark, d):
-    return analytics.dead_code(_named_symbols(spark, d), _sparse(spark, d))
+    return analytics.dead_code(_named_symbols(spark, d), P.uses(spark, d))
 
 
 _HOT = "hot AS (SELECT s.id, s.file, s.complexity, CAST(s.complexity * coalesce(c.additions, 1) AS DOUBLE) AS score FROM sym s LEFT JOIN churn c ON s.file = c.file WHERE s.complexity >= 2 ORDER BY score DESC, id LIMIT 50)"
@@ -93,12 +75,12 @@ _CROSS = "cross_ AS (SELECT regexp_replace(a.file, '/[^/]*$', '') AS f, regexp_r
     "SELECT module, symbols, coalesce(o.n, 0) AS ce, coalesce(i.n, 0) AS ca, round(CASE WHEN coalesce(o.n, 0) + coalesce(i.n, 0) > 0 THEN coalesce(o.n, 0)::DOUBLE / (coalesce(o.n, 0) + coalesce(i.n, 0)) END, 6) AS instability FROM m LEFT JOIN o ON module = f LEFT JOIN i ON module = t"
 )
 def coupling(spark, d):
-    return analytics.coupling(P.symbols(spark, d), P.edges(spark, d))
+    return analytics.coupling(P.symbols(spark, d, complexity=False), P.edges(spark, d))
 
 
 @query(f"WITH {S}, {E}, {_CROSS}, w AS (SELECT f AS from_module, t AS to_module, count(*) AS weight, count(*) FILTER (kind = 'calls') AS calls, count(*) FILTER (kind = 'imports') AS imports FROM x GROUP BY 1, 2) SELECT w.*, EXISTS (SELECT 1 FROM w v WHERE v.from_module = w.to_module AND v.to_module = w.from_module) AS cyclic FROM w")
 def tectonic_map(spark, d):
-    return analytics.tectonic(P.symbols(spark, d), P.edges(spark, d))
+    return analytics.tectonic(P.symbols(spark, d, complexity=False), P.edges(spark, d))
 
 
 @query(
@@ -106,18 +88,11 @@ def tectonic_map(spark, d):
     "c AS (SELECT p.a AS id, min(q.a) AS m FROM r p JOIN r q ON p.a = q.b AND p.b = q.a GROUP BY 1) SELECT id, m AS component, count(*) OVER (PARTITION BY m) AS size FROM c QUALIFY count(*) OVER (PARTITION BY m) >= 2"
 )
 def dependency_cycles(spark, d):
-    x = analytics.cross_module(P.symbols(spark, d), graph.of_kinds(P.edges(spark, d)))
+    x = analytics.cross_module(P.symbols(spark, d, complexity=False), graph.of_kinds(P.edges(spark, d)))
     return graph.sccs(x.select(F.col("from_module").alias("src"), F.col("to_module").alias("dst")))
 
 
-def _rank_sql(steps: int) -> str:
-    parts = [f"WITH {S}, {E}, e AS (SELECT DISTINCT src, dst FROM edg WHERE kind IN ('calls', 'imports')), g AS (SELECT src, count(*) AS deg FROM e GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM sym), r0 AS MATERIALIZED (SELECT id, 1 / n AS rank FROM sym, n)"]
-    for k in range(steps):
-        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT s.id, 0.15 / n.n + 0.85 * (coalesce(i.v, 0) + l.v / n.n) AS rank FROM sym s CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(rank), 0) AS v FROM r{k} WHERE id NOT IN (SELECT src FROM g)) l LEFT JOIN (SELECT e.dst, sum(r.rank / g.deg) AS v FROM e JOIN g ON e.src = g.src JOIN r{k} r ON r.id = e.src GROUP BY 1) i ON i.dst = s.id)")
-    return ", ".join(parts) + f" SELECT id, round(rank, 9) AS rank FROM r{steps}"
-
-
-@query(_rank_sql(10))
+@query(P.rank_sql(10, "'calls', 'imports'"))
 def pagerank_k10(spark, d):
     return graph.pagerank(P.symbols(spark, d), graph.of_kinds(P.edges(spark, d)), 10).select("id", F.round("rank", 9).alias("rank"))
 
@@ -129,7 +104,7 @@ _LAYER = "CASE WHEN regexp_matches(file, '^(AMERICA|ASIA)/') THEN 'edge' WHEN re
 
 @query(f"WITH {S}, {E}, l AS (SELECT id, {_LAYER} AS layer FROM sym) SELECT src, dst, kind, a.layer AS from_layer, b.layer AS to_layer FROM edg JOIN l a ON src = a.id JOIN l b ON dst = b.id WHERE kind IN ('calls', 'imports') AND a.layer <> b.layer AND a.layer || '>' || b.layer NOT IN ('edge>core', 'core>data')")
 def layer_violations(spark, d):
-    return analytics.layer_violations(P.symbols(spark, d), P.edges(spark, d), _LAYERS, _ALLOWED)
+    return analytics.layer_violations(P.symbols(spark, d, complexity=False), P.edges(spark, d), _LAYERS, _ALLOWED)
 
 
 _DRIFT = """live AS (SELECT lower(p_brand) AS t, lower(p_type) AS c FROM part GROUP BY 1, 2), decl AS (SELECT lower(p_brand) AS t, lower(p_type) AS c FROM part WHERE p_size > 25 GROUP BY 1, 2),
@@ -183,7 +158,7 @@ def authors(spark, d):
     return views.authors(P.table(spark, d, "events"), "user_id", "event_type")
 
 
-@query(f"WITH {S}, {E}, {C}, {_LIVE}, {_DEAD}, {_HOT}, {_DRIFT} SELECT 'dead_code' AS type, id AS subject, 'medium' AS severity FROM dead UNION ALL SELECT 'hotspot', id, CASE WHEN score > 10 THEN 'high' WHEN score > 5 THEN 'medium' ELSE 'low' END FROM hot UNION ALL SELECT 'schema_drift', \"table\", 'high' FROM drift WHERE status <> 'same'")
+@query(f"WITH {S}, {P.USE}, {C}, {_LIVE}, {_DEAD}, {_HOT}, {_DRIFT} SELECT 'dead_code' AS type, id AS subject, 'medium' AS severity FROM dead UNION ALL SELECT 'hotspot', id, CASE WHEN score > 10 THEN 'high' WHEN score > 5 THEN 'medium' ELSE 'low' END FROM hot UNION ALL SELECT 'schema_drift', \"table\", 'high' FROM drift WHERE status <> 'same'")
 def alerts(spark, d):
     return analytics.alerts(dead_code(spark, d), hotspots(spark, d), _drift(spark, d))
 
@@ -389,15 +364,15 @@ def hook_enrichment(spark, d):
 _RC = """ca AS (SELECT o_orderkey AS call_id, 'c' || o_custkey AS caller, s.file, CASE WHEN o_orderkey % 4 = 3 THEN s.repo || '.' ELSE '' END || 'f' || (o_orderkey % 50) AS callee, CASE o_orderkey % 8 WHEN 0 THEN s.repo WHEN 4 THEN 'this' END AS receiver FROM orders JOIN sym s ON s.id = 'c' || o_custkey),
 t0 AS (SELECT *, CAST(substr(id, 2) AS INT) AS n FROM sym), t AS (SELECT id, 'f' || (n % 50) AS name, CASE WHEN n % 4 <> 1 THEN repo || '.' ELSE '' END || 'f' || (n % 50) AS q, file, (file, n, id) AS o, n % 9 <> 0 AS can FROM t0),
 loc AS (SELECT file, name, arg_min(id, o) AS dst, count(*) AS n FROM t WHERE can GROUP BY 1, 2), exp AS (SELECT file, name, arg_min(id, o) AS dst FROM t GROUP BY 1, 2), qa AS (SELECT q, arg_min(id, o) AS dst FROM t GROUP BY 1), qf AS (SELECT q, file, arg_min(id, o) AS dst FROM t GROUP BY 1, 2), bare AS (SELECT name, arg_min(id, o) AS dst FROM t WHERE can AND q = name GROUP BY 1),
-im AS (SELECT DISTINCT a.file, b.file AS target_file, CASE WHEN b.n % 3 = 0 THEN b.repo WHEN b.kind = 'class' THEN '*' ELSE 'f' || (b.n % 50) END AS name FROM edg JOIN t0 a ON src = a.id JOIN t0 b ON dst = b.id WHERE edg.kind = 'imports' AND a.n % 50 = b.n % 50),
+im AS (SELECT DISTINCT a.file, b.file AS target_file, CASE WHEN b.n % 3 = 0 THEN b.repo WHEN b.kind = 'class' THEN '*' ELSE 'f' || (b.n % 50) END AS name FROM edg JOIN t0 a ON src = a.id JOIN t0 b ON dst = b.id WHERE edg.kind = 'imports'),
 ni AS (SELECT file, name, min(target_file) AS target_file FROM im WHERE name <> '*' GROUP BY 1, 2), wi AS (SELECT im.file, exp.name, arg_min(exp.dst, target_file) AS dst FROM im JOIN exp ON exp.file = im.target_file WHERE im.name = '*' GROUP BY 1, 2),
 x AS (SELECT call_id, caller AS src, coalesce(r1.dst, r2.dst, r3.dst) AS d0, loc.dst AS d1, loc.n AS k, e.dst AS d2, wi.dst AS d3, q4.dst AS d4, bare.dst AS d5 FROM (SELECT *, CASE WHEN regexp_full_match(receiver, '[A-Za-z_$][A-Za-z0-9_$]*') AND receiver <> 'this' THEN receiver END AS r FROM ca) ca
   LEFT JOIN qf r1 ON r1.q = r || '.' || callee AND r1.file = ca.file LEFT JOIN ni rn ON rn.file = ca.file AND rn.name = r LEFT JOIN qf r2 ON r2.q = r || '.' || callee AND r2.file = rn.target_file LEFT JOIN qa r3 ON r3.q = r || '.' || callee
   LEFT JOIN loc ON loc.file = ca.file AND loc.name = callee LEFT JOIN ni ON ni.file = ca.file AND ni.name = callee LEFT JOIN exp e ON e.file = ni.target_file AND e.name = callee LEFT JOIN wi ON wi.file = ca.file AND wi.name = callee LEFT JOIN qa q4 ON q4.q = callee LEFT JOIN bare ON bare.name = callee)"""
 
 
-@query(f"WITH {S}, {E}, {_RC} SELECT call_id, src, coalesce(d0, d1, d2, d3, d4, d5) AS dst, CAST(CASE WHEN d0 IS NOT NULL THEN 0.95 WHEN d1 IS NOT NULL THEN CASE WHEN k > 1 THEN 0.85 ELSE 1.0 END WHEN d2 IS NOT NULL THEN 0.95 WHEN d3 IS NOT NULL THEN 0.8 WHEN d4 IS NOT NULL THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN d0 IS NOT NULL THEN 'receiver' WHEN d1 IS NOT NULL THEN 'same file' WHEN d2 IS NOT NULL THEN 'named import' WHEN d3 IS NOT NULL THEN 'wildcard import' WHEN d4 IS NOT NULL THEN 'qualified name' ELSE 'bare name' END AS reason FROM x WHERE coalesce(d0, d1, d2, d3, d4, d5) IS NOT NULL")
-def resolve_calls(spark, d):
+def _call_tables(spark, d):
+    """(calls, symbols, imports) of the trade graph: orders call, symbols are callable by number, edges of the kind import."""
     s = P.symbols(spark, d).withColumn("n", F.regexp_extract("id", r"(\d+)", 1).cast("int"))
     name = F.concat(F.lit("f"), F.col("n") % 50)
     t = s.select("id", name.alias("name"), F.when(F.col("n") % 9 == 0, "variable").otherwise(F.col("kind")).alias("kind"), F.when(F.col("n") % 4 != 1, F.col("repo")).alias("scope"), "file", F.col("n").alias("start_line"))
@@ -406,8 +381,27 @@ def resolve_calls(spark, d):
     calls = o.select(key.alias("call_id"), "caller", "file", F.concat(F.when(key % 4 == 3, F.concat("repo", F.lit("."))).otherwise(F.lit("")), F.lit("f"), key % 50).alias("callee"), F.when(key % 8 == 0, F.col("repo")).when(key % 8 == 4, "this").alias("receiver"))
     e = P.edges(spark, d).where("kind = 'imports'").select("src", "dst")
     imported = F.when(F.col("n") % 3 == 0, F.col("repo")).when(F.col("kind") == "class", "*").otherwise(name)
-    imp = e.join(s.select(F.col("id").alias("src"), "file", F.col("n").alias("m")), "src").join(s.select(F.col("id").alias("dst"), F.col("file").alias("target_file"), imported.alias("name"), "n"), "dst")
-    return resolve.resolve_calls(calls, t, imp.where(F.col("m") % 50 == F.col("n") % 50).select("file", "target_file", "name").distinct())
+    imp = e.join(s.select(F.col("id").alias("src"), "file"), "src").join(s.select(F.col("id").alias("dst"), F.col("file").alias("target_file"), imported.alias("name"), "n"), "dst")
+    return calls, t, imp.select("file", "target_file", "name").distinct()
+
+
+@query(f"WITH {S}, {E}, {_RC} SELECT call_id, src, coalesce(d0, d1, d2, d3, d4, d5) AS dst, CAST(CASE WHEN d0 IS NOT NULL THEN 0.95 WHEN d1 IS NOT NULL THEN CASE WHEN k > 1 THEN 0.85 ELSE 1.0 END WHEN d2 IS NOT NULL THEN 0.95 WHEN d3 IS NOT NULL THEN 0.8 WHEN d4 IS NOT NULL THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN d0 IS NOT NULL THEN 'receiver' WHEN d1 IS NOT NULL THEN 'same file' WHEN d2 IS NOT NULL THEN 'named import' WHEN d3 IS NOT NULL THEN 'wildcard import' WHEN d4 IS NOT NULL THEN 'qualified name' ELSE 'bare name' END AS reason FROM x WHERE coalesce(d0, d1, d2, d3, d4, d5) IS NOT NULL")
+def resolve_calls(spark, d):
+    return resolve.resolve_calls(*_call_tables(spark, d))
+
+
+@query(f"WITH {S}, {E}, {_RC} SELECT DISTINCT src, coalesce(d0, d1, d2, d3, d4, d5) AS dst, 'calls' AS kind FROM x JOIN sym s ON s.id = x.src WHERE s.repo = 'ASIA' AND coalesce(d0, d1, d2, d3, d4, d5) IS NOT NULL")
+def single_file_index(spark, d):
+    """The files of one repository indexed anew against the stored symbols of all others: the edges of a full index. Stale symbols go."""
+    calls, t, imports = _call_tables(spark, d)
+    s = store.Store(spark, f"{graph.shared_dir(spark)}/quarryline-store/{uuid.uuid4().hex}")
+    fresh = t.withColumn("scope", F.col("scope").cast("string"))
+    mine = F.col("file").startswith("ASIA/")
+    none = [x.limit(0) for x in (calls, imports)]
+    stale = fresh.where(mine).withColumn("id", F.concat(F.lit("old-"), "id")).withColumn("name", F.lit("gone"))
+    store.replace_files(s, fresh.where(~mine).unionByName(stale), *none, fresh.select("file").distinct())
+    store.replace_files(s, fresh.where(mine), calls.where(mine), imports.where(mine), fresh.where(mine).select("file").distinct())
+    return s.edges().select("src", "dst", "kind")
 
 
 @query("WITH f AS (SELECT DISTINCT source || '/' || lang || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.ts' WHEN doc_id % 3 = 1 THEN '.js' ELSE '/index.ts' END AS path FROM documents), i AS (SELECT DISTINCT source || '/' || lang || '/m' || doc_id || '.ts' AS file, CASE WHEN doc_id % 4 = 0 THEN 'react' ELSE './' || doc_id END AS specifier, source || '/' || lang AS dir, doc_id FROM documents), x AS (SELECT i.file, specifier, path AS target_file, CASE WHEN suffix(path, '/index.ts') THEN 10 WHEN suffix(path, '.ts') THEN 1 ELSE 3 END AS p FROM i JOIN f ON specifier <> 'react' AND path IN (dir || '/' || doc_id || '.ts', dir || '/' || doc_id || '.js', dir || '/' || doc_id || '/index.ts')) SELECT i.file, i.specifier, b.target_file FROM i LEFT JOIN (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY file, specifier ORDER BY p) = 1) b ON i.file = b.file AND i.specifier = b.specifier")
@@ -617,3 +611,6 @@ def event_windows(spark, d):
 def citations(spark, d):
     n = P.nodes(spark, d)
     return views.citations([n.where("type = 'decision'"), n.where("superseded_at is not null")])
+
+
+from . import index, ingest  # noqa: E402, F401  they enter their queries
