@@ -67,7 +67,7 @@ def relations_by_file(spark, d):
 
 @query(
     f"WITH {S} SELECT 'code-file:r/' || path AS id, 'code_file' AS type, path AS label, language, loc, size_bytes FROM (SELECT source || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.txt' END AS path, CASE WHEN doc_id % 2 = 0 THEN 'python' END AS language, "
-    "CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(translate(l, chr(9) || chr(13), '  ')) <> '')) AS INT) AS loc, strlen(text) AS size_bytes FROM documents) UNION ALL SELECT 'code-symbol:' || id, 'code_symbol', name, NULL, NULL, complexity FROM sym"
+    "CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(translate(l, chr(9) || chr(13), '  ')) <> '')) AS INT) AS loc, strlen(text) AS size_bytes FROM documents) UNION ALL SELECT 'code-symbol:' || id, 'code_symbol', name, NULL, 0, complexity FROM sym"
 )
 def code_nodes(spark, d):
     """File nodes of the documents and symbol nodes of the trade graph, as one table of stored nodes."""
@@ -75,7 +75,7 @@ def code_nodes(spark, d):
     files = P.table(spark, d, "documents").select(path.alias("file"), F.col("text").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"))
     symbols = views.symbol_nodes(P.symbols(spark, d).select(F.col("id").alias("uid"), "name", F.col("complexity").cast("long").alias("size_bytes")))
     shape = ["id", "type", "label", "language", "loc", "size_bytes"]
-    return views.file_nodes(files.withColumn("language", X.language_of(F.col("file"))), "r").select(*shape).unionByName(symbols.select("id", "type", "label", "size_bytes"), allowMissingColumns=True).select(*shape)
+    return views.file_nodes(files.withColumn("language", X.language_of(F.col("file"))), "r").select(*shape).unionByName(symbols.select("id", "type", "label", "size_bytes"), allowMissingColumns=True).withColumn("loc", F.coalesce("loc", F.lit(0))).select(*shape)
 
 
 @query(f"WITH {E}, n AS (SELECT dst AS id FROM edg WHERE src = 's2' UNION SELECT src FROM edg WHERE dst = 's2') SELECT 's2' AS id, NULL AS parent UNION ALL SELECT * FROM (SELECT id, 's2' AS parent FROM n WHERE id <> 's2' ORDER BY id LIMIT 200)")
