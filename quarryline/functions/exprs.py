@@ -23,8 +23,10 @@ def slug(name: Column) -> Column:
 
 
 def fnv1a8(text: Column) -> Column:
-    """FNV-1a, 32 bits, 8 hex digits, of a string of ASCII characters."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """FNV-1a, 32 bits, 8 hex digits, over a string's UTF-16 code units."""
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    each = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.length(units) / 4)), lambda i: F.substring(units, (4 * i + 1).cast("int"), F.lit(4))), lambda u: u != "")
+    codes = F.transform(each, lambda u: F.conv(u, 16, 10).cast("long"))
     h = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda a, c: (a.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
     return F.lower(F.lpad(F.hex(h), 8, "0"))
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import basename, camel_tokens, fnv1a8
 from .graph import cut, free, sccs
+from .scan import ranked
 
 #: Share of a community's files that a common folder has to hold.
 SHARE = 0.6
@@ -114,9 +115,9 @@ def labels(members: DataFrame, symbols: DataFrame) -> DataFrame:
     root = F.when((F.size(tokens) > 1) & F.get(tokens, F.lit(0)).isin(PLAIN_VERBS), F.get(tokens, F.lit(1))).otherwise(F.get(tokens, F.lit(0)))
     roots = m.join(symbols.select("file", root.alias("root")).where("root is not null"), "file").groupBy("community", "root").agg(F.count("*").alias("k"))
     by_root = roots.groupBy("community").agg(F.min(F.struct((-F.col("k")).alias("k"), "root")).getField("root").alias("root"))
-    number = (F.row_number().over(Window.orderBy("first")) - 1).cast("string")  # a row a community
     left = size.join(by_folder, "community", "left").join(by_root, "community", "left")
-    unnamed = left.where("folder is null and root is null").select("community", F.concat(F.lit("community-"), number).alias("other"))
+    lost = ranked(left.where("folder is null and root is null").select("community", "first", F.lit(0).alias("all")), "all", ["first", "community"])
+    unnamed = lost.select("community", F.concat(F.lit("community-"), F.col("rank") - 1).alias("other"))
     label = F.coalesce("folder", "root", "other")
     why = F.when(F.col("folder").isNotNull(), F.concat(F.lit(f"{round(SHARE * 100)}%+ share prefix "), "prefix")).when(F.col("root").isNotNull(), F.concat(F.lit("top symbol root: "), "root")).otherwise(F.lit("no common prefix or symbol root"))
     return left.join(unnamed, "community", "left").select("community", label.alias("label"), why.alias("rationale"))
@@ -138,7 +139,8 @@ def stable_ids(labelled: DataFrame, members: DataFrame) -> DataFrame:
     orelse = lambda c, d: F.when(c == "", d).otherwise(c)
     x = labelled.join(files, "community").select("community", "first", F.concat_ws("~", orelse(base, F.lit("community")), orelse(anchor, F.lit("unnamed"))).alias("bare"), fnv1a8(F.col("names")).alias("hash"))
     order = ["first", "community"]
-    x = x.withColumn("turn", F.row_number().over(Window.partitionBy("bare").orderBy(*order))).withColumn("number", F.row_number().over(Window.orderBy(*order)) - 1)  # a row a community
+    x = x.withColumn("turn", F.row_number().over(Window.partitionBy("bare").orderBy(*order)))
+    x = ranked(x.withColumn("all", F.lit(0)), "all", order).withColumn("number", F.col("rank") - 1)
     later = F.row_number().over(Window.partitionBy("bare", "hash", F.col("turn") > 1).orderBy(*order))
     x = x.withColumn("later", later)
     return x.select("community", F.when(F.col("turn") == 1, F.col("bare")).when(F.col("later") == 1, F.concat_ws("~", "bare", "hash")).otherwise(F.concat_ws("~", "bare", "hash", F.col("number").cast("string"))).alias("stable_id"))

@@ -53,7 +53,8 @@ NODE_FIELDS = [("metadata", "metadata"), ("superseded_at", "supersededAt"), ("su
 def export_lines(nodes: DataFrame, edges: DataFrame, header: dict[str, str] | None = None) -> DataFrame:
     """Ledger lines (ord, line): a header if wanted, nodes, then edges whose source is exported; JSON with fixed field order.
 
-    Nulls are left out; tags go as one string joined by commas. header: workspace and exported_at.
+    Nulls are left out; tags go as one string joined by commas. header: workspace and exported_at; its version is 2 if any
+    node has a vector, else 1.
     """
     has = [F.col(c).alias(f) for c, f in NODE_FIELDS if c in nodes.columns]
     tags = [F.array_join("tags", ",").alias("tags")] if "tags" in nodes.columns else []
@@ -61,8 +62,9 @@ def export_lines(nodes: DataFrame, edges: DataFrame, header: dict[str, str] | No
     e = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").select(F.lit(2).alias("ord"), F.to_json(F.struct(F.lit("edge").alias("kind"), F.col("src").alias("sourceId"), F.col("dst").alias("targetId"), F.col("kind").alias("relation"))).alias("line"))
     out = n.unionByName(e)
     if header:
-        types = nodes.agg(F.sort_array(F.collect_set("type")).alias("exportedTypes"))  # one row
-        top = types.select(F.lit(0).alias("ord"), F.to_json(F.struct(F.lit(2).alias("version"), F.lit(header["exported_at"]).alias("exportedAt"), F.lit(header["workspace"]).alias("sourceWorkspace"), "exportedTypes")).alias("line"))
+        vectors = F.max(F.size("embedding")) > 0 if "embedding" in nodes.columns else F.lit(False)
+        types = nodes.agg(F.sort_array(F.collect_set("type")).alias("exportedTypes"), F.coalesce(vectors, F.lit(False)).alias("vectors"))  # one row
+        top = types.select(F.lit(0).alias("ord"), F.to_json(F.struct(F.when(F.col("vectors"), 2).otherwise(1).alias("version"), F.lit(header["exported_at"]).alias("exportedAt"), F.lit(header["workspace"]).alias("sourceWorkspace"), "exportedTypes")).alias("line"))
         out = top.unionByName(out)
     return out
 

@@ -32,12 +32,16 @@ def symbols(spark: SparkSession, d: str, complexity: bool = True) -> DataFrame:
     return shape(c, F.col("c_custkey"), F.col("c_name"), ("c", "method"), "customers", parent).unionByName(shape(s, F.col("s_suppkey"), F.col("s_name"), ("s", "class"), "suppliers", F.lit(None).cast("string")))
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers and customers that trade; the line status gives the direction, the return flag the kind."""
+def edges(spark: SparkSession, d: str, distinct: bool = True) -> DataFrame:
+    """Suppliers and customers that trade; the line status gives the direction, the return flag the kind.
+
+    A search takes each node once, so it can do with repeated edges (distinct=False), which spares a shuffle of all edges.
+    """
     li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     s, c, out = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("c"), F.col("o_custkey")), F.col("l_linestatus") == "O"
     kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "N", "imports").otherwise("extends")
-    return li.select(F.when(out, s).otherwise(c).alias("src"), F.when(out, c).otherwise(s).alias("dst"), kind.alias("kind")).distinct()
+    out = li.select(F.when(out, s).otherwise(c).alias("src"), F.when(out, c).otherwise(s).alias("dst"), kind.alias("kind"))
+    return out.distinct() if distinct else out
 
 
 def uses(spark: SparkSession, d: str) -> DataFrame:

@@ -24,17 +24,17 @@ def _walk(kinds: str, back: bool, most: int) -> str:
 
 @query(f"{_walk("'calls', 'imports'", True, 3)}, {S} SELECT s.id, s.name, s.file, s.kind, m.depth FROM (SELECT id, min(depth) AS depth FROM w GROUP BY id) m JOIN sym s ON s.id = m.id WHERE m.depth > 0")
 def blast_radius_up(spark, d):
-    return graph.blast_radius(P.symbols(spark, d, complexity=False), graph.of_kinds(P.edges(spark, d)), "s2").select("id", "name", "file", "kind", "depth")
+    return graph.blast_radius(P.symbols(spark, d, complexity=False), graph.of_kinds(P.edges(spark, d, distinct=False)), "s2").select("id", "name", "file", "kind", "depth")
 
 
 @query(f"{_walk("'calls'", False, 3)}, {S} SELECT s.id, s.name, s.file, s.kind, m.depth FROM (SELECT id, min(depth) AS depth FROM w GROUP BY id) m JOIN sym s ON s.id = m.id WHERE m.depth > 0")
 def call_graph_down(spark, d):
-    return graph.blast_radius(P.symbols(spark, d, complexity=False), graph.of_kinds(P.edges(spark, d), ("calls",)), "s2", upstream=False).select("id", "name", "file", "kind", "depth")
+    return graph.blast_radius(P.symbols(spark, d, complexity=False), graph.of_kinds(P.edges(spark, d, distinct=False), ("calls",)), "s2", upstream=False).select("id", "name", "file", "kind", "depth")
 
 
 @query(f"{_walk("'calls'", False, 8)}, m AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT id, depth, NOT EXISTS (SELECT 1 FROM edg WHERE kind = 'calls' AND src = m.id) AS terminal FROM m ORDER BY depth, id LIMIT 200")
 def process_trace(spark, d):
-    return graph.trace(P.symbols(spark, d, complexity=False), P.edges(spark, d), "s2")
+    return graph.trace(P.symbols(spark, d, complexity=False), P.edges(spark, d, distinct=False), "s2")
 
 
 #: Names given to some symbols so that every exemption is met.
@@ -503,7 +503,7 @@ def _lines(spark, d, header=None):
 
 
 @query(
-    f"WITH {N} SELECT 0 AS ord, '{{\"version\":2,\"exportedAt\":\"t\",\"sourceWorkspace\":\"w\",\"exportedTypes\":' || CAST(to_json(list_sort(list(DISTINCT type))) AS VARCHAR) || '}}' AS line FROM nodes "
+    f"WITH {N} SELECT 0 AS ord, '{{\"version\":1,\"exportedAt\":\"t\",\"sourceWorkspace\":\"w\",\"exportedTypes\":' || CAST(to_json(list_sort(list(DISTINCT type))) AS VARCHAR) || '}}' AS line FROM nodes "
     "UNION ALL SELECT 1, '{\"kind\":\"node\",\"id\":' || to_json(id) || ',\"type\":' || to_json(type) || ',\"label\":' || to_json(label) || coalesce(',\"content\":' || to_json(content), '') || ',\"tags\":' || to_json(array_to_string(tags, ',')) || coalesce(',\"supersededAt\":' || to_json(superseded_at), '') || '}' FROM nodes "
     "UNION ALL SELECT 2, '{\"kind\":\"edge\",\"sourceId\":\"' || id || '\",\"targetId\":\"n' || (doc_id + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 10000000 END) || '\",\"relation\":\"relates_to\"}' FROM nodes"
 )

@@ -126,3 +126,15 @@ def test_progress_snapshots(spark, field):
     log = spark.createDataFrame([("w", 1, field, "1"), ("w", 3, field, "3"), ("w", 2, field, "2"), ("v", 1, "jobId", "j")], "workspace string, n int, field string, value string")
     got = {(r["workspace"], r["field"]): r["value"] for r in progress.snapshots(log).collect()}
     assert got["w", field] == "3" and got["v", "jobId"] == "j" and got["v", "edgesWritten"] == "0" and len(got) == 13
+
+
+def test_fnv_of_utf16_units(spark):
+    def fnv(s):
+        h, b = 0x811C9DC5, s.encode("utf-16-be")
+        for i in range(0, len(b), 2):
+            h = (h ^ int.from_bytes(b[i : i + 2], "big")) * 0x01000193 % (1 << 32)
+        return f"{h:08x}"
+
+    texts = ["", "a", "index.ts|main.ts", "größe", "日本🙂", "x" * 300]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.fnv1a8(F.col("t"))).collect()]
+    assert got == [fnv(t) for t in texts]
