@@ -8,13 +8,15 @@ words, its score being that share.
 
 Words are maximal runs of letters, lower-cased. Null text or no letter: `und`, score 0. Without labelled training rows
 every document is `und`. Ties go to the first label in binary order. Repeated rows are labelled each, extra columns
-are ignored. Training takes a bounded sample (SAMPLE_DOCS a language, spread by a hash of doc_id); counts of the sample
-do not grow with the corpus.
+are ignored. Training takes a bounded sample: SAMPLE_DOCS a language, spread by a hash of doc_id, and of these, in the order of a hash of their
+text, whole texts until there are WORDS_A_LANGUAGE words. Both bounds are fixed, so the sample does not grow with the corpus. Texts of any
+length are labelled whole.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -197,7 +199,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) ->
     streams = []
     for k, lang in enumerate(labels):
         stream: list[int] = []
-        for _, text in sorted(s for s in samples if s[0] == lang):
+        for text in sorted((t for own, t in samples if own == lang), key=lambda t: (zlib.crc32(t.encode()), t)):
             if len(stream) < WORDS_A_LANGUAGE:
                 stream += [vocab.setdefault(w, len(vocab)) for w in words_of(text)]
         for at in range(0, len(stream), 50):
