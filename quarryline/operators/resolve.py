@@ -138,11 +138,6 @@ def code_relations(edges: DataFrame) -> DataFrame:
     return keep.select(src.alias("src"), dst.alias("dst"), kind.alias("kind")).distinct()
 
 
-def peers(symbols: DataFrame, repo: str, file: str) -> DataFrame:
-    """The stored symbols of a repository's other files, for the index of one file."""
-    return symbols.where((F.col("repo") == repo) & (F.col("file") != file))
-
-
 def inheritance(symbols: DataFrame) -> DataFrame:
     """(src, dst, kind, confidence) from signatures: `extends X` and `implements X, Y`; unique qualified name 1.0, bare name 0.7."""
     ext = F.regexp_extract_all("signature", F.lit(r"extends\s+([A-Za-z0-9_.]+)"), 1)
