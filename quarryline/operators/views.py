@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import loc, slug
+from .graph import cut, free
 
 #: Identifiers and characters of a file's card, and of a symbol's.
 FILE_CARD, SYMBOL_CARD = (160, 2000), (40, 600)
@@ -74,13 +75,26 @@ def expand(shown: DataFrame, edges: DataFrame, node: str, most: int = 200) -> Da
 
 
 def collapse(shown: DataFrame, node: str) -> DataFrame:
-    """shown(id, parent) without the rows that the node opened, and all that hung on nothing else, level by level."""
-    rest = shown.where((F.col("parent") != node) | F.col("parent").isNull())
+    """shown(id, parent) without the rows that the node opened, and all that hung on nothing else, level by level.
+
+    Every level is a table of its own: the ids that lost their last row take the rows under them along. Rows are merged, not
+    broadcast, as a level may be as large as what is shown.
+    """
+    rows = cut(shown.select("id", "parent"))
+    rest = cut(rows.where((F.col("parent") != node) | F.col("parent").isNull()))
+    lost = cut(rows.where(F.col("parent") == node).select("id").distinct())
+    free(rows)
     while True:
-        kept = rest.select(F.col("id").alias("parent")).distinct()
-        fewer = rest.where("parent is null").unionByName(rest.where("parent is not null").join(kept, "parent", "left_semi").select("id", "parent"))
-        if fewer.count() == rest.count():  # a screenful
+        gone = cut(lost.join(rest.select("id").hint("merge"), "id", "left_anti"))
+        free(lost)
+        if not gone.limit(1).count():
+            free(gone)
             return rest
+        under = gone.withColumnRenamed("id", "parent").hint("merge")
+        lost = cut(rest.join(under, "parent", "left_semi").select("id").distinct())
+        fewer = cut(rest.join(under, "parent", "left_anti").select("id", "parent"))
+        for done in (rest, gone):
+            free(done)
         rest = fewer
 
 

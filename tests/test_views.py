@@ -138,3 +138,12 @@ def test_fnv_of_utf16_units(spark):
     texts = ["", "a", "index.ts|main.ts", "größe", "日本🙂", "x" * 300]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.fnv1a8(F.col("t"))).collect()]
     assert got == [fnv(t) for t in texts]
+
+
+def test_collapse_takes_each_level_along(spark):
+    """Ten levels under the closed node go, rows under another parent stay, and so does a row that hangs on nothing shown."""
+    deep = [(f"n{k}", f"n{k - 1}") for k in range(1, 11)]
+    shown = spark.createDataFrame([("n0", None), ("x", "n0"), ("both", "n5"), ("both", "x"), ("under", "both"), ("loose", "unseen"), *deep], "id string, parent string")
+    got = {tuple(r) for r in views.collapse(shown, "n0").collect()}
+    assert got == {("n0", None), ("loose", "unseen")}
+    assert {tuple(r) for r in views.collapse(shown, "n1").collect()} == {("n0", None), ("x", "n0"), ("both", "x"), ("under", "both"), ("loose", "unseen"), ("n1", "n0")}
