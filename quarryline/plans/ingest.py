@@ -95,7 +95,7 @@ def _store(spark) -> store.Store:
 
 
 def _staged(spark, d):
-    s = P.symbols(spark, d)
+    s = P.symbols(spark, d, complexity=False)
     lost = F.regexp_extract("id", r"(\d+)", 1).cast("int") % 17 == 0
     nodes = s.select("id", F.lit("code_symbol").alias("type"), F.when(~lost, F.col("name")).alias("label"), F.lit("").alias("content"), "file")
     edges = P.edges(spark, d).join(s.select(F.col("id").alias("src"), "file"), "src").select("src", "dst", "kind", "file")

@@ -108,6 +108,8 @@ class Store:
         A node needs id, type and label; an edge two nodes, stored or in this write and not removed by it, and a kind. gone: ids to remove with
         their edges. left: files whose earlier edges no longer count. fail_before ('edges' or 'manifest') ends the write there, for tests.
         """
+        from ..operators.graph import cut, free
+
         parts, folder = self.parts(), f"parts/{uuid.uuid4().hex}"
         missing = F.when(F.coalesce("id", F.lit("")) == "", "node without id").when(F.coalesce("type", F.lit("")) == "", "node without type").when(F.coalesce("label", F.lit("")) == "", "node without label")
         checked = nodes.withColumn("error", missing)
@@ -124,10 +126,11 @@ class Store:
         ids = known.unionByName(staged.select("id")).distinct()
         ends = edges.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
         wrong = F.when(F.coalesce("kind", F.lit("")) == "", "edge without kind").when(F.col("_s").isNull(), "source missing").when(F.col("_d").isNull(), "target missing")
-        ends = ends.withColumn("error", wrong)
+        ends = cut(ends.select("src", "dst", "kind", "file", wrong.alias("error")))  # read twice, made once
         self._save(folder, "edges", ends.where("error is null").select("src", "dst", "kind", "file"))
         rejects = f"{self.path}/{folder}/rejects"
         bad.unionByName(ends.where("error is not null").select("file", F.lit("edge").alias("item"), "error")).selectExpr("cast(file as string) as file", "item", "error").write.parquet(rejects)
+        free(ends)
         if fail_before == "manifest":
             raise RuntimeError("stopped before the manifest")
         tables = ["nodes", "edges", *(["gone"] if gone is not None else []), *(["left"] if left is not None else [])]
