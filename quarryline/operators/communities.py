@@ -47,11 +47,12 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds:
 
     Each level moves nodes to the neighbouring community of largest gain (ties: the smallest name) until nothing wants
     to move, a random half of the willing at a time so that neighbours do not swap for ever; then communities become the
-    nodes of the next level. It ends when a level moves nothing. Nodes without edges are alone.
+    nodes of the next level. It ends when a level moves nothing. Nodes without edges are alone. Tables as large as the graph
+    are merged in every turn rather than broadcast through the driver.
     """
     ids = nodes.select("id").distinct()
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    pairs = pairs.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v", F.lit(1.0).alias("w"))
+    pairs = pairs.join(ids.withColumnRenamed("id", "u").hint("merge"), "u", "left_semi").join(ids.withColumnRenamed("id", "v").hint("merge"), "v", "left_semi").select("u", "v", F.lit(1.0).alias("w"))
     links = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
     total = links.agg(F.sum("w")).first()[0] or 0.0
     member = cut(ids.select("id", F.col("id").alias("c")))
@@ -62,14 +63,14 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds:
         label = cut(degree.select("u", F.col("u").alias("c")))
         moved_any = False
         for turn in range(rounds):
-            own = label.join(degree, "u")
+            own = label.join(degree.hint("merge"), "u")
             size = own.groupBy("c").agg(F.sum("k").alias("tot"))
-            near = links.where("u <> v").join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("win"))
+            near = links.where("u <> v").join(label.select(F.col("u").alias("v"), "c").hint("merge"), "v").groupBy("u", "c").agg(F.sum("w").alias("win"))
             cost = resolution * F.col("k") / total
-            stay = own.join(near, ["u", "c"], "left").join(size, "c").select("u", F.col("c").alias("c0"), "k", (F.coalesce("win", F.lit(0.0)) - cost * (F.col("tot") - F.col("k"))).alias("now"))
-            go = near.join(stay, "u").where("c <> c0").join(size, "c").withColumn("gain", F.col("win") - cost * F.col("tot") - F.col("now")).where("gain > 1e-9")
+            stay = own.join(near.hint("merge"), ["u", "c"], "left").join(size.hint("merge"), "c").select("u", F.col("c").alias("c0"), "k", (F.coalesce("win", F.lit(0.0)) - cost * (F.col("tot") - F.col("k"))).alias("now"))
+            go = near.join(stay.hint("merge"), "u").where("c <> c0").join(size.hint("merge"), "c").withColumn("gain", F.col("win") - cost * F.col("tot") - F.col("now")).where("gain > 1e-9")
             best = go.groupBy("u").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "c")).getField("c").alias("to"))
-            wish = cut(label.join(best, "u", "left"))
+            wish = cut(label.join(best.hint("merge"), "u", "left"))
             if not wish.where("to is not null").limit(1).count():
                 free(wish)
                 break
@@ -86,14 +87,14 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds:
             free(label)
             break
         at = label.select(F.col("u").alias("c"), F.col("c").alias("to"))
-        merged = cut(member.join(at, "c", "left").select("id", F.coalesce("to", "c").alias("c")))
-        joined = links.join(label.select("u", F.col("c").alias("cu")), "u").join(label.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v")
+        merged = cut(member.join(at.hint("merge"), "c", "left").select("id", F.coalesce("to", "c").alias("c")))
+        joined = links.join(label.select("u", F.col("c").alias("cu")).hint("merge"), "u").join(label.select(F.col("u").alias("v"), F.col("c").alias("cv")).hint("merge"), "v")
         next_links = cut(joined.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
         for old in (member, links, label):
             free(old)
         member, links = merged, next_links
     names = member.groupBy("c").agg(F.min("id").alias("community"))
-    return member.join(names, "c").select("id", "community")
+    return member.join(names.hint("merge"), "c").select("id", "community")
 
 
 def labels(members: DataFrame, symbols: DataFrame) -> DataFrame:
