@@ -20,7 +20,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, likeness 0.8 or more."""
+    """One document of each near-duplicate group: five-word shingles, likeness 0.8 or more; SimHash links first, an exact way for what it leaves apart."""
     return simhash.near_dedup(docs)
 
 
