@@ -123,6 +123,7 @@ class Aligner:
         self.spell_b = spell_b
         self.transducer = Transducer(spell_a, spell_b)
         self.spell_a = spell_a
+        self.size_a = np.array([len(x) for x in spell_a], np.int64)
         self.cuts = not any(" " in p.replace("▁", " ").lstrip(" ") or "\n" in p for p in pieces)
         self.names = [str(i) for i in range(max(len(spell_a), len(spell_b)))]
         self._clear()
@@ -134,6 +135,30 @@ class Aligner:
         self.facts = np.zeros((4, 1 << 14), np.int64)  # tokens of A, -1 if not spelled back; of B; links; start in flat
         self.used = 0
 
+    def _a_ids(self, chunks: list[str]) -> list[list[int] | None]:
+        """A's ids of chunks, None where they do not spell the chunk. Chunks go through A as one text, which it cuts where they meet."""
+        closed = [k for k, c in enumerate(chunks) if not c[-1].isspace()]  # a space at an end would join the next chunk's
+        if len(closed) == len(chunks):
+            text = "".join(chunks)
+            data = text.encode()
+            ids = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            if b"".join(map(self.spell_a.__getitem__, ids)) == data:
+                size = [len(c) for c in chunks] if len(data) == len(text) else [len(c.encode()) for c in chunks]
+                want, got = np.cumsum(size), np.cumsum(self.size_a[ids])
+                at = np.minimum(np.searchsorted(got, want), len(got) - 1)
+                if (got[at] == want).all():
+                    end = (at + 1).tolist()
+                    return [ids[x:y] for x, y in zip([0, *end[:-1]], end, strict=True)]
+        elif closed:
+            out: list[list[int] | None] = [None] * len(chunks)
+            rest = [k for k, c in enumerate(chunks) if c[-1].isspace()]
+            for some in (closed, rest):
+                for k, ids in zip(some, self._a_ids([chunks[k] for k in some]), strict=True):
+                    out[k] = ids
+            return out
+        every = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [ids if b"".join([self.spell_a[x] for x in ids]) == c.encode() else None for c, ids in zip(chunks, every, strict=True)]
+
     def _b_ids(self, chunks: list[str]) -> list[list[int]]:
         """B's ids of chunks. It puts a space before a text; a line feed, which joins nothing, shields a chunk from that."""
         if self.cuts:
@@ -143,14 +168,17 @@ class Aligner:
     def _learn(self, chunks: list[str]) -> None:
         """Align chunks that are not known yet."""
         names, rows, flat = self.names, [], []
-        for chunk, got, b in zip(chunks, self.a.encode_batch(chunks, add_special_tokens=False), self._b_ids(chunks), strict=True):
-            a = got.ids
-            ends = self.transducer.groups(a, b) if b"".join([self.spell_a[x] for x in a]) == chunk.encode() else None
+        for a, b in zip(self._a_ids(chunks), self._b_ids(chunks), strict=True):
+            ends = self.transducer.groups(a, b) if a is not None else None
             if ends is None:
                 rows.append((-1, 0, 0, self.used + len(flat)))
                 self.texts.append("")
                 continue
             rows.append((len(a), len(b), len(ends), self.used + len(flat)))
+            if len(ends) == 1:
+                self.texts.append(f"{','.join([names[t] for t in a])}|{','.join([names[t] for t in b])}")
+                flat.append(a[-1] << 32 | b[-1])
+                continue
             i = j = 0
             text = []
             for x, y in ends:
