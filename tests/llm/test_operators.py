@@ -560,6 +560,15 @@ def test_hot_anchors_are_dealt_anew(spark, monkeypatch):
         assert got == string_brute(texts, 24)
 
 
+def test_repeats_within_a_text_at_every_place(spark):
+    """A period around the 65536th byte of a batch, where places of grams start again: its windows repeat each other there, too."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=65536 - 11)), "abcdefg" * 5]
+    df = frame(spark, texts).coalesce(1)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(substrings.remove_repeated_strings(df, 24)))
+    assert got == string_brute(texts, 24) and got[1][2:4] == (35, 1)
+
+
 def test_long_texts_are_scanned_in_pieces(spark):
     rng = random.Random(10)
     docs = [(1, 2, "".join(rng.choices("abcd", k=5000))), (3, 4, "".join(rng.choices("abcd", k=90)))]
